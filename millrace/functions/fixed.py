@@ -24,10 +24,7 @@ SCORE_MIN = 0
 SCORE_MAX = 100
 
 # Whitespace code points that separate words, as a regex class.
-WHITESPACE = (
-    r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-)
+WHITESPACE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\p{Z}]+"
 
 # A column-like token is a whole word made of A-Z and underscore.
 IDENTIFIER = r"(?<![\p{L}\p{N}_])[A-Z_]+(?![\p{L}\p{N}_])"

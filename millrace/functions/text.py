@@ -15,14 +15,19 @@ def words(text: Column) -> Column:
 
 def chunks(text: Column, size: int = CHUNK_WORDS) -> Column:
     """Runs of ``size`` words joined by one space; an empty array for empty or null text."""
-    tokens = words(F.coalesce(text, F.lit("")))
-    starts = F.filter(
-        F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)), F.lit(size)),
-        lambda start: start < F.size(tokens),
-    )
-    return F.transform(
-        starts, lambda start: F.array_join(F.slice(tokens, start + 1, F.lit(size)), " ")
-    )
+
+    def runs(tokens: Column) -> Column:
+        last = F.greatest(F.size(tokens) - 1, F.lit(0))
+        starts = F.filter(
+            F.sequence(F.lit(0), last, F.lit(size)), lambda start: start < F.size(tokens)
+        )
+        return F.transform(
+            starts, lambda start: F.array_join(F.slice(tokens, start + 1, F.lit(size)), " ")
+        )
+
+    # A transform over a one-element array binds the words to a name, so that the text is
+    # split once and not again for every chunk.
+    return F.transform(F.array(words(F.coalesce(text, F.lit("")))), runs)[0]
 
 
 def identifiers(text: Column) -> Column:

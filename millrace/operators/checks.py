@@ -2,9 +2,9 @@
 
 Validation yields one row per check: ``suite, check, column, severity, success, total,
 unexpected, unexpected_pct, detail``. Every row-wise check of a suite is computed in one
-aggregate, all uniqueness checks in one grouping, so a suite costs at most two passes over
-the data (plus one for each membership check against a table). Only the not-null checks
-look at nulls; the others ignore them.
+aggregate; a uniqueness check, or membership in a table of values, adds one grouping that
+reads its own columns only. Stage an expensive table before validating it. Only the not-null
+checks look at nulls; the others ignore them.
 """
 
 from __future__ import annotations
@@ -229,6 +229,9 @@ _ROW_WISE = {"not_null", "not_null_not_empty", "of_type", "row_count_between", *
 _UNIQUENESS = {"unique", "pair_unique"}
 _KINDS = _ROW_WISE | _UNIQUENESS
 
+# Kinds that group the table by value.
+GROUPING = frozenset(_UNIQUENESS)
+
 
 def _measures(df: DataFrame, check: Check, i: int) -> list[Column]:
     """The aggregates of a row-wise check: total, unexpected, lowest and highest bad value."""
@@ -300,52 +303,22 @@ def _result_rows(measures: DataFrame, suite: str, checks: Mapping[int, Check]) -
 # --- uniqueness and membership -------------------------------------------------------------
 
 
-def _uniqueness(df: DataFrame, suite: str, checks: Mapping[int, Check]) -> DataFrame:
-    """All uniqueness checks from one scan: count every key, then combine the counts.
+def _uniqueness(df: DataFrame, suite: str, i: int, check: Check) -> DataFrame:
+    """Count every key, then combine the counts.
 
-    Counting combines on the map side, so a frequent key costs one row per task.
+    Reads the key columns only. Counting combines on the map side, so a frequent key costs
+    one row per task.
     """
-    counted = _key_counts(df, checks)
-    measures = []
-    for i in checks:
-        own = F.col("check_no") == i
-        repeated = own & (F.col("n") > 1)
-        shown = F.concat_ws(", ", F.col("key_a").cast("string"), F.col("key_b").cast("string"))
-        measures += [
-            F.sum(F.when(own, F.col("n"))).alias(f"total_{i}"),
-            F.sum(F.when(repeated, F.col("n"))).alias(f"unexpected_{i}"),
-            F.min(F.when(repeated, shown)).alias(f"lowest_{i}"),
-            F.max(F.when(repeated, shown)).alias(f"highest_{i}"),
-        ]
-    return _result_rows(counted.agg(*measures), suite, checks)
-
-
-def _key_counts(df: DataFrame, checks: Mapping[int, Check]) -> DataFrame:
-    if len(checks) == 1:
-        ((i, check),) = checks.items()
-        parts = [F.col(c) for c in check.columns]
-        second = parts[1] if len(parts) == 2 else F.lit("")
-        keys = df.select(
-            F.lit(i).alias("check_no"), parts[0].alias("key_a"), second.alias("key_b")
-        )
-    else:
-        entries = []
-        for i, check in checks.items():
-            parts = [F.col(c).cast("string") for c in check.columns]
-            second = parts[1] if len(parts) == 2 else F.lit("")
-            entries.append(
-                F.struct(
-                    F.lit(i).alias("check_no"), parts[0].alias("key_a"), second.alias("key_b")
-                )
-            )
-        keys = df.select(F.explode(F.array(*entries)).alias("k")).select("k.*")
-    present = F.col("key_a").isNotNull() & F.col("key_b").isNotNull()
-    counted = keys.filter(present).groupBy("check_no", "key_a", "key_b")
-    counted = counted.agg(F.count(F.lit(1)).alias("n"))
-    pairs = [i for i, c in checks.items() if c.kind == "pair_unique"]
-    return counted.withColumn(
-        "key_b", F.when(F.col("check_no").isin(pairs), F.col("key_b").cast("string"))
+    counted = df.dropna(subset=check.columns).groupBy(*check.columns)
+    repeated = F.col("n") > 1
+    shown = F.concat_ws(", ", *[F.col(c).cast("string") for c in check.columns])
+    measures = counted.agg(F.count(F.lit(1)).alias("n")).agg(
+        F.sum("n").alias(f"total_{i}"),
+        F.sum(F.when(repeated, F.col("n"))).alias(f"unexpected_{i}"),
+        F.min(F.when(repeated, shown)).alias(f"lowest_{i}"),
+        F.max(F.when(repeated, shown)).alias(f"highest_{i}"),
     )
+    return _result_rows(measures, suite, {i: check})
 
 
 def _membership(df: DataFrame, suite: str, i: int, check: Check) -> DataFrame:
@@ -374,17 +347,13 @@ def _membership(df: DataFrame, suite: str, i: int, check: Check) -> DataFrame:
 # --- validation ----------------------------------------------------------------------------
 
 
-def _split(suite: Suite) -> tuple[dict[int, Check], dict[int, Check], dict[int, Check]]:
-    """The row-wise, uniqueness and table-membership checks of a suite, by position."""
-    row_wise, uniqueness, membership = {}, {}, {}
+def _split(suite: Suite) -> tuple[dict[int, Check], dict[int, Check]]:
+    """The row-wise checks of a suite and those that need a grouping, by position."""
+    row_wise, grouped = {}, {}
     for i, check in enumerate(suite.checks):
-        if check.kind in _UNIQUENESS:
-            uniqueness[i] = check
-        elif isinstance(check.kwargs.get("value_set"), DataFrame):
-            membership[i] = check
-        else:
-            row_wise[i] = check
-    return row_wise, uniqueness, membership
+        in_table = isinstance(check.kwargs.get("value_set"), DataFrame)
+        (grouped if in_table or check.kind in _UNIQUENESS else row_wise)[i] = check
+    return row_wise, grouped
 
 
 def _require(df: DataFrame, suite: Suite) -> None:
@@ -392,72 +361,105 @@ def _require(df: DataFrame, suite: Suite) -> None:
         require_columns(df, check.columns)
 
 
-def validate(df: DataFrame, suite: Suite) -> DataFrame:
-    """One result row per check. Lazy: nothing runs until the results are used."""
-    _require(df, suite)
-    row_wise, uniqueness, membership = _split(suite)
-    parts = []
-    if row_wise:
-        measures = [m for i, c in row_wise.items() for m in _measures(df, c, i)]
-        parts.append(_result_rows(df.agg(*measures), suite.name, row_wise))
-    if uniqueness:
-        parts.append(_uniqueness(df, suite.name, uniqueness))
-    parts += [_membership(df, suite.name, i, c) for i, c in membership.items()]
+def _row_wise_measures(df: DataFrame, suite: Suite) -> list[Column]:
+    row_wise, _ = _split(suite)
+    return [m for i, check in row_wise.items() for m in _measures(df, check, i)]
+
+
+def _union(spark: SparkSession, parts: Sequence[DataFrame]) -> DataFrame:
     if not parts:
-        return df.sparkSession.createDataFrame([], RESULT_SCHEMA)
+        return spark.createDataFrame([], RESULT_SCHEMA)
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
     return whole
 
 
+def _grouped_results(df: DataFrame, suite: Suite) -> list[DataFrame]:
+    _, grouped = _split(suite)
+    return [
+        (_uniqueness if check.kind in _UNIQUENESS else _membership)(df, suite.name, i, check)
+        for i, check in grouped.items()
+    ]
+
+
+def validate(df: DataFrame, suite: Suite) -> DataFrame:
+    """One result row per check. Lazy: nothing runs until the results are used."""
+    _require(df, suite)
+    row_wise, _ = _split(suite)
+    parts = _grouped_results(df, suite)
+    if row_wise:
+        measures = df.agg(*_row_wise_measures(df, suite))
+        parts.insert(0, _result_rows(measures, suite.name, row_wise))
+    return _union(df.sparkSession, parts)
+
+
+@dataclass(frozen=True)
+class Measured:
+    """The row count and the measures of a suite's row-wise checks, already computed."""
+
+    suite: Suite
+    seen: Mapping[str, Any]
+
+    @property
+    def rows(self) -> int:
+        return self.seen["rows"]
+
+    def missing(self, columns: Sequence[str]) -> dict[str, int]:
+        """Nulls (and NaN) seen in each column, where the table was watched."""
+        counted = {c: self.seen.get(f"missing_{i}") for i, c in enumerate(columns)}
+        return {c: n for c, n in counted.items() if n is not None}
+
+    def results(self, df: DataFrame) -> DataFrame:
+        """Results of the whole suite; reads ``df`` only for checks that need a grouping."""
+        row_wise, _ = _split(self.suite)
+        parts = _grouped_results(df, self.suite)
+        if row_wise:
+            names = [
+                f"{m}_{i}" for i in row_wise for m in ("total", "unexpected", "lowest", "highest")
+            ]
+            types = ", ".join(
+                f"{n} {'bigint' if n.startswith(('total', 'unexpected')) else 'string'}"
+                for n in names
+            )
+            values = [tuple(self.seen[n] for n in names)]
+            row = df.sparkSession.createDataFrame(values, types)
+            parts.insert(0, _result_rows(row, self.suite.name, row_wise))
+        return _union(df.sparkSession, parts)
+
+
+def measure(df: DataFrame, suite: Suite) -> Measured:
+    """Count rows and compute the row-wise checks in one job that reads only their columns."""
+    _require(df, suite)
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *_row_wise_measures(df, suite)).first()
+    return Measured(suite, row.asDict())
+
+
 @dataclass(frozen=True)
 class Watched:
-    """A table whose row count and row-wise checks are computed while it is being written.
+    """A table whose rows, nulls and row-wise checks are counted by the next action on it.
 
-    Act on ``data`` once, then ask ``results`` (which scans only for uniqueness and
-    table membership) and ``rows``.
+    Write ``data`` once, then take ``measured``.
     """
 
     data: DataFrame
     suite: Suite
     observation: Observation
 
-    def rows(self) -> int:
-        return self.observation.get["rows"]
-
-    def missing(self) -> dict[str, int]:
-        """Nulls (and NaN) seen in each column."""
-        seen = self.observation.get
-        return {c: seen[f"missing_{i}"] for i, c in enumerate(self.data.columns)}
-
-    def results(self, written: DataFrame) -> DataFrame:
-        """Results of the whole suite; ``written`` is the table as read back."""
-        row_wise, uniqueness, membership = _split(self.suite)
-        rest = validate(
-            written, Suite(self.suite.name, [*uniqueness.values(), *membership.values()])
-        )
-        if not row_wise:
-            return rest
-        names = [f"{m}_{i}" for i in row_wise for m in ("total", "unexpected", "lowest", "highest")]
-        types = ", ".join(
-            f"{n} {'string' if n.startswith(('lowest', 'highest')) else 'bigint'}" for n in names
-        )
-        seen = self.observation.get
-        row = written.sparkSession.createDataFrame([tuple(seen[n] for n in names)], types)
-        return _result_rows(row, self.suite.name, row_wise).unionByName(rest)
+    def measured(self) -> Measured:
+        return Measured(self.suite, self.observation.get)
 
 
 def watch(df: DataFrame, suite: Suite) -> Watched:
     """Attach row and null counts and a suite's row-wise checks to the table's next action."""
     _require(df, suite)
-    row_wise, _, _ = _split(suite)
-    measures = [m for i, c in row_wise.items() for m in _measures(df, c, i)]
-    measures += [
+    counts = [
         F.count_if(present(df, c).isNull()).alias(f"missing_{i}") for i, c in enumerate(df.columns)
     ]
     observation = Observation()
-    observed = df.observe(observation, F.count(F.lit(1)).alias("rows"), *measures)
+    observed = df.observe(
+        observation, F.count(F.lit(1)).alias("rows"), *_row_wise_measures(df, suite), *counts
+    )
     return Watched(observed, suite, observation)
 
 

@@ -6,13 +6,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.fixed import CHUNK_WORDS, EMBEDDING_LENGTH, WHITESPACE
-from millrace.functions.text import chunks
+from millrace.functions.fixed import CHUNK_WORDS, EMBEDDING_LENGTH
+from millrace.functions.text import chunks, words
 
 
 def chunk_text(df: DataFrame, column: str, size: int = CHUNK_WORDS) -> DataFrame:
@@ -108,12 +108,11 @@ def embed_hashed(
 
     A stand-in where no model is at hand. Runs in the JVM.
     """
-    tokens = RegexTokenizer(inputCol="__text", outputCol="__words", pattern=WHITESPACE)
-    counts = HashingTF(inputCol="__words", outputCol="__counts", numFeatures=length)
-    unit = Normalizer(inputCol="__counts", outputCol="__unit", p=2.0)
-    staged = df.withColumn("__text", F.coalesce(F.col(column), F.lit("")))
-    for step in (tokens, counts, unit):
-        staged = step.transform(staged)
+    staged = df.withColumn("__words", words(F.lower(F.coalesce(F.col(column), F.lit("")))))
+    staged = HashingTF(inputCol="__words", outputCol="__counts", numFeatures=length).transform(
+        staged
+    )
+    staged = Normalizer(inputCol="__counts", outputCol="__unit", p=2.0).transform(staged)
     return staged.withColumn(name, vector_to_array("__unit", "float32")).drop(
-        "__text", "__words", "__counts", "__unit"
+        "__words", "__counts", "__unit"
     )

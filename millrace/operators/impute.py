@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions.fixed import MISSING_TEXT
 from millrace.functions.types import columns_of, in_family, type_of
 from millrace.operators.columns import require_columns
-from millrace.operators.stats import column_means, column_modes, present
+from millrace.operators.stats import counted_values, mode_of, present
 
 _log = logging.getLogger(__name__)
 
@@ -33,6 +33,7 @@ def impute(
     exclude: Sequence[str] = (),
     value: str = MISSING_TEXT,
     missing: Mapping[str, int] | None = None,
+    now: bool = False,
 ) -> Imputed:
     """Fill nulls (and NaN) in numeric and string columns.
 
@@ -42,65 +43,82 @@ def impute(
     ``columns``      restrict to these columns; ``exclude`` leaves columns out.
     ``missing``      known null counts, as observed when ``df`` was written. Columns that
                      miss nothing need no statistics, which spares the counting of values.
+    ``now``          compute the statistics at once, as one row per strategy, instead of as
+                     scalar subqueries of every query on the result.
 
-    A column without any value is left as it is. The statistics are one-row scalar
-    subqueries: two passes over ``df`` at most (means; counts for modes), however many
-    columns there are, and nothing is collected. Stage an expensive ``df`` first.
+    A column without any value is left as it is. The statistics take one pass over ``df``
+    for each strategy, however many columns there are. Stage an expensive ``df`` first.
     """
     chosen = list(columns) if columns is not None else df.columns
     require_columns(df, chosen)
     chosen = [c for c in chosen if c not in exclude]
     whole = [c for c in chosen if missing is not None and missing.get(c) == 0]
     chosen = [c for c in chosen if c not in whole]
-    numbers = [c for c in chosen if numeric and in_family(type_of(df, c), "numeric")]
-    texts = [c for c in chosen if categorical and in_family(type_of(df, c), "string")]
+    by_strategy = {
+        numeric: [c for c in chosen if in_family(type_of(df, c), "numeric")],
+        categorical: [c for c in chosen if in_family(type_of(df, c), "string")],
+    }
 
     fills: dict[str, Column] = {}
     logs: list[DataFrame] = [_nothing_missing(df, whole)] if whole else []
-    for strategy, names in ((numeric, numbers), (categorical, texts)):
-        if not names:
+    for strategy, names in by_strategy.items():
+        if strategy is None or not names:
             continue
         statistics = _statistics(df, strategy, names, value)
-        fills.update(_fills(df, strategy, names, statistics, value))
+        if now:
+            row = statistics.collect()
+            statistics = df.sparkSession.createDataFrame(row, statistics.schema)
+            found = {n: F.lit(row[0][f"value_{i}"]) for i, n in enumerate(names)}
+        elif strategy == "constant":
+            found = {n: F.lit(value) for n in names}
+        else:
+            struct = statistics.select(F.struct(*_values(names))).scalar()
+            found = {n: struct.getField(f"value_{i}") for i, n in enumerate(names)}
+        fills |= {n: F.coalesce(present(df, n), c.cast(type_of(df, n))) for n, c in found.items()}
         logs.append(_log_rows(df, strategy, names, statistics))
     data = df.withColumns(fills) if fills else df
     return Imputed(data, _union(logs or [_nothing_missing(df, [])]))
 
 
+def _values(names: Sequence[str]) -> list[str]:
+    return [f"value_{i}" for i in range(len(names))]
+
+
 def _statistics(df: DataFrame, strategy: str, names: list[str], value: str) -> DataFrame:
-    if strategy == "mean":
-        return column_means(df, names)
+    """One row: the filling value and the number of missing entries of each column."""
     if strategy == "mode":
-        return column_modes(df, names)
-    if strategy == "constant":
-        return df.sparkSession.range(1).select(*[F.lit(value).alias(n) for n in names])
-    raise ValueError(f"unknown strategy {strategy!r}")
-
-
-def _fills(
-    df: DataFrame, strategy: str, names: list[str], statistics: DataFrame, value: str
-) -> dict[str, Column]:
-    if strategy == "constant":
-        return {n: F.coalesce(F.col(n), F.lit(value)) for n in names}
-    row = statistics.select(F.struct(*names)).scalar()
-    return {
-        n: F.coalesce(present(df, n), row.getField(n).cast(type_of(df, n))) for n in names
-    }
+        own = [F.when((F.col("position") == i) & F.col("value").isNull(), F.col("n"))
+               for i in range(len(names))]
+        values = [mode_of(i) for i in range(len(names))]
+        absent = [F.coalesce(F.sum(o), F.lit(0)) for o in own]
+        source = counted_values(df, names)
+    elif strategy == "mean":
+        values = [F.avg(present(df, n)) for n in names]
+        absent = [F.count_if(present(df, n).isNull()) for n in names]
+        source = df
+    elif strategy == "constant":
+        values = [F.max(F.lit(value)) for _ in names]
+        absent = [F.count_if(F.col(n).isNull()) for n in names]
+        source = df
+    else:
+        raise ValueError(f"unknown strategy {strategy!r}")
+    return source.agg(
+        *[v.alias(f"value_{i}") for i, v in enumerate(values)],
+        *[a.cast("long").alias(f"missing_{i}") for i, a in enumerate(absent)],
+    )
 
 
 def _log_rows(
     df: DataFrame, strategy: str, names: list[str], statistics: DataFrame
 ) -> DataFrame:
-    missing = df.agg(*[F.count_if(present(df, n).isNull()).alias(n) for n in names])
-    filled = statistics.select(F.struct(*names)).scalar()
     rows = [
         F.struct(
             F.lit(n).alias("column"),
             F.lit(strategy).alias("strategy"),
-            filled.getField(n).cast(type_of(df, n)).cast("string").alias("value"),
-            F.col(n).alias("missing"),
+            F.col(f"value_{i}").cast(type_of(df, n)).cast("string").alias("value"),
+            F.col(f"missing_{i}").alias("missing"),
         )
-        for n in names
+        for i, n in enumerate(names)
     ]
     outcome = (
         F.when(F.col("missing") == 0, "nothing missing")
@@ -108,7 +126,7 @@ def _log_rows(
         .otherwise("filled")
     )
     return (
-        missing.select(F.explode(F.array(*rows)).alias("row"))
+        statistics.select(F.explode(F.array(*rows)).alias("row"))
         .select("row.*")
         .withColumn("outcome", outcome)
     )

@@ -28,25 +28,23 @@ def column_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def column_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row with the most frequent value of each column; ties go to the smallest value.
 
-    Values of all columns are counted in one pass. Counting combines on the map side, so a
-    value that fills most of a column costs one row per task in the shuffle, and a column
-    with many distinct values spreads over all tasks instead of filling one buffer.
+    Nulls do not count. Values of all columns are counted in one pass. Counting combines on
+    the map side, so a value that fills most of a column costs one row per task in the
+    shuffle, and a column with many distinct values spreads over all tasks instead of
+    filling one buffer.
     """
     require_columns(df, columns)
-    counts = _value_counts(df, columns)
-    best = [
-        F.min(F.when(F.col("position") == i, F.struct((-F.col("n")).alias("n"), F.col("value"))))
-        for i in range(len(columns))
-    ]
+    counts = counted_values(df, columns).filter(F.col("value").isNotNull())
     return counts.agg(
-        *[
-            b.getField("value").cast(type_of(df, c)).alias(c)
-            for b, c in zip(best, columns, strict=True)
-        ]
+        *[mode_of(i).cast(type_of(df, c)).alias(c) for i, c in enumerate(columns)]
     )
 
 
-def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def counted_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """How often each column holds each value: ``position`` of the column, ``value``, ``n``.
+
+    Values are compared as text, which is exact for every atomic type.
+    """
     entries = [
         F.struct(F.lit(i).alias("position"), F.col(c).cast("string").alias("value"))
         for i, c in enumerate(columns)
@@ -54,12 +52,18 @@ def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return (
         df.select(F.explode(F.array(*entries)).alias("entry"))
         .select("entry.*")
-        .filter(F.col("value").isNotNull())
         .groupBy("position", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
+def mode_of(position: int) -> Column:
+    """Aggregate over ``counted_values``: the most frequent value of the column there."""
+    own = (F.col("position") == position) & F.col("value").isNotNull()
+    entry = F.struct((-F.col("n")).alias("n"), F.col("value"))
+    return F.min(F.when(own, entry)).getField("value")
+
+
 def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"))
 

@@ -19,11 +19,13 @@ from pyspark.storagelevel import StorageLevel
 
 from millrace.operators import columns as cols
 from millrace.operators.checks import (
+    GROUPING,
+    RESULT_SCHEMA,
     Check,
+    Measured,
     Suite,
-    Watched,
     enforce,
-    validate,
+    measure,
     watch,
 )
 from millrace.operators.impute import impute, warn_skipped
@@ -36,6 +38,7 @@ from millrace.sources.writers import write_report, write_table
 
 STEP_TYPES = ("join", "filter", "aggregation", "column_manipulation")
 RULE_TYPES = ("condition", "calculation", "domain_logic")
+_WIDE_STEPS = ("join", "aggregation")
 OUTPUT_TYPES = ("scoring_model", "format", "metadata")
 
 
@@ -142,18 +145,22 @@ class JobResult:
 
     data: DataFrame
     tables: Mapping[str, DataFrame]
-    results: DataFrame | None
+    results: DataFrame
     log: DataFrame
     warnings: Sequence[Row]
     release: Callable[[], None]
 
 
 class Stages:
-    """Materializes the tables that are checked, and keeps the log of what each one held.
+    """Checks tables, materializes those worth it, and keeps the log of what each one held.
 
     ``how`` is "table" (Parquet in the shared folder: survives lost executors and is read
-    column by column), "persist" (memory and disk of the executors) or None (checks run on
-    the lazy plan). Row counts and row-wise checks are observed during the write.
+    column by column), "persist" (memory and disk of the executors) or None.
+
+    A table is materialized when its plan shuffles or its checks group it: joins,
+    aggregations, uniqueness. Its rows, nulls and row-wise checks are then counted by the
+    write itself. Otherwise the table is a narrow step on top of a materialized one, and
+    checking it reads just the checked columns.
     """
 
     def __init__(self, spark: SparkSession, how: str | None, report_path: str | None) -> None:
@@ -162,54 +169,51 @@ class Stages:
         self.spark = spark
         self.how = how
         self.report_path = report_path
-        self.results: list[DataFrame] = []
+        self.results: list[Row] = []
         self.warnings: list[Row] = []
         self.missing: dict[str, dict[str, int]] = {}
-        self._log: list[tuple[int, str, int | None, str]] = []
+        self._log: list[tuple[int, str, int, str]] = []
         self._persisted: list[DataFrame] = []
 
-    def check(self, df: DataFrame, name: str, checks: Sequence[Check]) -> DataFrame:
-        """Stage a table, validate it, keep the results, and stop the job on a critical failure."""
+    def check(
+        self, df: DataFrame, name: str, checks: Sequence[Check], wide: bool = False
+    ) -> DataFrame:
+        """Validate a table, keep the results, and stop the job on a critical failure."""
         suite = Suite(f"{name}_suite", checks)
-        staged, rows, results = self._materialize(df, name, suite)
-        self._log.append((len(self._log), name, rows, df.schema.simpleString()))
-        if checks:
-            collected = self.spark.createDataFrame(results.collect(), results.schema)
-            self.results.append(collected)
-            if self.report_path:
-                write_report(collected, self.report_path)
-            self.warnings += enforce(collected)
-        return staged
-
-    def _materialize(
-        self, df: DataFrame, name: str, suite: Suite
-    ) -> tuple[DataFrame, int | None, DataFrame]:
-        if self.how is None:
-            return df, None, validate(df, suite)
-        watched: Watched = watch(df, suite)
+        self.missing.pop(name, None)
+        if self.how and (wide or any(c.kind in GROUPING for c in checks)):
+            df, measured = self._materialize(df, name, suite)
+            self.missing[name] = measured.missing(df.columns)
+        else:
+            measured = measure(df, suite)
+        self._log.append((len(self._log), name, measured.rows, df.schema.simpleString()))
+        results = self.spark.createDataFrame(measured.results(df).collect(), RESULT_SCHEMA)
+        self.results += results.collect()
+        if self.report_path:
+            write_report(results, self.report_path)
+        self.warnings += enforce(results)
+        return df
+
+    def _materialize(self, df: DataFrame, name: str, suite: Suite) -> tuple[DataFrame, Measured]:
         if self.how == "table":
+            watched = watch(df, suite)
             path = new_path(self.spark, name)
             write_table(watched.data, path)
-            staged = self.spark.read.schema(df.schema).parquet(path)
-        else:
-            staged = df.persist(StorageLevel.MEMORY_AND_DISK)
-            self._persisted.append(staged)
-            watched = watch(staged, suite)
-            watched.data.write.format("noop").mode("overwrite").save()
-        self.missing[name] = watched.missing()
-        return staged, watched.rows(), watched.results(staged)
+            return self.spark.read.schema(df.schema).parquet(path), watched.measured()
+        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self._persisted.append(kept)
+        watched = watch(kept, suite)
+        watched.data.write.format("noop").mode("overwrite").save()
+        return kept, watched.measured()
 
     def log(self) -> DataFrame:
-        """One row per stage: position, stage, rows and schema."""
+        """One row per checked table: position, stage, rows and schema."""
         return self.spark.createDataFrame(
             self._log, "position int, stage string, rows bigint, schema string"
         )
 
-    def all_results(self) -> DataFrame | None:
-        whole = None
-        for part in self.results:
-            whole = part if whole is None else whole.unionByName(part)
-        return whole
+    def all_results(self) -> DataFrame:
+        return self.spark.createDataFrame(self.results, RESULT_SCHEMA)
 
     def release(self) -> None:
         for df in self._persisted:
@@ -234,7 +238,7 @@ def _impute(
     settings: dict[str, Any] = {"numeric": numeric, "categorical": categorical}
     if "value" in operation:
         settings["value"] = operation["value"]
-    done = impute(df, columns=operation.get("columns"), exclude=keep, missing=missing, **settings)
+    done = impute(df, columns=operation.get("columns"), exclude=keep, missing=missing, now=True, **settings)
     if operation.get("report_skipped"):
         warn_skipped(done.log)
     return done.data
@@ -344,8 +348,8 @@ def run_job(
     """Run a job over named tables.
 
     Steps run in order, then rules and outputs on the last step's table. A table with
-    checks is staged and validated before the job goes on; a CRITICAL failure raises, a
-    WARNING is logged and kept. ``keep`` names columns, such as a label, that imputation
+    checks is validated before the job goes on; a CRITICAL failure raises, a WARNING is
+    logged and kept. ``stage`` says how checked joins and aggregations are materialized. ``keep`` names columns, such as a label, that imputation
     by type leaves alone, as it does the join keys. An output of type "format" with a
     ``path`` is written there after the global checks have passed.
     """
@@ -364,7 +368,9 @@ def run_job(
             df = apply_step(step, named, untouched, stages.missing)
             current = step.output
             stages.missing.pop(current, None)
-            named[current] = stages.check(df, current, step.checks) if step.checks else df
+            if step.checks:
+                df = stages.check(df, current, step.checks, wide=step.type in _WIDE_STEPS)
+            named[current] = df
         df = named[current]
         for rule in spec.rules:
             df = apply_rule(df, rule)
@@ -372,7 +378,7 @@ def run_job(
             df = apply_output(df, output, models or {})
             current = output.output or current
             if output.checks:
-                df = stages.check(df, current, output.checks)
+                df = stages.check(df, current, output.checks, wide="model" in output.arguments)
             named[current] = df
         if spec.global_checks:
             df = stages.check(df, "global", spec.global_checks)

@@ -367,7 +367,7 @@ def validate_while_writing(spark: SparkSession, folder: str) -> DataFrame:
     watched = q.watch(table(spark, folder, "lineitem"), _lineitem_suite())
     path = new_path(spark, "lineitem")
     watched.data.write.parquet(path)
-    return _flat(watched.results(spark.read.parquet(path)))
+    return _flat(watched.measured().results(spark.read.parquet(path)))
 
 
 @query(
