@@ -479,12 +479,14 @@ def gate(results: DataFrame) -> DataFrame:
     )
 
 
-def enforce(results: DataFrame) -> list[Row]:
+def enforce(results: DataFrame | Sequence[Row]) -> list[Row]:
     """Raise if a CRITICAL check failed; log WARNING failures and return them.
 
     Collects the failed result rows only: at most one per check.
     """
-    failures = results.filter(~F.col("success")).collect()
+    if isinstance(results, DataFrame):
+        results = results.filter(~F.col("success")).collect()
+    failures = [row for row in results if not row["success"]]
     for row in failures:
         _log.warning(
             "%s: %s on %s failed (%s): %s of %s unexpected; %s",

@@ -10,6 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from millrace.functions.fixed import SCORE_MAX
 from millrace.operators.columns import random_column, remainder
@@ -43,7 +44,11 @@ def train(
     kind: str = "logistic",
     **settings: object,
 ) -> PipelineModel:
-    """Fit a classifier on numeric columns: "logistic" or "gbt" (boosted trees)."""
+    """Fit a classifier on numeric columns: "logistic" or "gbt" (boosted trees).
+
+    Training passes over the data many times, so the few columns it needs are kept in memory
+    and on disk meanwhile.
+    """
     if kind == "logistic":
         classifier = LogisticRegression(labelCol=label, featuresCol=FEATURES, **settings)
     elif kind == "gbt":
@@ -51,7 +56,12 @@ def train(
     else:
         raise ValueError(f"unknown model kind {kind!r}")
     needed = df.select(*columns, F.col(label).cast("double").alias(label))
-    return _reloaded(Pipeline(stages=[features(columns), classifier]).fit(needed), df.sparkSession)
+    needed = needed.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = Pipeline(stages=[features(columns), classifier]).fit(needed)
+    finally:
+        needed.unpersist()
+    return _reloaded(fitted, df.sparkSession)
 
 
 def _reloaded(model: PipelineModel, spark: SparkSession) -> PipelineModel:

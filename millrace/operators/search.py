@@ -8,13 +8,12 @@ from collections.abc import Iterable, Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.fixed import DEFAULT_TOP_K, EMBEDDING_LENGTH
 from millrace.functions.types import in_family, type_of
-from millrace.functions.vectors import SCORE_PLACES, cosine, literal_vector
+from millrace.functions.vectors import SCORE_PLACES, cosine_to, matrix
 from millrace.operators.checks import Suite, validate, vector_length
 
 # Queries up to this many bytes of doubles are broadcast; larger sets are split into blocks.
@@ -48,15 +47,16 @@ def top_k(
 ) -> DataFrame:
     """The ``k`` rows most similar to one query vector, with all their columns and ``score``.
 
-    Ties go to the smallest key. Each task keeps its own best ``k``, so nothing but those
-    rows leaves a partition. ``where`` filters before ranking.
+    Ties go to the smallest key. Only the vectors go through the Arrow function, and each
+    task keeps its own best ``k``, so nothing but those rows leaves a partition. ``where``
+    filters before ranking.
     """
     candidates = matching(vectors, where) if where else vectors
     return (
-        candidates.withColumn("score", cosine(F.col(vector), literal_vector(query)))
-        .filter(F.col("score").isNotNull())
-        .orderBy(F.desc("score"), F.asc(key))
+        candidates.withColumn("score", cosine_to(query, F.col(vector)))
+        .orderBy(F.desc_nulls_last("score"), F.asc(key))
         .limit(k)
+        .filter(F.col("score").isNotNull())
     )
 
 
@@ -173,17 +173,8 @@ def _arrow_schema(stored: DataFrame, asked: DataFrame) -> pa.Schema:
 
 def _unit_rows(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
     """The keys (first column) and the vectors scaled to length one; zero vectors drop out."""
-    vectors = table.column(column).combine_chunks()
     keys = table.column(0).to_numpy(zero_copy_only=False)
-    if isinstance(vectors, pa.ChunkedArray):
-        vectors = pa.concat_arrays(vectors.chunks) if vectors.num_chunks else None
-    if vectors is None or not len(vectors):
-        return keys, np.zeros((0, 0))
-    lengths = pc.unique(pc.list_value_length(vectors)).to_pylist()
-    if len(lengths) != 1:
-        raise ValueError(f"vectors differ in length: {sorted(lengths)}")
-    rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = rows.reshape(len(vectors), lengths[0])
+    rows = matrix(table.column(column).combine_chunks())
     norms = np.linalg.norm(rows, axis=1)
     usable = norms > 0
     return keys[usable], rows[usable] / norms[usable, None]

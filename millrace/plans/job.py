@@ -163,12 +163,11 @@ class Stages:
     checking it reads just the checked columns.
     """
 
-    def __init__(self, spark: SparkSession, how: str | None, report_path: str | None) -> None:
+    def __init__(self, spark: SparkSession, how: str | None) -> None:
         if how not in ("table", "persist", None):
             raise ValueError(f"cannot stage by {how!r}")
         self.spark = spark
         self.how = how
-        self.report_path = report_path
         self.results: list[Row] = []
         self.warnings: list[Row] = []
         self.missing: dict[str, dict[str, int]] = {}
@@ -187,10 +186,8 @@ class Stages:
         else:
             measured = measure(df, suite)
         self._log.append((len(self._log), name, measured.rows, df.schema.simpleString()))
-        results = self.spark.createDataFrame(measured.results(df).collect(), RESULT_SCHEMA)
-        self.results += results.collect()
-        if self.report_path:
-            write_report(results, self.report_path)
+        results = measured.results(df).collect()
+        self.results += results
         self.warnings += enforce(results)
         return df
 
@@ -349,7 +346,8 @@ def run_job(
 
     Steps run in order, then rules and outputs on the last step's table. A table with
     checks is validated before the job goes on; a CRITICAL failure raises, a WARNING is
-    logged and kept. ``stage`` says how checked joins and aggregations are materialized. ``keep`` names columns, such as a label, that imputation
+    logged and kept. ``stage`` says how checked joins and aggregations are materialized;
+    ``report_path`` gets the results of all checks that ran, whether the job ends or stops. ``keep`` names columns, such as a label, that imputation
     by type leaves alone, as it does the join keys. An output of type "format" with a
     ``path`` is written there after the global checks have passed.
     """
@@ -360,7 +358,7 @@ def run_job(
         raise ValueError(f"no table for the sources {', '.join(absent)}")
     named = {name: tables[name] for name in spec.sources}
     spark = next(iter(named.values())).sparkSession
-    stages = Stages(spark, stage, report_path)
+    stages = Stages(spark, stage)
     untouched = [*_join_keys(spec), *keep]
     try:
         current = spec.sources[0]
@@ -389,6 +387,9 @@ def run_job(
     except Exception:
         stages.release()
         raise
+    finally:
+        if report_path and stages.results:
+            write_report(stages.all_results(), report_path)
     return JobResult(
         df, named, stages.all_results(), stages.log(), stages.warnings, stages.release
     )

@@ -8,23 +8,25 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import words
 from millrace.operators import model as m
+from millrace.operators.columns import derive, ratio
 from millrace.operators.joins import join_tables
 from millrace.queries.registry import query, table
 from millrace.sources.models import load_model, save_model
 from millrace.sources.scratch import new_path
 
-_FEATURES = ["n_chars", "n_words", "n_lines", "n_symbols"]
+_FEATURES = ["n_chars", "n_words", "n_lines", "word_length"]
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
-    return table(spark, folder, "documents").select(
+    counted = table(spark, folder, "documents").select(
         "doc_id",
         F.col("n_chars").cast("double").alias("n_chars"),
         F.size(words(text)).cast("double").alias("n_words"),
         F.size(F.split(text, "\n")).cast("double").alias("n_lines"),
-        F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]", "")).cast("double").alias("n_symbols"),
     )
+    word_length = F.coalesce(ratio("n_chars", "n_words"), F.lit(0.0))
+    return derive(counted, {"word_length": word_length})
 
 
 def _fitted(spark: SparkSession, folder: str, kind: str, **settings: int) -> PipelineModel:
