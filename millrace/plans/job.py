@@ -18,6 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from millrace.operators import columns as cols
+from millrace.operators.catalog import (
+    mentioned_columns,
+    missing_columns,
+    parse_specs,
+    spec_sources,
+)
 from millrace.operators.checks import (
     GROUPING,
     RESULT_SCHEMA,
@@ -90,6 +96,7 @@ class Output:
     """What happens to the final table: scoring, extra columns, projection or a write."""
 
     type: str
+    input: str | None = None
     output: str | None = None
     arguments: Mapping[str, Any] = field(default_factory=dict)
     checks: tuple[Check, ...] = ()
@@ -102,7 +109,8 @@ class Output:
     def from_dict(cls, spec: Mapping[str, Any]) -> Output:
         own = {"type", "details", "input_table_name", "output_table_name", "data_quality_checks"}
         arguments = {k: v for k, v in spec.items() if k not in own}
-        return cls(spec["type"], spec.get("output_table_name"), arguments, _checks(spec))
+        names = spec.get("input_table_name"), spec.get("output_table_name")
+        return cls(spec["type"], *names, arguments, _checks(spec))
 
 
 @dataclass(frozen=True)
@@ -157,9 +165,10 @@ class Stages:
     ``how`` is "table" (Parquet in the shared folder: survives lost executors and is read
     column by column), "persist" (memory and disk of the executors) or None.
 
-    A table is materialized when its plan shuffles or its checks group it: joins,
-    aggregations, uniqueness. Its rows, nulls and row-wise checks are then counted by the
-    write itself. Otherwise the table is a narrow step on top of a materialized one, and
+    A table that is read more than once (checked, imputed) is materialized when its plan
+    has a join, an aggregation or a model since the last materialized table, or when its
+    checks group it. Its rows, nulls and row-wise checks are then counted by the write
+    itself. Otherwise it is a narrow step on top of a materialized table or a source, and
     checking it reads just the checked columns.
     """
 
@@ -171,18 +180,23 @@ class Stages:
         self.results: list[Row] = []
         self.warnings: list[Row] = []
         self.missing: dict[str, dict[str, int]] = {}
+        self.costly: set[str] = set()
         self._log: list[tuple[int, str, int, str]] = []
         self._persisted: list[DataFrame] = []
 
-    def check(
-        self, df: DataFrame, name: str, checks: Sequence[Check], wide: bool = False
-    ) -> DataFrame:
+    def made(self, name: str, inputs: Sequence[str], wide: bool) -> None:
+        """Note a table that a step has produced from others."""
+        self.missing.pop(name, None)
+        if wide or any(i in self.costly for i in inputs):
+            self.costly.add(name)
+        else:
+            self.costly.discard(name)
+
+    def check(self, df: DataFrame, name: str, checks: Sequence[Check]) -> DataFrame:
         """Validate a table, keep the results, and stop the job on a critical failure."""
         suite = Suite(f"{name}_suite", checks)
-        self.missing.pop(name, None)
-        if self.how and (wide or any(c.kind in GROUPING for c in checks)):
+        if self.how and (name in self.costly or any(c.kind in GROUPING for c in checks)):
             df, measured = self._materialize(df, name, suite)
-            self.missing[name] = measured.missing(df.columns)
         else:
             measured = measure(df, suite)
         self._log.append((len(self._log), name, measured.rows, df.schema.simpleString()))
@@ -191,17 +205,29 @@ class Stages:
         self.warnings += enforce(results)
         return df
 
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Materialize a costly table that is about to be read more than once."""
+        if not self.how or name not in self.costly:
+            return df
+        df, measured = self._materialize(df, name, Suite(name))
+        self._log.append((len(self._log), name, measured.rows, df.schema.simpleString()))
+        return df
+
     def _materialize(self, df: DataFrame, name: str, suite: Suite) -> tuple[DataFrame, Measured]:
         if self.how == "table":
             watched = watch(df, suite)
             path = new_path(self.spark, name)
             write_table(watched.data, path)
-            return self.spark.read.schema(df.schema).parquet(path), watched.measured()
-        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-        self._persisted.append(kept)
-        watched = watch(kept, suite)
-        watched.data.write.format("noop").mode("overwrite").save()
-        return kept, watched.measured()
+            kept = self.spark.read.schema(df.schema).parquet(path)
+        else:
+            kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self._persisted.append(kept)
+            watched = watch(kept, suite)
+            watched.data.write.format("noop").mode("overwrite").save()
+        measured = watched.measured()
+        self.costly.discard(name)
+        self.missing[name] = measured.missing(kept.columns)
+        return kept, measured
 
     def log(self) -> DataFrame:
         """One row per checked table: position, stage, rows and schema."""
@@ -324,6 +350,11 @@ def _table(tables: Mapping[str, DataFrame], name: str) -> DataFrame:
     return tables[name]
 
 
+def _imputes(step: Step) -> bool:
+    operations = step.arguments.get("transformations_details") or ()
+    return any(o["operation"] in _IMPUTATIONS for o in operations)
+
+
 def _join_keys(spec: Spec) -> list[str]:
     """Join keys: imputation by type leaves them alone."""
     keys: list[str] = []
@@ -347,9 +378,10 @@ def run_job(
     Steps run in order, then rules and outputs on the last step's table. A table with
     checks is validated before the job goes on; a CRITICAL failure raises, a WARNING is
     logged and kept. ``stage`` says how checked joins and aggregations are materialized;
-    ``report_path`` gets the results of all checks that ran, whether the job ends or stops. ``keep`` names columns, such as a label, that imputation
-    by type leaves alone, as it does the join keys. An output of type "format" with a
-    ``path`` is written there after the global checks have passed.
+    ``report_path`` gets the results of all checks that ran, whether the job ends or stops.
+    ``keep`` names columns, such as a label, that imputation by type leaves alone, as it
+    does the join keys. The final table is written to the ``path`` of an output of type
+    "format" after the global checks have passed.
     """
     if not isinstance(spec, Spec):
         spec = Spec.from_dict(spec)
@@ -363,27 +395,29 @@ def run_job(
     try:
         current = spec.sources[0]
         for step in spec.steps:
+            if _imputes(step):
+                given = step.inputs[0]
+                named[given] = stages.keep(_table(named, given), given)
             df = apply_step(step, named, untouched, stages.missing)
             current = step.output
-            stages.missing.pop(current, None)
-            if step.checks:
-                df = stages.check(df, current, step.checks, wide=step.type in _WIDE_STEPS)
-            named[current] = df
-        df = named[current]
+            stages.made(current, step.inputs, step.type in _WIDE_STEPS)
+            named[current] = stages.check(df, current, step.checks) if step.checks else df
         for rule in spec.rules:
-            df = apply_rule(df, rule)
+            named[current] = apply_rule(named[current], rule)
+            stages.made(current, [current], False)
         for output in spec.outputs:
-            df = apply_output(df, output, models or {})
-            current = output.output or current
-            if output.checks:
-                df = stages.check(df, current, output.checks, wide="model" in output.arguments)
-            named[current] = df
+            given = output.input or current
+            df = apply_output(_table(named, given), output, models or {})
+            current = output.output or given
+            stages.made(current, [given], "model" in output.arguments)
+            named[current] = stages.check(df, current, output.checks) if output.checks else df
         if spec.global_checks:
-            df = stages.check(df, "global", spec.global_checks)
-            named[current] = df
+            stages.made("global", [current], False)
+            named[current] = stages.check(named[current], "global", spec.global_checks)
         for output in spec.outputs:
             if output.type == "format" and "path" in output.arguments:
-                write_table(df, output.arguments["path"], output.arguments.get("fmt", "parquet"))
+                fmt = output.arguments.get("fmt", "parquet")
+                write_table(named[current], output.arguments["path"], fmt)
     except Exception:
         stages.release()
         raise
@@ -391,18 +425,61 @@ def run_job(
         if report_path and stages.results:
             write_report(stages.all_results(), report_path)
     return JobResult(
-        df, named, stages.all_results(), stages.log(), stages.warnings, stages.release
+        named[current],
+        named,
+        stages.all_results(),
+        stages.log(),
+        stages.warnings,
+        stages.release,
     )
 
 
+def made_columns(spec: Mapping[str, Any]) -> set[str]:
+    """Columns that a spec says it creates: measures, derived, renamed and scored ones."""
+    made: set[str] = set()
+    operations = [
+        o for s in spec.get("transformation") or () for o in s.get("transformations_details") or ()
+    ]
+    everything = [
+        *(spec.get("transformation") or ()),
+        *operations,
+        *(spec.get("business_rules") or ()),
+        *(spec.get("output") or ()),
+    ]
+    for entry in everything:
+        made.update(entry.get("measures") or ())
+        made.update(entry.get("expressions") or ())
+        made.update((entry.get("names") or {}).values())
+        if isinstance(entry.get("name"), str):
+            made.add(entry["name"])
+    return made
+
+
+def audit(spec: Mapping[str, Any], tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Columns that a spec mentions, does not create, and finds in none of its sources."""
+    spark = next(iter(tables.values())).sparkSession
+    stored = spark.createDataFrame([(0, json.dumps(spec))], "id int, spec string")
+    specs = parse_specs(stored, "id", "spec")
+    mentioned = mentioned_columns(specs).filter(~F.col("column").isin(list(made_columns(spec))))
+    columns = [(name, c) for name, df in tables.items() for c in df.columns]
+    known = spark.createDataFrame(columns, "table string, column string")
+    return missing_columns(mentioned, spec_sources(specs), known).select("column")
+
+
 def run_files(
     spark: SparkSession,
     base: str,
-    spec: Spec | Mapping[str, Any],
+    spec: Mapping[str, Any],
     fmt: str = "csv",
     **settings: Any,
 ) -> JobResult:
-    """As ``run_job``, with the sources read from ``{base}/{name}.{fmt}``."""
-    if not isinstance(spec, Spec):
-        spec = Spec.from_dict(spec)
-    return run_job(load_sources(spark, base, spec.sources, fmt), spec, **settings)
+    """As ``run_job``, with the sources read from ``{base}/{name}.{fmt}``.
+
+    A source without a file stops the job first, then any mentioned column that no source
+    has; all of them are named.
+    """
+    tables = load_sources(spark, base, [s["name"] for s in spec["source"]], fmt)
+    absent = sorted(row["column"] for row in audit(spec, tables).collect())
+    if absent:
+        raise ValueError(f"no source has the columns {', '.join(absent)}")
+    return run_job(tables, spec, **settings)
