@@ -17,6 +17,9 @@ TABLE_TEMPLATE_VALUES = ("train", "test")
 TABLE_SUFFIX = ".csv"
 CATALOG_SENTENCE = "Table: %s, Column: %s, Description: %s, Data Type: %s, Nullable: %s"
 
+# The text under which a request and its spec are stored.
+SPEC_ITEM = "problem_type::%s => %s"
+
 # Severities and the scoring range.
 CRITICAL = "CRITICAL"
 WARNING = "WARNING"

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.fixed import (
     CATALOG_SENTENCE,
+    SPEC_ITEM,
     TABLE_SUFFIX,
     TABLE_TEMPLATE,
     TABLE_TEMPLATE_VALUES,
@@ -22,11 +23,15 @@ PROFILE_SCHEMA = "column string, data_type string, nullable boolean, null_count
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """Type, null presence and null count of every column, from one pass over the table."""
+    """Type, null presence and null count of every column, from one pass over the table.
+
+    Nulls are the rows less the non-null values: two plain counts, which Spark can answer
+    from Parquet footers where ``spark.sql.parquet.aggregatePushdown`` is on.
+    """
     if not df.columns:
         return df.sparkSession.createDataFrame([], PROFILE_SCHEMA)
     counts = df.agg(
-        *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)]
+        *[(F.count(F.lit(1)) - F.count(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)]
     )
     rows = [
         F.struct(
@@ -72,6 +77,28 @@ def cached_profile(df: DataFrame, table: str, store: str) -> DataFrame:
     return read_table(spark, path, schema=PROFILE_SCHEMA)
 
 
+def profile_sources(
+    spark: SparkSession, dictionary: DataFrame, base: str, store: str | None = None
+) -> DataFrame:
+    """Profiles of the CSV files below ``base`` that a dictionary describes.
+
+    The names of the described tables are collected: metadata, one name per file. A file
+    that is missing or unreadable contributes nothing. With a ``store`` each file is
+    profiled once and its stored profile is read from then on.
+    """
+    names = [r["table"] for r in expand_tables(dictionary).select("table").distinct().collect()]
+    whole = spark.createDataFrame([], f"table string, {PROFILE_SCHEMA}")
+    for name in sorted(names):
+        path = f"{base}/{name}"
+        try:
+            df = read_table(spark, path, "csv")
+        except SourceError:
+            continue
+        found = cached_profile(df, name, store) if store else profile(df)
+        whole = whole.unionByName(found.select(F.lit(name).alias("table"), "*"))
+    return whole
+
+
 def expand_tables(dictionary: DataFrame) -> DataFrame:
     """Dictionary rows as ``table, column, original_description``.
 
@@ -127,6 +154,24 @@ def catalog_text(catalog: DataFrame) -> DataFrame:
     return catalog.withColumn("text", text)
 
 
+def catalog_items(catalog: DataFrame) -> DataFrame:
+    """Catalog rows as text items: the sentence, and the row's fields as metadata."""
+    fields = ("table", "column", "original_description", "data_type")
+    entries = [part for f in fields for part in (F.lit(f), F.coalesce(F.col(f), F.lit("")))]
+    nullable = F.when(F.col("nullable"), "True").otherwise("False")
+    metadata = F.create_map(*entries, F.lit("nullable"), nullable)
+    return catalog_text(catalog).select("text", metadata.alias("metadata"))
+
+
+def spec_items(specs: DataFrame, request: str, spec: str, source: str) -> DataFrame:
+    """Job specs (JSON text) as text items next to the request each one answers."""
+    text = F.format_string(SPEC_ITEM, F.col(request), F.col(spec))
+    metadata = F.create_map(
+        F.lit("source"), F.lit(source), F.lit("request"), F.coalesce(F.col(request), F.lit(""))
+    )
+    return specs.select("*", text.alias("text"), metadata.alias("metadata"))
+
+
 def lookup(catalog: DataFrame, table: str, column: str) -> DataFrame:
     """The catalog rows of exactly this table and column."""
     return catalog.filter((F.col("table") == table) & (F.col("column") == column))

@@ -56,6 +56,30 @@ def chunk_counts(chunked: DataFrame, key: str) -> DataFrame:
     return chunked.groupBy(key).agg(F.count(F.lit(1)).alias("chunks"))
 
 
+def to_records(
+    items: DataFrame,
+    encode: Callable[[list[str]], Sequence[Sequence[float]]] | None = None,
+    length: int = EMBEDDING_LENGTH,
+    size: int = CHUNK_WORDS,
+) -> DataFrame:
+    """Text items (``text``, ``metadata``) as vector records: ``id, embedding, metadata``.
+
+    Each chunk becomes a record whose metadata carries the chunk. Equal items give equal
+    ids, and one record of each id is kept. Without ``encode``, words are hashed.
+    """
+    chunked = with_chunk_ids(items.select("text", "metadata"), "text", "metadata", size)
+    records = merge_metadata(chunked, "metadata", "chunk").select(
+        F.col("chunk_id").alias("id"), "chunk", "metadata"
+    )
+    once = records.groupBy("id").agg(
+        F.first("chunk").alias("chunk"), F.first("metadata").alias("metadata")
+    )
+    embedded = (
+        embed(once, "chunk", encode, length) if encode else embed_hashed(once, "chunk", length)
+    )
+    return embedded.select("id", "embedding", "metadata")
+
+
 def latest(df: DataFrame, key: str, version: str) -> DataFrame:
     """The row with the highest version of each key.
 
@@ -74,7 +98,7 @@ def upsert(existing: DataFrame, new: DataFrame, key: str, version: str) -> DataF
     to a new path: Spark cannot overwrite a table it is reading.
     """
     incoming = latest(new.select(*existing.columns), key, version)
-    kept = existing.join(incoming.select(key), key, "left_anti")
+    kept = existing.join(new.select(key).distinct(), key, "left_anti")
     return kept.select(*existing.columns).unionByName(incoming)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,8 +15,10 @@ from millrace.functions.fixed import DEFAULT_TOP_K, EMBEDDING_LENGTH
 from millrace.functions.types import in_family, type_of
 from millrace.functions.vectors import SCORE_PLACES, cosine_to, matrix
 from millrace.operators.checks import Suite, validate, vector_length
+from millrace.operators.chunks import embed, embed_hashed
 
-# Queries up to this many bytes of doubles are broadcast; larger sets are split into blocks.
+# Queries whose vectors and best hits take up to this many bytes are broadcast; larger sets
+# are split into blocks.
 QUERY_BYTES = 32 * 1024 * 1024
 # Vectors per slice when both sides are split.
 SLICE_ROWS = 200_000
@@ -60,6 +62,20 @@ def top_k(
     )
 
 
+def search_text(
+    records: DataFrame,
+    text: str,
+    k: int = DEFAULT_TOP_K,
+    encode: Callable[[list[str]], Sequence[Sequence[float]]] | None = None,
+    length: int = EMBEDDING_LENGTH,
+    where: Mapping[str, object] | None = None,
+) -> DataFrame:
+    """The ``k`` records nearest to a text, embedded the way the records were."""
+    asked = records.sparkSession.createDataFrame([(text,)], "text string")
+    embedded = embed(asked, "text", encode, length) if encode else embed_hashed(asked, "text", length)
+    return top_k(records, embedded.first()["embedding"], k, where=where)
+
+
 def top_k_join(
     queries: DataFrame,
     vectors: DataFrame,
@@ -90,7 +106,7 @@ def top_k_join(
     schema = f"query_id {query_type}, id {key_type}, score double"
 
     size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("query_vector")).alias("d")).first()
-    total = size["n"] * (size["d"] or 0) * 8
+    total = size["n"] * ((size["d"] or 0) + 2 * k) * 8
     numeric = in_family(type_of(stored, "id"), "integer")
     if total <= query_bytes:
         found = _score_broadcast(asked, stored, k, schema, numeric)

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import catalog as cat
+from millrace.operators.chunks import to_records
+from millrace.operators.search import search_text
 from millrace.queries.of_columns import APPLICANTS, applicants
 from millrace.queries.registry import query, table
 from millrace.sources.scratch import new_path
+from millrace.sources.writers import write_table
 
 _CUSTOMER_TYPES = {
     "c_custkey": "bigint",
@@ -152,6 +155,95 @@ def catalog_text(spark: SparkSession, folder: str) -> DataFrame:
     return cat.catalog_text(_catalog(spark, folder)).select("table", "column", "text")
 
 
+_ITEM_TEXT = (
+    "'Table: ' || \"table\" || ', Column: ' || \"column\" || ', Description: ' || "
+    "original_description || ', Data Type: ' || data_type || ', Nullable: ' || "
+    "CASE WHEN nullable THEN 'True' ELSE 'False' END"
+)
+_ITEM_ID = "sha256(sha256(text) || " + " || ".join(
+    f"'-' || sha256('{key}') || sha256({value})"
+    for key, value in [
+        ("column", '"column"'),
+        ("data_type", "data_type"),
+        ("nullable", "CASE WHEN nullable THEN 'True' ELSE 'False' END"),
+        ("original_description", "original_description"),
+        ("table", '"table"'),
+    ]
+) + ") || '-0'"
+
+
+@query(
+    "ingest_catalog",
+    _CATALOG
+    + f"""
+    SELECT {_ITEM_ID} AS id, "table", "column", data_type, text,
+           CAST(768 AS INTEGER) AS length
+    FROM (SELECT *, {_ITEM_TEXT} AS text FROM catalog)
+    """,
+)
+def ingest_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    records = to_records(cat.catalog_items(_catalog(spark, folder)))
+    names = ("table", "column", "data_type", "text")
+    return records.select(
+        "id", *[F.col("metadata")[n].alias(n) for n in names], F.size("embedding").alias("length")
+    )
+
+
+@query("search_catalog")
+def search_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """The catalog rows nearest to a sentence, then only those of one table."""
+    records = to_records(cat.catalog_items(_catalog(spark, folder)))
+    everywhere = search_text(records, "column with the language of the whole text", 3)
+    somewhere = search_text(records, "income", 2, where={"table": "customer_train.csv"})
+    return everywhere.unionByName(somewhere).select(
+        "id", F.col("metadata")["text"].alias("text"), "score"
+    )
+
+
+_FILE_TYPES = {**_CUSTOMER_TYPES, "c_custkey": "int"}
+
+
+@query(
+    "catalog_from_files",
+    f"""
+    WITH profiles AS (
+        {_profile_sql(f"{APPLICANTS} a", _FILE_TYPES, "customer_train.csv")}),
+    expanded("table", "column", original_description) AS (
+        VALUES {', '.join(str(row) for row in _EXPANDED)})
+    SELECT "table", "column", original_description, coalesce(data_type, 'Unknown') AS data_type,
+           coalesce(nullable, false) AS nullable
+    FROM expanded LEFT JOIN profiles USING ("table", "column")
+    """,
+)
+def catalog_from_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Profiles of CSV files; one described file exists, the others do not."""
+    base = new_path(spark, "files")
+    write_table(applicants(spark, folder), f"{base}/customer_train.csv", "csv")
+    dictionary = spark.createDataFrame(
+        _DESCRIPTIONS, "Table string, Row string, Description string"
+    )
+    store = new_path(spark, "profiles")
+    cat.profile_sources(spark, dictionary, base, store)
+    return cat.build_catalog(dictionary, cat.profile_sources(spark, dictionary, base, store))
+
+
+@query(
+    "spec_items",
+    """
+    SELECT event_id, 'problem_type::' || event_type || ' => ' || props AS text,
+           'events' AS source, event_type AS request
+    FROM events
+    """,
+)
+def spec_items(spark: SparkSession, folder: str) -> DataFrame:
+    events = table(spark, folder, "events").select("event_id", "event_type", "props")
+    items = cat.spec_items(events, "event_type", "props", "events")
+    metadata = F.col("metadata")
+    return items.select(
+        "event_id", "text", metadata["source"].alias("source"), metadata["request"].alias("request")
+    )
+
+
 @query(
     "lookup",
     f"SELECT * FROM ({_PROFILES}) WHERE \"table\" = 'customer_test.csv' AND "
@@ -270,5 +362,6 @@ def missing_columns(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("missing_sources", 'SELECT doc_id AS spec_id, source AS "table" FROM documents')
 def missing_sources(spark: SparkSession, folder: str) -> DataFrame:
-    catalog = cat.profile_tables({"documents": table(spark, folder, "documents")})
+    names = ("documents", "labels", "pages")
+    catalog = cat.profile_tables({name: table(spark, folder, name) for name in names})
     return cat.missing_sources(cat.spec_sources(_specs(spark, folder)), catalog)

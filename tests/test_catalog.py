@@ -5,6 +5,8 @@ import json
 import pytest
 
 from millrace.operators import catalog as cat
+from millrace.operators.chunks import to_records
+from millrace.operators.search import check_dimension, search_text
 
 
 def test_profile(spark):
@@ -126,3 +128,40 @@ def test_extract_identifiers_with_a_catalog(spark):
     }
     known = spark.createDataFrame([("SK_ID",), ("OTHER",)], "column string")
     assert [r.identifier for r in cat.extract_identifiers(df, "t", known).collect()] == ["SK_ID"]
+
+
+def test_catalog_of_files_and_search(spark, tmp_path):
+    (tmp_path / "application_train.csv").write_text("SK_ID_CURR,AMT_INCOME_TOTAL\n1,10000\n2,\n")
+    (tmp_path / "bureau.csv").write_text("SK_ID_CURR,CREDIT_ACTIVE\n1,Active\n")
+    rows = [
+        ("application_{train|test}.csv", "AMT_INCOME_TOTAL", "income of the applicant"),
+        ("bureau", "CREDIT_ACTIVE", "status of the credit"),
+    ]
+    dictionary = spark.createDataFrame(rows, "Table string, Row string, Description string")
+    store = str(tmp_path / "store")
+    for _ in range(2):
+        profiles = cat.profile_sources(spark, dictionary, str(tmp_path), store)
+        catalog = cat.build_catalog(dictionary, profiles)
+        assert {tuple(r) for r in catalog.drop("original_description").collect()} == {
+            ("application_train.csv", "AMT_INCOME_TOTAL", "int", True),
+            ("application_test.csv", "AMT_INCOME_TOTAL", "Unknown", False),
+            ("bureau.csv", "CREDIT_ACTIVE", "string", False),
+        }
+    records = to_records(cat.catalog_items(catalog))
+    assert records.count() == 3
+    assert check_dimension(records, "embedding").first().success
+    found = search_text(records, "credit status", k=1).first()
+    assert found.metadata["column"] == "CREDIT_ACTIVE"
+    where = {"table": "application_test.csv"}
+    assert [r.metadata["table"] for r in search_text(records, "x", where=where).collect()] in (
+        [["application_test.csv"], []]
+    )
+    again = to_records(cat.catalog_items(catalog.union(catalog)))
+    assert sorted(r.id for r in again.collect()) == sorted(r.id for r in records.collect())
+
+
+def test_spec_items(spark):
+    df = spark.createDataFrame([("do it", "{}")], "request string, spec string")
+    (row,) = cat.spec_items(df, "request", "spec", "tests").collect()
+    assert row.text == "problem_type::do it => {}"
+    assert row.metadata == {"source": "tests", "request": "do it"}
