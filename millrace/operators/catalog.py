@@ -17,6 +17,7 @@ from millrace.functions.fixed import (
     UNKNOWN_TYPE,
 )
 from millrace.functions.text import identifiers
+from millrace.operators.joins import join_tables
 from millrace.sources.readers import SourceError, is_missing, read_table
 
 PROFILE_SCHEMA = "column string, data_type string, nullable boolean, null_count bigint"
@@ -323,14 +324,16 @@ def missing_columns(mentioned: DataFrame, sources: DataFrame, catalog: DataFrame
     ``mentioned``  spec_id, column, generated
     ``sources``    spec_id, table
     ``catalog``    table, column
+
+    Some columns are mentioned by most specs, so the catalog is broadcast while its measured
+    size allows it; the joins on the spec are spread by spec.
     """
     needed = mentioned.filter(~F.col("generated")).select("spec_id", "column").distinct()
     known = catalog.select("table", "column").distinct()
-    found = (
-        needed.join(sources.select("spec_id", "table").distinct(), "spec_id")
-        .join(known, ["table", "column"], "left_semi")
-        .select("spec_id", "column")
-    )
+    read = sources.select("spec_id", "table").distinct()
+    found = join_tables(
+        needed.join(read, "spec_id"), known, ["table", "column"], "left_semi", broadcast="right"
+    ).select("spec_id", "column")
     return needed.join(found, ["spec_id", "column"], "left_anti")
 
 

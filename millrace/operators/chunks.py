@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.fixed import CHUNK_WORDS, EMBEDDING_LENGTH
 from millrace.functions.text import chunks, words
+from millrace.operators.joins import join_tables
 
 
 def chunk_text(df: DataFrame, column: str, size: int = CHUNK_WORDS) -> DataFrame:
@@ -93,12 +94,13 @@ def latest(df: DataFrame, key: str, version: str) -> DataFrame:
 def upsert(existing: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
     """``existing`` with the rows of ``new`` put in by key; the later write replaces the earlier.
 
-    ``existing`` holds each key once. Only ``new`` is aggregated; the anti-join broadcasts
-    its keys when they are few, and then the stored table is not shuffled. Write the result
-    to a new path: Spark cannot overwrite a table it is reading.
+    ``existing`` holds each key once. Only ``new`` is aggregated. Its distinct keys are
+    measured and broadcast if they fit, and then the stored table is not shuffled. Write the
+    result to a new path: Spark cannot overwrite a table it is reading.
     """
     incoming = latest(new.select(*existing.columns), key, version)
-    kept = existing.join(new.select(key).distinct(), key, "left_anti")
+    keys = new.select(key).distinct()
+    kept = join_tables(existing, keys, key, "left_anti", broadcast="right")
     return kept.select(*existing.columns).unionByName(incoming)
 
 
