@@ -233,37 +233,53 @@ _KINDS = _ROW_WISE | _UNIQUENESS
 GROUPING = frozenset(_UNIQUENESS)
 
 
+# Kinds whose results show the lowest and highest bad value.
+_SAMPLED = _UNIQUENESS | (_UNEXPECTED.keys() - {"proportion_between"})
+
+
+def _marked(df: DataFrame, checks: Mapping[int, Check]) -> DataFrame:
+    """Add ``__bad_i``: the unexpected value of check ``i``, else null.
+
+    A column of its own lets the count, the lowest and the highest share one evaluation.
+    """
+    marks = {}
+    for i, check in checks.items():
+        if check.kind not in _UNEXPECTED:
+            continue
+        value = F.col(check.column)
+        bad = value.isNotNull() & F.coalesce(_UNEXPECTED[check.kind](check), F.lit(True))
+        shown = {"vector_length": F.size(value), "proportion_between": F.lit(True)}
+        marks[f"__bad_{i}"] = F.when(bad, shown.get(check.kind, value))
+    return df.withColumns(marks) if marks else df
+
+
 def _measures(df: DataFrame, check: Check, i: int) -> list[Column]:
-    """The aggregates of a row-wise check: total, unexpected, lowest and highest bad value."""
+    """The aggregates of a row-wise check over a marked table: total, unexpected, extremes."""
     rows = F.count(F.lit(1))
-    nothing = F.max(F.lit(None).cast("string"))
-    lowest, highest = nothing, nothing
-    if check.kind == "row_count_between":
-        total, unexpected = rows, F.count_if(F.lit(False))
-    elif check.kind == "of_type":
-        fits = has_type(type_of(df, check.column), check.kwargs["type_name"])
-        total, unexpected = rows, F.count_if(F.lit(not fits))
+    if check.kind in _UNEXPECTED:
+        bad = F.col(f"__bad_{i}")
+        parts = {"total": F.count(F.col(check.column)), "unexpected": F.count(bad)}
+        if check.kind in _SAMPLED:
+            parts |= {"lowest": F.min(bad).cast("string"), "highest": F.max(bad).cast("string")}
     elif check.kind == "not_null":
-        total, unexpected = rows, F.count_if(F.col(check.column).isNull())
+        parts = {"total": rows, "unexpected": rows - F.count(F.col(check.column))}
     elif check.kind == "not_null_not_empty":
-        total, unexpected = rows, F.count_if(_blank(df, check.column))
+        parts = {"total": rows, "unexpected": F.count_if(_blank(df, check.column))}
+    elif check.kind == "of_type":
+        fits = has_type(type_of(df, check.column), check.kwargs["type_name"])
+        parts = {"total": rows, "unexpected": rows * F.lit(0 if fits else 1)}
     else:
-        value = F.col(check.column)
-        bad = value.isNotNull() & F.coalesce(_UNEXPECTED[check.kind](check), F.lit(True))
-        total, unexpected = F.count(value), F.count_if(bad)
-        if check.kind == "vector_length":
-            value = F.size(value)
-        if check.kind != "proportion_between":
-            lowest = F.min(F.when(bad, value)).cast("string")
-            highest = F.max(F.when(bad, value)).cast("string")
-    parts = {"total": total, "unexpected": unexpected, "lowest": lowest, "highest": highest}
+        parts = {"total": rows}
     return [part.alias(f"{name}_{i}") for name, part in parts.items()]
 
 
 def _result_row(suite: str, check: Check, i: int) -> Column:
     """The result of check ``i`` as a struct over its measures."""
     total = F.coalesce(F.col(f"total_{i}"), F.lit(0)).cast("long")
-    unexpected = F.coalesce(F.col(f"unexpected_{i}"), F.lit(0)).cast("long")
+    counted = F.lit(0) if check.kind == "row_count_between" else F.col(f"unexpected_{i}")
+    unexpected = F.coalesce(counted, F.lit(0)).cast("long")
+    nothing = F.lit(None).cast("string")
+    sampled = check.kind in _SAMPLED
     percent = F.coalesce(F.try_divide(unexpected * F.lit(100.0), total), F.lit(0.0))
     low, high = check.kwargs.get("min_value"), check.kwargs.get("max_value")
     if check.kind == "row_count_between":
@@ -288,8 +304,8 @@ def _result_row(suite: str, check: Check, i: int) -> Column:
         percent.alias("unexpected_pct"),
         F.struct(
             F.lit(check.description).alias("description"),
-            F.col(f"lowest_{i}").alias("lowest"),
-            F.col(f"highest_{i}").alias("highest"),
+            (F.col(f"lowest_{i}") if sampled else nothing).alias("lowest"),
+            (F.col(f"highest_{i}") if sampled else nothing).alias("highest"),
         ).alias("detail"),
     )
 
@@ -389,11 +405,14 @@ def validate(df: DataFrame, suite: Suite) -> DataFrame:
     row_wise, _ = _split(suite)
     parts = _grouped_results(df, suite)
     if row_wise:
-        measures = df.agg(*_row_wise_measures(df, suite))
+        measures = _marked(df, row_wise).agg(*_row_wise_measures(df, suite))
         parts.insert(0, _result_rows(measures, suite.name, row_wise))
     return _union(df.sparkSession, parts)
 
 
+_MEASURE_NAMES = ("total_", "unexpected_", "lowest_", "highest_")
+
+
 @dataclass(frozen=True)
 class Measured:
     """The row count and the measures of a suite's row-wise checks, already computed."""
@@ -415,9 +434,7 @@ class Measured:
         row_wise, _ = _split(self.suite)
         parts = _grouped_results(df, self.suite)
         if row_wise:
-            names = [
-                f"{m}_{i}" for i in row_wise for m in ("total", "unexpected", "lowest", "highest")
-            ]
+            names = [n for n in self.seen if n.startswith(_MEASURE_NAMES)]
             types = ", ".join(
                 f"{n} {'bigint' if n.startswith(('total', 'unexpected')) else 'string'}"
                 for n in names
@@ -431,7 +448,8 @@ class Measured:
 def measure(df: DataFrame, suite: Suite) -> Measured:
     """Count rows and compute the row-wise checks in one job that reads only their columns."""
     _require(df, suite)
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *_row_wise_measures(df, suite)).first()
+    marked = _marked(df, _split(suite)[0])
+    row = marked.agg(F.count(F.lit(1)).alias("rows"), *_row_wise_measures(df, suite)).first()
     return Measured(suite, row.asDict())
 
 
@@ -454,13 +472,15 @@ def watch(df: DataFrame, suite: Suite) -> Watched:
     """Attach row and null counts and a suite's row-wise checks to the table's next action."""
     _require(df, suite)
     counts = [
-        F.count_if(present(df, c).isNull()).alias(f"missing_{i}") for i, c in enumerate(df.columns)
+        (F.count(F.lit(1)) - F.count(present(df, c))).alias(f"missing_{i}")
+        for i, c in enumerate(df.columns)
     ]
     observation = Observation()
-    observed = df.observe(
-        observation, F.count(F.lit(1)).alias("rows"), *_row_wise_measures(df, suite), *counts
+    rows = F.count(F.lit(1)).alias("rows")
+    observed = _marked(df, _split(suite)[0]).observe(
+        observation, rows, *_row_wise_measures(df, suite), *counts
     )
-    return Watched(observed, suite, observation)
+    return Watched(observed.select(*df.columns), suite, observation)
 
 
 def gate(results: DataFrame) -> DataFrame:
