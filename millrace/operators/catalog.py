@@ -325,16 +325,20 @@ def missing_columns(mentioned: DataFrame, sources: DataFrame, catalog: DataFrame
     ``sources``    spec_id, table
     ``catalog``    table, column
 
-    Some columns are mentioned by most specs, so the catalog is broadcast while its measured
-    size allows it; the joins on the spec are spread by spec.
+    One shuffle, by spec, serves the join with the sources and the final grouping. Some
+    columns are mentioned by most specs, so the catalog is broadcast while its measured size
+    allows it.
     """
-    needed = mentioned.filter(~F.col("generated")).select("spec_id", "column").distinct()
-    known = catalog.select("table", "column").distinct()
-    read = sources.select("spec_id", "table").distinct()
-    found = join_tables(
-        needed.join(read, "spec_id"), known, ["table", "column"], "left_semi", broadcast="right"
-    ).select("spec_id", "column")
-    return needed.join(found, ["spec_id", "column"], "left_anti")
+    needed = mentioned.filter(~F.col("generated")).select("spec_id", "column")
+    pairs = needed.join(sources.select("spec_id", "table"), "spec_id", "left")
+    known = catalog.select("table", "column").distinct().withColumn("known", F.lit(True))
+    looked_up = join_tables(pairs, known, ["table", "column"], "left", broadcast="right")
+    return (
+        looked_up.groupBy("spec_id", "column")
+        .agg(F.count("known").alias("found"))
+        .filter(F.col("found") == 0)
+        .select("spec_id", "column")
+    )
 
 
 def missing_sources(sources: DataFrame, catalog: DataFrame) -> DataFrame:

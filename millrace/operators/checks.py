@@ -296,7 +296,7 @@ def _result_row(suite: str, check: Check, i: int) -> Column:
     return F.struct(
         F.lit(suite).alias("suite"),
         F.lit(check.kind).alias("check"),
-        F.lit(check.column).cast("string").alias("column"),
+        F.lit(check.column or ", ".join(check.columns) or None).cast("string").alias("column"),
         F.lit(check.severity).alias("severity"),
         success.alias("success"),
         total.alias("total"),

@@ -38,7 +38,8 @@ def join_tables(
 
     One-to-many matches are all kept and null keys match nothing. Right columns that clash
     with left ones get ``suffix``. Without further arguments Spark picks the strategy, and
-    adaptive execution splits skewed partitions.
+    adaptive execution splits skewed partitions of all but full joins; salt a full join whose
+    key is skewed.
 
     ``align_keys``  cast both keys to the wider type first.
     ``broadcast``   "left" or "right": broadcast that side if its measured size is within

@@ -111,6 +111,15 @@ def test_checks_from_specs():
     assert (pair.columns, pair.severity) == (["a", "b"], CRITICAL)
 
 
+def test_a_pair_from_a_spec_is_named_in_the_result(table):
+    spec = {
+        "expectation_type": "expect_column_pair_values_to_be_unique",
+        "kwargs": {"column_A": "k", "column_B": "s"},
+    }
+    assert run(table, q.Check.from_dict(spec)).column == "k, s"
+    assert run(table, q.row_count_between(1)).column is None
+
+
 def suite():
     return q.Suite(
         "all",

@@ -92,7 +92,6 @@ def plan(df) -> str:
 
 
 def test_broadcast_needs_a_small_side(spark, sides, monkeypatch):
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 2)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         assert "BroadcastHashJoin" in plan(join_tables(*sides, on="k", broadcast="right"))
