@@ -276,26 +276,27 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 
 def _compare_families(families: DataFrame, sets: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    members = families.join(sets, "key").join(known.select("key", "bands", "copies"), "key")
-    blocks = families.join(sets, "key").groupBy("family").agg(
-        F.ceil(
-            F.greatest(F.count("*") / BLOCK_CLASSES, F.sum(F.size("grams")) / BLOCK_GRAMS, F.lit(1.0))
-        ).alias("blocks")
+    # Which block a class is in is settled on small rows; n-grams move by key and by block pair.
+    sized = families.join(sets.select("key", F.size("grams").alias("size")), "key")
+    blocks = sized.groupBy("family").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("size") / BLOCK_GRAMS, F.lit(1.0))).alias("blocks")
+    )
+    dealt = stage_table(
+        sized.join(blocks, "family").select(
+            "key", "family", "blocks", F.pmod(F.xxhash64("key", F.lit(1)), "blocks").alias("block")
+        ),
+        "blocks",
     )
-    dealt = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), "blocks"))
     # A block meets itself and every other block of its family.
-    meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    meets = (
+        dealt.join(sets, "key")
+        .join(known.select("key", "bands", "copies"), "key")
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    )
+    low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    # One key, so that the pairs of blocks of a family are dealt out apart.
     return (
-        meets.select(
-            "family",
-            F.least("block", "other").alias("low"),
-            F.greatest("block", "other").alias("high"),
-            "block",
-            "key",
-            "copies",
-            "bands",
-            "grams",
-        )
-        .groupBy("family", "low", "high")
+        meets.select(F.struct("family", low, high).alias("pair"), low, high, "block", "key", "copies", "bands", "grams")
+        .groupBy("pair")
         .applyInArrow(_compare_blocks(threshold), "key long, links long, root long")
     )
