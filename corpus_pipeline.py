@@ -47,11 +47,12 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Findings of the ledger are replaced by a mark; ``n_chars`` follows."""
     ledger = new_path(spark, "secret-ledger")
     secrets.scan(docs, ledger)
-    found = secrets.findings(docs, ledger)
-    text = F.when(F.size("found") > 0, secrets.redacted(F.col("text"), F.col("found"))).otherwise(F.col("text"))
-    changed = found.withColumn("text", text)
+    named = secrets.findings(docs, ledger, into="__found")
+    found = F.col("__found")
+    text = F.when(F.size(found) > 0, secrets.redacted(F.col("text"), found)).otherwise(F.col("text"))
+    changed = named.withColumn("text", text)
     if "n_chars" in docs.columns:
-        size = F.when(F.size("found") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        size = F.when(F.size(found) > 0, F.length("text")).otherwise(F.col("n_chars"))
         changed = changed.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType))
     return changed.select(*docs.columns)
 

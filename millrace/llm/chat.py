@@ -162,9 +162,7 @@ def turns_of_records(
             listed = F.variant_get(
                 value, f"$.{layout.turns}", f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>"
             )
-            made = F.transform(
-                listed, lambda t, x=layout: F.struct(t[x.role].alias("role"), t[x.text].alias("text"))
-            )
+            made = listed.cast("array<struct<role:string,text:string>>")
         else:
             made = F.array(
                 *(

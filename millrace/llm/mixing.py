@@ -97,7 +97,9 @@ def multipliers(cells: DataFrame, wanted: DataFrame, cap: float = CAP) -> DataFr
     """``wanted`` with the multiplier ``tilt`` of each source: distributed Newton iterations."""
     top = float(np.log(cap))
     scaled = cells.groupBy("source").agg(
-        (F.sum(F.col("n") * F.col("size").cast("double") ** 2) / F.sum(F.col("n") * F.col("size"))).alias("unit")
+        F.try_divide(
+            F.sum(F.col("n") * F.col("size").cast("double") ** 2), F.sum(F.col("n") * F.col("size"))
+        ).alias("unit")
     ).withColumnRenamed("source", "__source")
     state = (
         wanted.join(scaled, F.col("source").eqNullSafe(F.col("__source")))
@@ -130,7 +132,7 @@ def multipliers(cells: DataFrame, wanted: DataFrame, cap: float = CAP) -> DataFr
         miss = F.col("got") - F.col("target")
         low = F.when(miss < 0, F.col("at")).otherwise(F.col("low"))
         high = F.when(miss > 0, F.col("at")).otherwise(F.col("high"))
-        newton = F.col("at") - miss / F.col("bend")
+        newton = F.col("at") - F.try_divide(miss, F.col("bend"))
         inside = (F.col("bend") > 0) & (newton > low) & (newton < high)
         near = F.abs(miss) <= TOLERANCE * F.col("source_size")
         moved = joined.select(

@@ -136,14 +136,23 @@ def scan(docs: DataFrame, ledger: str, rules: Sequence[Rule] = RULES, text: str
     return int(watched.get["blobs"] or 0)
 
 
-def findings(docs: DataFrame, ledger: str, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """``docs`` with ``blob`` and ``found``: the findings of all given rules, by start and rule."""
+def findings(
+    docs: DataFrame,
+    ledger: str,
+    rules: Sequence[Rule] = RULES,
+    text: str = "text",
+    into: str = "found",
+) -> DataFrame:
+    """``docs`` with a column ``into``: the findings of all given rules, by start and rule.
+
+    A column of that name is replaced.
+    """
     order = {rule.kind: k for k, rule in enumerate(rules)}
     place = F.create_map(*(x for kind, k in order.items() for x in (F.lit(kind), F.lit(k))))
     known = _known(docs.sparkSession, ledger)
-    named = docs.withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     if known is None:
-        return named.withColumn("found", F.array().cast(FOUND))
+        return docs.withColumn(into, F.array().cast(FOUND))
+    named = docs.drop(into).withColumn("__blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     # Only the current version of each rule counts. Blobs without findings need no join.
     current = [rule.key for rule in rules]
     rows = (
@@ -159,15 +168,14 @@ def findings(docs: DataFrame, ledger: str, rules: Sequence[Rule] = RULES, text:
         return F.struct(f["start"], place[f["kind"]].alias("rank"), f["end"], f["kind"])
 
     merged = rows.groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found")).select(
-        "blob",
+        F.col("blob").alias("__blob"),
         F.transform(
             F.array_sort(F.transform("found", ranked)),
             lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end")),
-        ).alias("found"),
-    )
-    return named.join(merged, "blob", "left").withColumn(
-        "found", F.coalesce("found", F.array().cast(FOUND))
+        ).alias(into),
     )
+    joined = named.join(merged, "__blob", "left").drop("__blob")
+    return joined.withColumn(into, F.coalesce(into, F.array().cast(FOUND)))
 
 
 def listed(found: Column) -> Column:

@@ -100,7 +100,7 @@ def _logistic(z: np.ndarray) -> np.ndarray:
 
 def _machine(doc, at, rows, linear, factors):
     """The logit of each row without the bias, and the sums of its factors."""
-    logit = np.bincount(doc, linear[at], minlength=rows)
+    logit = np.bincount(doc, linear[at], minlength=rows).astype(float)
     sums = np.empty((rows, factors.shape[1]))
     for f in range(factors.shape[1]):
         own = factors[at, f]
@@ -157,7 +157,7 @@ def fit(
     for step in range(1, steps + 1):  # Adam over all rows of the sample
         logit, sums = _machine(doc, at, rows, linear, vectors)
         wrong = (_logistic(bias + logit) - label) / rows
-        slope_linear = np.bincount(at, wrong[doc], minlength=len(linear)) + 1e-4 * linear
+        slope_linear = 1.0 * np.bincount(at, wrong[doc], minlength=len(linear)) + 1e-4 * linear
         slope_vectors = 1e-3 * vectors
         for f in range(factors):
             slope_vectors[:, f] += np.bincount(
