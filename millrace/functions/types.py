@@ -34,6 +34,11 @@ def columns_of(df: DataFrame, family: str) -> list[str]:
     return [f.name for f in df.schema.fields if in_family(f.dataType, family)]
 
 
+def quoted(column: str) -> str:
+    """A column name as one name, whatever characters it holds."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def type_of(df: DataFrame, column: str) -> T.DataType:
     return df.schema[column].dataType
 

@@ -243,6 +243,22 @@ SPEC_SCHEMA = T.StructType(
 )
 
 
+def malformed_specs(df: DataFrame, spec_id: str, text: str) -> DataFrame:
+    """Ids of the specs whose text is missing or not a JSON object, as ``spec_id, reason``.
+
+    ``parse_specs`` has nothing to tell of them, so an audit must not take them for clean.
+    """
+    parsed = F.try_parse_json(F.col(text))
+    reason = (
+        F.when(F.col(text).isNull(), "no text")
+        .when(parsed.isNull(), "not JSON")
+        .when(~F.schema_of_variant(parsed).startswith("OBJECT"), "not an object")
+        .when(F.from_json(F.col(text), SPEC_SCHEMA)["source"].isNull(), "no sources")
+    )
+    found = df.select(F.col(spec_id).alias("spec_id"), reason.alias("reason"))
+    return found.filter(F.col("reason").isNotNull())
+
+
 def parse_specs(df: DataFrame, spec_id: str, text: str) -> DataFrame:
     """Specs stored as JSON text, as ``spec_id`` and the fields of ``SPEC_SCHEMA``."""
     spec = F.from_json(F.col(text), SPEC_SCHEMA)

@@ -9,10 +9,12 @@ checks look at nulls; the others ignore them.
 
 from __future__ import annotations
 
+import datetime
 import json
 import logging
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
@@ -20,10 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.fixed import CRITICAL, EMBEDDING_LENGTH, EXPECTATIONS, WARNING
-from millrace.functions.types import has_type, type_of
+from millrace.functions.types import has_type, quoted, type_of
 from millrace.operators.columns import as_column, require_columns
 from millrace.operators.stats import present
-from millrace.sources.readers import SourceError, read_table
+from millrace.sources.readers import SourceError, is_missing, read_table
 
 _log = logging.getLogger(__name__)
 
@@ -49,6 +51,13 @@ class Check:
             raise ValueError(f"unknown check {self.kind!r}")
         if self.severity not in (CRITICAL, WARNING):
             raise ValueError(f"severity must be {CRITICAL} or {WARNING}, not {self.severity!r}")
+        needed, allowed = _ARGUMENTS.get(self.kind, ((), ()))
+        unknown = sorted(self.kwargs.keys() - {*needed, *allowed})
+        absent = sorted(set(needed) - self.kwargs.keys())
+        if unknown or absent:
+            told = [f"does not know {', '.join(unknown)}"] * bool(unknown)
+            told += [f"needs {', '.join(absent)}"] * bool(absent)
+            raise ValueError(f"check {self.kind} {' and '.join(told)}")
 
     @classmethod
     def from_dict(cls, spec: Mapping[str, Any]) -> Check:
@@ -56,6 +65,8 @@ class Check:
         kwargs = dict(spec.get("kwargs") or {})
         name = spec["expectation_type"]
         column = spec.get("column") or kwargs.pop("column", None)
+        if "strftime_format" in kwargs:
+            kwargs["fmt"] = spark_pattern(kwargs.pop("strftime_format"))
         return cls(
             EXPECTATIONS.get(name, name),
             column,
@@ -81,12 +92,70 @@ class Check:
 _KWARG_NAMES = {
     "type": "type_name",
     "type_": "type_name",
-    "strftime_format": "fmt",
     "column_A": "column_a",
     "column_B": "column_b",
 }
 
 
+# The arguments that each kind needs, and those that it may have.
+_ARGUMENTS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "pair_unique": (("column_a", "column_b"), ()),
+    "of_type": (("type_name",), ()),
+    "between": ((), ("min_value", "max_value")),
+    "datetime_format": (("fmt",), ()),
+    "distinct_in_set": (("value_set",), ()),
+    "proportion_between": ((), ("min_value", "max_value", "value_set", "condition")),
+    "row_count_between": ((), ("min_value", "max_value")),
+    "match_regex": (("regex",), ()),
+    "vector_length": (("length",), ()),
+}
+
+# What the directives of strftime are in Spark's patterns.
+_DIRECTIVES = {
+    "Y": "yyyy",
+    "y": "yy",
+    "m": "MM",
+    "d": "dd",
+    "H": "HH",
+    "I": "hh",
+    "M": "mm",
+    "S": "ss",
+    "f": "SSSSSS",
+    "p": "a",
+    "b": "MMM",
+    "B": "MMMM",
+    "a": "EEE",
+    "A": "EEEE",
+    "j": "DDD",
+    "z": "xx",
+    "F": "yyyy-MM-dd",
+    "T": "HH:mm:ss",
+}
+
+
+def spark_pattern(strftime: str) -> str:
+    """A strftime format as a Spark datetime pattern; unknown directives raise."""
+    parts: list[str] = []
+    literal, rest = "", iter(strftime + "%")
+    for char in rest:
+        if char != "%":
+            literal += char
+            continue
+        directive = next(rest, None)
+        if directive == "%":
+            literal += "%"
+            continue
+        if any(c.isalpha() or c == "'" for c in literal):
+            literal = "'" + literal.replace("'", "''") + "'"
+        parts.append(literal)
+        literal = ""
+        if directive is not None:
+            if directive not in _DIRECTIVES:
+                raise ValueError(f"the directive %{directive} of {strftime!r} is not known")
+            parts.append(_DIRECTIVES[directive])
+    return "".join(parts)
+
+
 def not_null(column: str) -> Check:
     return Check("not_null", column)
 
@@ -200,7 +269,7 @@ def _within(value: Column, low: Any, high: Any) -> Column:
 
 
 def _blank(df: DataFrame, column: str) -> Column:
-    value = F.col(column)
+    value = F.col(quoted(column))
     if isinstance(type_of(df, column), T.StringType):
         return value.isNull() | (F.trim(value) == "")
     return value.isNull()
@@ -209,20 +278,20 @@ def _blank(df: DataFrame, column: str) -> Column:
 def _selected(check: Check) -> Column:
     if check.kwargs.get("condition"):
         return as_column(check.kwargs["condition"])
-    return F.col(check.column).isin(list(check.kwargs["value_set"]))
+    return F.col(quoted(check.column)).isin(list(check.kwargs["value_set"]))
 
 
 # For each kind: the condition that makes a non-null value unexpected.
 _UNEXPECTED: dict[str, Callable[[Check], Column]] = {
     "between": lambda c: ~_within(
-        F.col(c.column), c.kwargs.get("min_value"), c.kwargs.get("max_value")
+        F.col(quoted(c.column)), c.kwargs.get("min_value"), c.kwargs.get("max_value")
     ),
     "datetime_format": lambda c: F.try_to_timestamp(
-        F.col(c.column), F.lit(c.kwargs["fmt"])
+        F.col(quoted(c.column)), F.lit(c.kwargs["fmt"])
     ).isNull(),
-    "distinct_in_set": lambda c: ~F.col(c.column).isin(list(c.kwargs["value_set"])),
-    "match_regex": lambda c: ~F.col(c.column).rlike(c.kwargs["regex"]),
-    "vector_length": lambda c: F.size(c.column) != c.kwargs["length"],
+    "distinct_in_set": lambda c: ~F.col(quoted(c.column)).isin(list(c.kwargs["value_set"])),
+    "match_regex": lambda c: ~F.col(quoted(c.column)).rlike(c.kwargs["regex"]),
+    "vector_length": lambda c: F.size(quoted(c.column)) != c.kwargs["length"],
     "proportion_between": lambda c: ~_selected(c),
 }
 _ROW_WISE = {"not_null", "not_null_not_empty", "of_type", "row_count_between", *_UNEXPECTED}
@@ -246,7 +315,7 @@ def _marked(df: DataFrame, checks: Mapping[int, Check]) -> DataFrame:
     for i, check in checks.items():
         if check.kind not in _UNEXPECTED:
             continue
-        value = F.col(check.column)
+        value = F.col(quoted(check.column))
         bad = value.isNotNull() & F.coalesce(_UNEXPECTED[check.kind](check), F.lit(True))
         shown = {"vector_length": F.size(value), "proportion_between": F.lit(True)}
         marks[f"__bad_{i}"] = F.when(bad, shown.get(check.kind, value))
@@ -258,11 +327,11 @@ def _measures(df: DataFrame, check: Check, i: int) -> list[Column]:
     rows = F.count(F.lit(1))
     if check.kind in _UNEXPECTED:
         bad = F.col(f"__bad_{i}")
-        parts = {"total": F.count(F.col(check.column)), "unexpected": F.count(bad)}
+        parts = {"total": F.count(F.col(quoted(check.column))), "unexpected": F.count(bad)}
         if check.kind in _SAMPLED:
             parts |= {"lowest": F.min(bad).cast("string"), "highest": F.max(bad).cast("string")}
     elif check.kind == "not_null":
-        parts = {"total": rows, "unexpected": rows - F.count(F.col(check.column))}
+        parts = {"total": rows, "unexpected": rows - F.count(F.col(quoted(check.column)))}
     elif check.kind == "not_null_not_empty":
         parts = {"total": rows, "unexpected": F.count_if(_blank(df, check.column))}
     elif check.kind == "of_type":
@@ -325,14 +394,22 @@ def _uniqueness(df: DataFrame, suite: str, i: int, check: Check) -> DataFrame:
     Reads the key columns only. Counting combines on the map side, so a frequent key costs
     one row per task.
     """
-    counted = df.dropna(subset=check.columns).groupBy(*check.columns)
-    repeated = F.col("n") > 1
-    shown = F.concat_ws(", ", *[F.col(c).cast("string") for c in check.columns])
-    measures = counted.agg(F.count(F.lit(1)).alias("n")).agg(
-        F.sum("n").alias(f"total_{i}"),
-        F.sum(F.when(repeated, F.col("n"))).alias(f"unexpected_{i}"),
-        F.min(F.when(repeated, shown)).alias(f"lowest_{i}"),
-        F.max(F.when(repeated, shown)).alias(f"highest_{i}"),
+    names = [f"__key_{k}" for k in range(len(check.columns))]
+    keys = [F.col(quoted(c)).alias(n) for c, n in zip(check.columns, names, strict=True)]
+    counted = df.select(*keys).dropna(subset=names).groupBy(*names)
+    repeated = F.col("__n") > 1
+    # Extremes are those of the values, not of their text.
+    key = F.struct(*names)
+
+    def shown(extreme: Column) -> Column:
+        text = F.concat_ws(", ", *[extreme.getField(n).cast("string") for n in names])
+        return F.when(extreme.isNotNull(), text)
+
+    measures = counted.agg(F.count(F.lit(1)).alias("__n")).agg(
+        F.sum("__n").alias(f"total_{i}"),
+        F.sum(F.when(repeated, F.col("__n"))).alias(f"unexpected_{i}"),
+        shown(F.min(F.when(repeated, key))).alias(f"lowest_{i}"),
+        shown(F.max(F.when(repeated, key))).alias(f"highest_{i}"),
     )
     return _result_rows(measures, suite, {i: check})
 
@@ -345,7 +422,7 @@ def _membership(df: DataFrame, suite: str, i: int, check: Check) -> DataFrame:
         allowed.select(F.col(name).alias("value")).distinct().withColumn("known", F.lit(True))
     )
     counted = (
-        df.select(F.col(check.column).alias("value"))
+        df.select(F.col(quoted(check.column)).alias("value"))
         .filter(F.col("value").isNotNull())
         .groupBy("value")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -480,7 +557,7 @@ def watch(df: DataFrame, suite: Suite) -> Watched:
     observed = _marked(df, _split(suite)[0]).observe(
         observation, rows, *_row_wise_measures(df, suite), *counts
     )
-    return Watched(observed.select(*df.columns), suite, observation)
+    return Watched(observed.select(*[F.col(quoted(c)) for c in df.columns]), suite, observation)
 
 
 def gate(results: DataFrame) -> DataFrame:
@@ -532,6 +609,25 @@ _SUITE_SCHEMA = (
 )
 
 
+_STORED_TYPES: dict[str, tuple[type, Callable[[str], Any]]] = {
+    "datetime": (datetime.datetime, datetime.datetime.fromisoformat),
+    "date": (datetime.date, datetime.date.fromisoformat),
+    "decimal": (Decimal, Decimal),
+}
+
+
+def _typed(value: Any) -> dict[str, str]:
+    """A value that JSON lacks, with its type."""
+    for name, (kind, _) in _STORED_TYPES.items():
+        if isinstance(value, kind):
+            return {"__type": name, "value": str(value)}
+    raise TypeError(f"an argument of type {type(value).__name__} cannot be stored")
+
+
+def _untyped(value: dict[str, Any]) -> Any:
+    return _STORED_TYPES[value["__type"]][1](value["value"]) if "__type" in value else value
+
+
 def save_suite(spark: SparkSession, suite: Suite, store: str) -> None:
     """Keep a suite below ``store``; a suite of the same name is replaced.
 
@@ -541,7 +637,7 @@ def save_suite(spark: SparkSession, suite: Suite, store: str) -> None:
         if isinstance(check.kwargs.get("value_set"), DataFrame):
             raise ValueError(f"{check.kind}({check.column}) refers to a table and cannot be stored")
     rows = [
-        (i, c.kind, c.column, json.dumps(dict(c.kwargs), default=str), c.severity, c.description)
+        (i, c.kind, c.column, json.dumps(dict(c.kwargs), default=_typed), c.severity, c.description)
         for i, c in enumerate(suite.checks)
     ]
     table = spark.createDataFrame(rows, _SUITE_SCHEMA).coalesce(1)
@@ -553,13 +649,15 @@ def load_suite(spark: SparkSession, name: str, store: str) -> Suite:
     try:
         table = read_table(spark, f"{store}/suite={name}", schema=_SUITE_SCHEMA)
     except SourceError as error:
+        if not is_missing(error):
+            raise
         raise SuiteNotFound(f"no suite {name!r} in {store}") from error
     rows = table.orderBy("position").collect()
     return Suite(
         name,
         [
             Check(
-                r["check"], r["column"], json.loads(r["kwargs"]), r["severity"], r["description"]
+                r["check"], r["column"], json.loads(r["kwargs"], object_hook=_untyped), r["severity"], r["description"]
             )
             for r in rows
         ],

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.fixed import CHUNK_WORDS, EMBEDDING_LENGTH
 from millrace.functions.text import chunks, words
+from millrace.functions.types import quoted
 from millrace.operators.joins import join_tables
 
 
@@ -84,10 +85,16 @@ def to_records(
 def latest(df: DataFrame, key: str, version: str) -> DataFrame:
     """The row with the highest version of each key.
 
-    An aggregate rather than a window: rows of a frequent key are reduced in every task
-    before the shuffle.
+    Rows without a version count as the oldest. Of rows with equal versions the largest wins,
+    column by column; columns that have no order (maps) do not take part in that. An aggregate
+    rather than a window: rows of a frequent key are reduced in every task before the shuffle.
     """
-    newest = F.max_by(F.struct(*df.columns), F.col(version)).alias("row")
+    ordered = [
+        F.col(quoted(f.name)) for f in df.schema.fields if "map<" not in f.dataType.simpleString()
+    ]
+    # A struct is never null, whatever is in it.
+    rank = F.struct(F.col(quoted(version)).isNotNull(), F.col(quoted(version)), *ordered)
+    newest = F.max_by(F.struct(*[F.col(quoted(c)) for c in df.columns]), rank).alias("row")
     return df.groupBy(key).agg(newest).select("row.*")
 
 

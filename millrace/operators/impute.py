@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.fixed import MISSING_TEXT
-from millrace.functions.types import columns_of, in_family, type_of
+from millrace.functions.types import columns_of, in_family, quoted, type_of
 from millrace.operators.columns import require_columns
 from millrace.operators.stats import counted_values, mode_of, present
 
+IMPUTED_SCHEMA = (
+    "column string, strategy string, value string, missing bigint, outcome string"
+)
+
 _log = logging.getLogger(__name__)
 
 
@@ -40,7 +44,8 @@ def impute(
     ``numeric``      "mean" or None. The mean is cast to the column type, so an integer
                      column gets the truncated mean.
     ``categorical``  "mode", "constant" (fills ``value``) or None.
-    ``columns``      restrict to these columns; ``exclude`` leaves columns out.
+    ``columns``      fill these columns, each of which must fit a strategy. Without it all
+                     columns of a family are filled but for those in ``exclude``.
     ``missing``      known null counts, as observed when ``df`` was written. Columns that
                      miss nothing need no statistics, which spares the counting of values.
     ``now``          compute the statistics at once, as one row per strategy, instead of as
@@ -49,9 +54,10 @@ def impute(
     A column without any value is left as it is. The statistics take one pass over ``df``
     for each strategy, however many columns there are. Stage an expensive ``df`` first.
     """
-    chosen = list(columns) if columns is not None else df.columns
+    chosen = list(columns) if columns is not None else [c for c in df.columns if c not in exclude]
     require_columns(df, chosen)
-    chosen = [c for c in chosen if c not in exclude]
+    if columns is not None:
+        _require_families(df, chosen, numeric, categorical)
     whole = [c for c in chosen if missing is not None and missing.get(c) == 0]
     chosen = [c for c in chosen if c not in whole]
     by_strategy = {
@@ -80,6 +86,15 @@ def impute(
     return Imputed(data, _union(logs or [_nothing_missing(df, [])]))
 
 
+def _require_families(
+    df: DataFrame, columns: Sequence[str], numeric: str | None, categorical: str | None
+) -> None:
+    families = [f for f, s in (("numeric", numeric), ("string", categorical)) if s is not None]
+    wrong = [c for c in columns if not any(in_family(type_of(df, c), f) for f in families)]
+    if wrong:
+        raise ValueError(f"{', '.join(wrong)}: not of the type that is filled ({', '.join(families)})")
+
+
 def _values(names: Sequence[str]) -> list[str]:
     return [f"value_{i}" for i in range(len(names))]
 
@@ -89,7 +104,7 @@ def _statistics(df: DataFrame, strategy: str, names: list[str], value: str) -> D
     if strategy == "mode":
         own = [F.when((F.col("position") == i) & F.col("value").isNull(), F.col("n"))
                for i in range(len(names))]
-        values = [mode_of(i) for i in range(len(names))]
+        values = [mode_of(i, type_of(df, n)) for i, n in enumerate(names)]
         absent = [F.coalesce(F.sum(o), F.lit(0)) for o in own]
         source = counted_values(df, names)
     elif strategy == "mean":
@@ -98,7 +113,7 @@ def _statistics(df: DataFrame, strategy: str, names: list[str], value: str) -> D
         source = df
     elif strategy == "constant":
         values = [F.max(F.lit(value)) for _ in names]
-        absent = [F.count_if(F.col(n).isNull()) for n in names]
+        absent = [F.count_if(F.col(quoted(n)).isNull()) for n in names]
         source = df
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -141,9 +156,7 @@ def _union(logs: list[DataFrame]) -> DataFrame:
 
 def _nothing_missing(df: DataFrame, names: list[str]) -> DataFrame:
     rows = [(n, "none", None, 0, "nothing missing") for n in names]
-    return df.sparkSession.createDataFrame(
-        rows, "column string, strategy string, value string, missing bigint, outcome string"
-    )
+    return df.sparkSession.createDataFrame(rows, IMPUTED_SCHEMA)
 
 
 def warn_skipped(log: DataFrame) -> list[str]:

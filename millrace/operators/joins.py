@@ -106,8 +106,22 @@ def _align(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFram
 
 
 def _suffixed(left: DataFrame, right: DataFrame, keys: list[str], suffix: str) -> DataFrame:
-    clashes = [c for c in right.columns if c in left.columns and c not in keys]
-    return right.withColumnsRenamed({c: c + suffix for c in clashes})
+    """Right columns that clash with left ones get the suffix, as often as it takes.
+
+    Names clash without regard to case, as Spark resolves them.
+    """
+    same = {k.lower() for k in keys}
+    taken = {c.lower() for c in left.columns}
+    free = {c.lower() for c in right.columns}
+    names = {}
+    for column in right.columns:
+        if column.lower() in taken and column.lower() not in same:
+            name = column + suffix
+            while name.lower() in taken | free:
+                name += suffix
+            free.add(name.lower())
+            names[column] = name
+    return right.withColumnsRenamed(names)
 
 
 _SALT = "__salt"

@@ -188,11 +188,14 @@ def _arrow_schema(stored: DataFrame, asked: DataFrame) -> pa.Schema:
 
 
 def _unit_rows(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """The keys (first column) and the vectors scaled to length one; zero vectors drop out."""
+    """The keys (first column) and the vectors scaled to length one.
+
+    Vectors without a direction drop out: zero ones, and those with an infinity or a NaN.
+    """
     keys = table.column(0).to_numpy(zero_copy_only=False)
     rows = matrix(table.column(column).combine_chunks())
-    norms = np.linalg.norm(rows, axis=1)
-    usable = norms > 0
+    norms = np.linalg.norm(rows, axis=1) if len(rows) else np.zeros(0)
+    usable = (norms > 0) & np.isfinite(norms)
     return keys[usable], rows[usable] / norms[usable, None]
 
 
@@ -210,8 +213,10 @@ def _best_of(
         if rows.shape[1] != queries.shape[1]:
             raise ValueError(f"queries have {queries.shape[1]} values, vectors {rows.shape[1]}")
         order = np.argsort(ids, kind="stable")
-        found = [kept, *_best_in_batch(ids[order], rows[order], queries, k)]
-        ranked = pd.concat([f for f in found if len(f)], ignore_index=True)
+        found = [f for f in (kept, *_best_in_batch(ids[order], rows[order], queries, k)) if len(f)]
+        if not found:
+            continue
+        ranked = pd.concat(found, ignore_index=True)
         ranked = ranked.sort_values(["query", "score", "id"], ascending=[True, False, True])
         kept = ranked.groupby("query", sort=False).head(k)
     return pd.DataFrame(

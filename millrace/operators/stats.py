@@ -6,14 +6,15 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DataType
 
-from millrace.functions.types import has_nan, type_of
+from millrace.functions.types import has_nan, quoted, type_of
 from millrace.operators.columns import Expression, as_column, require_columns
 
 
 def present(df: DataFrame, column: str) -> Column:
     """The column with NaN turned into null, so that both count as missing."""
-    value = F.col(column)
+    value = F.col(quoted(column))
     return F.nanvl(value, F.lit(None).cast(type_of(df, column))) if has_nan(
         type_of(df, column)
     ) else value
@@ -36,17 +37,18 @@ def column_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     require_columns(df, columns)
     counts = counted_values(df, columns).filter(F.col("value").isNotNull())
     return counts.agg(
-        *[mode_of(i).cast(type_of(df, c)).alias(c) for i, c in enumerate(columns)]
+        *[mode_of(i, type_of(df, c)).alias(c) for i, c in enumerate(columns)]
     )
 
 
 def counted_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """How often each column holds each value: ``position`` of the column, ``value``, ``n``.
 
-    Values are compared as text, which is exact for every atomic type.
+    Values are counted as text, which is exact for every atomic type; bytes as hexadecimal
+    digits.
     """
     entries = [
-        F.struct(F.lit(i).alias("position"), F.col(c).cast("string").alias("value"))
+        F.struct(F.lit(i).alias("position"), _as_text(df, c).alias("value"))
         for i, c in enumerate(columns)
     ]
     return (
@@ -57,10 +59,20 @@ def counted_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def mode_of(position: int) -> Column:
-    """Aggregate over ``counted_values``: the most frequent value of the column there."""
+def _as_text(df: DataFrame, column: str) -> Column:
+    value = F.col(quoted(column))
+    return F.hex(value) if isinstance(type_of(df, column), BinaryType) else value.cast("string")
+
+
+def mode_of(position: int, kind: DataType) -> Column:
+    """Aggregate over ``counted_values``: the most frequent value of the column there.
+
+    Of equally frequent values the smallest one of the column's type, not of its text.
+    """
     own = (F.col("position") == position) & F.col("value").isNotNull()
-    entry = F.struct((-F.col("n")).alias("n"), F.col("value"))
+    text = F.col("value")
+    value = F.unhex(text) if isinstance(kind, BinaryType) else text.try_cast(kind)
+    entry = F.struct((-F.col("n")).alias("n"), value.alias("value"))
     return F.min(F.when(own, entry)).getField("value")
 
 

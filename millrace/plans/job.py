@@ -15,6 +15,7 @@ from typing import Any
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.storagelevel import StorageLevel
 
 from millrace.operators import columns as cols
@@ -25,7 +26,6 @@ from millrace.operators.catalog import (
     spec_sources,
 )
 from millrace.operators.checks import (
-    GROUPING,
     RESULT_SCHEMA,
     Check,
     Measured,
@@ -34,12 +34,13 @@ from millrace.operators.checks import (
     measure,
     watch,
 )
-from millrace.operators.impute import impute, warn_skipped
+from millrace.functions.types import has_type, type_of
+from millrace.operators.impute import IMPUTED_SCHEMA, impute, warn_skipped
 from millrace.operators.joins import join_tables
 from millrace.operators.model import placeholder_score, score, to_score
 from millrace.operators.stats import aggregate
 from millrace.sources.readers import load_sources
-from millrace.sources.scratch import new_path
+from millrace.sources.scratch import new_path, remove
 from millrace.sources.writers import write_report, write_table
 
 STEP_TYPES = ("join", "filter", "aggregation", "column_manipulation")
@@ -148,7 +149,9 @@ class Spec:
 class JobResult:
     """The final table, every named table, the results of all checks and the stage log.
 
-    Call ``release`` when done with tables staged by "persist".
+    ``imputed`` says of every column that an imputation looked at how many values it missed,
+    what filled them, or why it was left alone. ``release`` deletes or unpersists what the job
+    staged, so call it when done with the tables.
     """
 
     data: DataFrame
@@ -157,6 +160,7 @@ class JobResult:
     log: DataFrame
     warnings: Sequence[Row]
     release: Callable[[], None]
+    imputed: DataFrame
 
 
 class Stages:
@@ -166,10 +170,9 @@ class Stages:
     column by column), "persist" (memory and disk of the executors) or None.
 
     A table that is read more than once (checked, imputed) is materialized when its plan
-    has a join, an aggregation or a model since the last materialized table, or when its
-    checks group it. Its rows, nulls and row-wise checks are then counted by the write
-    itself. Otherwise it is a narrow step on top of a materialized table or a source, and
-    checking it reads just the checked columns.
+    has a join, an aggregation or a model since the last materialized table. Its rows, nulls
+    and row-wise checks are then counted by the write itself. Otherwise it is a narrow step on
+    top of a materialized table or a source, and checking it reads just the checked columns.
     """
 
     def __init__(self, spark: SparkSession, how: str | None) -> None:
@@ -183,6 +186,8 @@ class Stages:
         self.costly: set[str] = set()
         self._log: list[tuple[int, str, int, str]] = []
         self._persisted: list[DataFrame] = []
+        self._written: list[str] = []
+        self.imputed: list[Row] = []
 
     def made(self, name: str, inputs: Sequence[str], wide: bool) -> None:
         """Note a table that a step has produced from others."""
@@ -195,7 +200,7 @@ class Stages:
     def check(self, df: DataFrame, name: str, checks: Sequence[Check]) -> DataFrame:
         """Validate a table, keep the results, and stop the job on a critical failure."""
         suite = Suite(f"{name}_suite", checks)
-        if self.how and (name in self.costly or any(c.kind in GROUPING for c in checks)):
+        if self.how and name in self.costly:
             df, measured = self._materialize(df, name, suite)
         else:
             measured = measure(df, suite)
@@ -217,6 +222,7 @@ class Stages:
         if self.how == "table":
             watched = watch(df, suite)
             path = new_path(self.spark, name)
+            self._written.append(path)
             write_table(watched.data, path)
             kept = self.spark.read.schema(df.schema).parquet(path)
         else:
@@ -242,6 +248,12 @@ class Stages:
         for df in self._persisted:
             df.unpersist()
         self._persisted.clear()
+        for path in self._written:
+            remove(self.spark, path)
+        self._written.clear()
+
+    def all_imputed(self) -> DataFrame:
+        return self.spark.createDataFrame(self.imputed, IMPUTED_SCHEMA)
 
 
 # --- the operations a spec can name --------------------------------------------------------
@@ -252,6 +264,7 @@ def _impute(
     operation: Mapping[str, Any],
     keep: Sequence[str],
     missing: Mapping[str, int] | None,
+    imputed: list[Row] | None,
 ) -> DataFrame:
     name = operation["operation"]
     numeric = "mean" if name in ("impute_mean", "impute") else None
@@ -262,8 +275,9 @@ def _impute(
     if "value" in operation:
         settings["value"] = operation["value"]
     done = impute(df, columns=operation.get("columns"), exclude=keep, missing=missing, now=True, **settings)
-    if operation.get("report_skipped"):
-        warn_skipped(done.log)
+    warn_skipped(done.log)
+    if imputed is not None:
+        imputed += done.log.collect()  # a row for each column
     return done.data
 
 
@@ -282,29 +296,48 @@ def apply_operations(
     operations: Sequence[Mapping[str, Any]],
     keep: Sequence[str] = (),
     missing: Mapping[str, int] | None = None,
+    imputed: list[Row] | None = None,
 ) -> DataFrame:
-    """Apply named column operations in order; imputation leaves the ``keep`` columns alone.
+    """Apply named column operations in order; imputation by type leaves ``keep`` alone.
 
     ``missing`` holds the null counts of ``df`` where they are known. They stop counting
-    once an operation other than an imputation has changed the table.
+    once an operation other than an imputation has changed the table. ``imputed`` receives
+    the log of every imputation. A ``data_type`` declared by an operation is the type its
+    columns must have after it.
     """
     for operation in operations:
         name = operation["operation"]
         if name in _IMPUTATIONS:
-            df = _impute(df, operation, keep, missing)
+            df = _impute(df, operation, keep, missing, imputed)
         elif name in _OPERATIONS:
             df = _OPERATIONS[name](df, operation)
             missing = None
         else:
             raise ValueError(f"unknown operation {name!r}")
+        _require_type(df, operation)
     return df
 
 
+def _require_type(df: DataFrame, operation: Mapping[str, Any]) -> None:
+    declared = operation.get("data_type")
+    if not declared:
+        return
+    given = operation.get("expressions") or operation.get("types") or operation.get("columns") or ()
+    made = (operation.get("names") or {}).values()
+    for column in [*given, *made]:
+        if not has_type(type_of(df, column), declared):
+            held = type_of(df, column).simpleString()
+            raise ValueError(
+                f"{operation['operation']} declares {column} as {declared}, but it is {held}"
+            )
+
+
 def apply_step(
     step: Step,
     tables: Mapping[str, DataFrame],
     keep: Sequence[str] = (),
     missing: Mapping[str, Mapping[str, int]] | None = None,
+    imputed: list[Row] | None = None,
 ) -> DataFrame:
     given = step.arguments
     inputs = [_table(tables, name) for name in step.inputs]
@@ -316,7 +349,7 @@ def apply_step(
     if step.type == "aggregation":
         return aggregate(inputs[0], given["by"], given["measures"])
     known = (missing or {}).get(step.inputs[0])
-    return apply_operations(inputs[0], given["transformations_details"], keep, known)
+    return apply_operations(inputs[0], given["transformations_details"], keep, known, imputed)
 
 
 def apply_rule(df: DataFrame, rule: Rule) -> DataFrame:
@@ -380,8 +413,9 @@ def run_job(
     logged and kept. ``stage`` says how checked joins and aggregations are materialized;
     ``report_path`` gets the results of all checks that ran, whether the job ends or stops.
     ``keep`` names columns, such as a label, that imputation by type leaves alone, as it
-    does the join keys. The final table is written to the ``path`` of an output of type
-    "format" after the global checks have passed.
+    does the join keys. An output of type "format" with a ``path`` writes its own table there,
+    after the global checks on the last table have passed. Columns that no imputation could
+    fill are logged as warnings.
     """
     if not isinstance(spec, Spec):
         spec = Spec.from_dict(spec)
@@ -398,26 +432,28 @@ def run_job(
             if _imputes(step):
                 given = step.inputs[0]
                 named[given] = stages.keep(_table(named, given), given)
-            df = apply_step(step, named, untouched, stages.missing)
+            df = apply_step(step, named, untouched, stages.missing, stages.imputed)
             current = step.output
             stages.made(current, step.inputs, step.type in _WIDE_STEPS)
             named[current] = stages.check(df, current, step.checks) if step.checks else df
         for rule in spec.rules:
             named[current] = apply_rule(named[current], rule)
             stages.made(current, [current], False)
+        made: list[DataFrame] = []
         for output in spec.outputs:
             given = output.input or current
             df = apply_output(_table(named, given), output, models or {})
             current = output.output or given
             stages.made(current, [given], "model" in output.arguments)
             named[current] = stages.check(df, current, output.checks) if output.checks else df
+            made.append(named[current])
         if spec.global_checks:
             stages.made("global", [current], False)
             named[current] = stages.check(named[current], "global", spec.global_checks)
-        for output in spec.outputs:
+            made[-1:] = [named[current]] * bool(made)
+        for output, df in zip(spec.outputs, made, strict=True):
             if output.type == "format" and "path" in output.arguments:
-                fmt = output.arguments.get("fmt", "parquet")
-                write_table(named[current], output.arguments["path"], fmt)
+                write_table(df, output.arguments["path"], output.arguments.get("fmt", "parquet"))
     except Exception:
         stages.release()
         raise
@@ -431,6 +467,7 @@ def run_job(
         stages.log(),
         stages.warnings,
         stages.release,
+        stages.all_imputed(),
     )
 
 
@@ -471,14 +508,19 @@ def run_files(
     base: str,
     spec: Mapping[str, Any],
     fmt: str = "csv",
+    schemas: Mapping[str, StructType | str] | None = None,
+    reader: Mapping[str, str] | None = None,
     **settings: Any,
 ) -> JobResult:
     """As ``run_job``, with the sources read from ``{base}/{name}.{fmt}``.
 
+    ``schemas`` by source spare the inference of CSV types, which reads a file twice;
+    ``reader`` holds reader options, such as ``multiLine`` for values with line breaks.
     A source without a file stops the job first, then any mentioned column that no source
     has; all of them are named.
     """
-    tables = load_sources(spark, base, [s["name"] for s in spec["source"]], fmt)
+    names = [s["name"] for s in spec["source"]]
+    tables = load_sources(spark, base, names, fmt, schemas, reader)
     absent = sorted(row["column"] for row in audit(spec, tables).collect())
     if absent:
         raise ValueError(f"no source has the columns {', '.join(absent)}")

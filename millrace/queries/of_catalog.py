@@ -365,3 +365,23 @@ def missing_sources(spark: SparkSession, folder: str) -> DataFrame:
     names = ("documents", "labels", "pages")
     catalog = cat.profile_tables({name: table(spark, folder, name) for name in names})
     return cat.missing_sources(cat.spec_sources(_specs(spark, folder)), catalog)
+
+
+@query(
+    "malformed_specs",
+    """
+    SELECT doc_id AS spec_id, CASE doc_id % 5 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'no text'
+        WHEN 2 THEN 'not an object' ELSE 'no sources' END AS reason
+    FROM documents WHERE doc_id % 5 < 4
+    """,
+)
+def malformed_specs(spark: SparkSession, folder: str) -> DataFrame:
+    kind = F.col("doc_id") % 5
+    spec = (
+        F.when(kind == 0, F.concat(F.lit("{"), F.col("source")))
+        .when(kind == 2, F.lit("[1, 2]"))
+        .when(kind == 3, F.lit('{"transformation": []}'))
+        .when(kind == 4, F.to_json(F.struct(F.array(F.struct(F.col("source").alias("name"))).alias("source"))))
+    )
+    stored = table(spark, folder, "documents").select("doc_id", spec.alias("spec"))
+    return cat.malformed_specs(stored, "doc_id", "spec")

@@ -33,10 +33,12 @@ def _row(
     severity: str = CRITICAL,
     description: str = "",
     suite: str = "suite",
+    extremes: tuple[str, str] | None = None,
 ) -> str:
     """SQL of one result row; ``value`` and ``bad`` give the lowest and highest bad value."""
     lowest = f"CAST(min({value}) FILTER ({bad}) AS VARCHAR)" if value else "CAST(NULL AS VARCHAR)"
     highest = f"CAST(max({value}) FILTER ({bad}) AS VARCHAR)" if value else "CAST(NULL AS VARCHAR)"
+    lowest, highest = extremes or (lowest, highest)
     shown = f"'{column}'" if column else "CAST(NULL AS VARCHAR)"
     return f"""
     SELECT '{suite}' AS suite, '{check}' AS "check", {shown} AS "column",
@@ -59,12 +61,19 @@ def _repeats(check: str, columns: list[str], source: str, **more: str) -> str:
     """SQL of a uniqueness check."""
     keys = ", ".join(columns)
     known = " AND ".join(f"{c} IS NOT NULL" for c in columns)
-    shown = " || ', ' || ".join(f"CAST({c} AS VARCHAR)" for c in columns)
-    grouped = (
-        f"(SELECT {shown} AS shown, count(*) AS n FROM {source} WHERE {known} GROUP BY {keys})"
+    grouped = f"(SELECT {keys}, count(*) AS times FROM {source} WHERE {known} GROUP BY {keys})"
+    total, repeated = "coalesce(sum(times), 0)", "coalesce(sum(times) FILTER (times > 1), 0)"
+
+    def extreme(way: str) -> str:
+        # The first or last key in the order of the values, then shown as text.
+        parts = " || ', ' || ".join(f"CAST({c} AS VARCHAR)" for c in columns)
+        order = ", ".join(f"{c} {way}" for c in columns)
+        return f"(SELECT {parts} FROM {grouped} k WHERE times > 1 ORDER BY {order} LIMIT 1)"
+
+    return _row(
+        check, keys, grouped, total, repeated, None, None,
+        extremes=(extreme("ASC"), extreme("DESC")), **more,
     )
-    total, repeated = "coalesce(sum(n), 0)", "coalesce(sum(n) FILTER (n > 1), 0)"
-    return _row(check, keys, grouped, total, repeated, "shown", "n > 1", **more)
 
 
 _MISSING_INCOME = "count(*) FILTER (c_acctbal IS NULL)"
@@ -176,10 +185,13 @@ _DATES = """(SELECT CASE WHEN o_orderstatus = 'P' THEN strftime(o_orderdate, '%d
     _bad("datetime_format", "day", _DATES, "try_strptime(day, '%Y-%m-%d') IS NULL"),
 )
 def check_datetime_format(spark: SparkSession, folder: str) -> DataFrame:
+    return _run(_dates(spark, folder), q.datetime_format("day", "yyyy-MM-dd"))
+
+
+def _dates(spark: SparkSession, folder: str) -> DataFrame:
     iso, local = (F.date_format("o_orderdate", f) for f in ("yyyy-MM-dd", "dd/MM/yyyy"))
     day = F.when(F.col("o_orderstatus") == "P", local).otherwise(iso)
-    orders = table(spark, folder, "orders").select(day.alias("day"))
-    return _run(orders, q.datetime_format("day", "yyyy-MM-dd"))
+    return table(spark, folder, "orders").select(day.alias("day"))
 
 
 @query(
@@ -393,3 +405,29 @@ def severity_gate(spark: SparkSession, folder: str) -> DataFrame:
     results = results.unionByName(q.validate(people, q.Suite("suite", [q.not_null("c_acctbal")])))
     results = results.unionByName(q.validate(people, q.Suite("keys", [q.not_null("c_custkey")])))
     return q.gate(results)
+
+
+@query(
+    "check_datetime_format_spec",
+    _bad("datetime_format", "day", _DATES, "try_strptime(day, '%Y-%m-%d') IS NULL"),
+)
+def check_datetime_format_spec(spark: SparkSession, folder: str) -> DataFrame:
+    """As a job spec gives it, with a strftime format."""
+    check = q.Check.from_dict(
+        {
+            "expectation_type": "expect_column_values_to_match_datetime_format",
+            "column": "day",
+            "kwargs": {"strftime_format": "%Y-%m-%d"},
+        }
+    )
+    return _run(_dates(spark, folder), check)
+
+
+@query(
+    "check_unique_numbers",
+    _repeats("unique", ["n"], "(SELECT o_custkey % 1009 + 9 AS n FROM orders) k"),
+)
+def check_unique_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """The lowest and highest of repeated numbers, in a column named like a count."""
+    keys = table(spark, folder, "orders").select((F.col("o_custkey") % 1009 + 9).alias("n"))
+    return _run(keys, q.unique("n"))

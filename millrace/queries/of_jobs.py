@@ -264,3 +264,62 @@ def global_checks(spark: SparkSession, folder: str) -> DataFrame:
     spec = _ratio_spec(new_path(spark, "price_shares"))
     results = run_job({"orders": orders, "lineitem": lines}, spec).results
     return results.filter("suite = 'global_suite'").select("check", "success", "total")
+
+
+@query(
+    "job_two_outputs",
+    """
+    SELECT 'large' AS output, o_orderkey AS orderkey, o_totalprice AS price FROM orders
+    WHERE o_totalprice > 1000
+    UNION ALL
+    SELECT 'people', c_custkey, NULL FROM customer
+    """,
+)
+def job_two_outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """Two outputs of different tables, each read back from its own path."""
+    large, people = new_path(spark, "large"), new_path(spark, "people")
+    spec = {
+        "source": [{"name": "orders"}, {"name": "customer"}],
+        "transformation": [
+            {"type": "filter", "inputs": ["orders"], "predicate": "o_totalprice > 1000",
+             "output_table_name": "large"}
+        ],
+        "output": [
+            {"type": "format", "input_table_name": "large", "path": large,
+             "columns": ["o_orderkey", "o_totalprice"]},
+            {"type": "format", "input_table_name": "customer", "path": people, "columns": ["c_custkey"]},
+        ],
+    }
+    names = ("orders", "customer")
+    run_job({n: table(spark, folder, n) for n in names}, spec).release()
+    first = read_table(spark, large).toDF("orderkey", "price")
+    second = read_table(spark, people).toDF("orderkey").withColumn("price", F.lit(None).cast("double"))
+    return first.withColumn("output", F.lit("large")).unionByName(
+        second.withColumn("output", F.lit("people"))
+    )
+
+
+@query(
+    "job_impute_log",
+    """
+    SELECT 'o_totalprice' AS "column", 'mean' AS strategy,
+           count(*) FILTER (o_orderkey % 7 = 0) AS missing, 'filled' AS outcome FROM orders
+    UNION ALL SELECT 'nothing', 'mean', count(*), 'skipped: no value present' FROM orders
+    UNION ALL SELECT 'o_custkey', 'mean', 0, 'nothing missing'
+    """,
+)
+def job_impute_log(spark: SparkSession, folder: str) -> DataFrame:
+    price = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice"))
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", price.alias("o_totalprice"))
+    orders = orders.withColumn("nothing", F.lit(None).cast("double"))
+    columns = ["o_totalprice", "nothing", "o_custkey"]
+    spec = {
+        "source": [{"name": "orders"}],
+        "transformation": [
+            {"type": "column_manipulation", "transformations_details": [
+                {"operation": "impute_mean", "columns": columns}]}
+        ],
+    }
+    # A key may be filled where it is named; by type it is left alone.
+    result = run_job({"orders": orders}, spec, keep=["o_custkey"])
+    return result.imputed.select("column", "strategy", "missing", "outcome")

@@ -41,7 +41,7 @@ def column_means_with_nulls(spark: SparkSession, folder: str) -> DataFrame:
 def _modes_sql(source: str, columns: list[str]) -> str:
     picks = ", ".join(
         f"(SELECT {c} FROM {source} WHERE {c} IS NOT NULL GROUP BY {c} "
-        f"ORDER BY count(*) DESC, CAST({c} AS VARCHAR) LIMIT 1) AS {c}"
+        f"ORDER BY count(*) DESC, {c} LIMIT 1) AS {c}"
         for c in columns
     )
     return f"SELECT {picks}"
@@ -138,3 +138,13 @@ def aggregate_two_keys(spark: SparkSession, folder: str) -> DataFrame:
             "mean_discount": "round(avg(l_discount), 6)",
         },
     )
+
+
+# Keys of orders whose customers have as many orders tie in great numbers, 9 against 10 as well.
+_TIED = "(SELECT o_custkey, o_custkey % 11 AS tied FROM (SELECT DISTINCT o_custkey FROM orders) d)"
+
+
+@query("column_modes_numeric_ties", _modes_sql(f"{_TIED} t", ["o_custkey", "tied"]))
+def column_modes_numeric_ties(spark: SparkSession, folder: str) -> DataFrame:
+    keys = table(spark, folder, "orders").select("o_custkey").distinct()
+    return stats.column_modes(keys.withColumn("tied", F.col("o_custkey") % 11), ["o_custkey", "tied"])

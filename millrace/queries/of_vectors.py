@@ -237,3 +237,25 @@ def search_chunks(spark: SparkSession, folder: str) -> DataFrame:
     stored = ch.embed_hashed(records, "chunk").select(F.col("chunk_id").alias("id"), "embedding")
     passages = table(spark, folder, "benchmark").withColumnRenamed("item_id", "query_id")
     return top_k_join(ch.embed_hashed(passages, "text"), stored)
+
+
+_VERSIONED = "conv_id, CASE WHEN conv_id % 3 > 0 THEN turn END AS turn, role, text"
+_NEWEST = "row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC) = 1"
+
+
+@query(
+    "upsert_null_version",
+    f"""
+    WITH given AS (SELECT {_VERSIONED} FROM conversations),
+    stored AS (SELECT * FROM given WHERE role = 'user' QUALIFY {_NEWEST}),
+    incoming AS (SELECT * FROM given WHERE role = 'assistant' QUALIFY {_NEWEST})
+    SELECT * FROM incoming
+    UNION ALL SELECT * FROM stored WHERE conv_id NOT IN (SELECT conv_id FROM incoming)
+    """,
+)
+def upsert_null_version(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys without any version keep a row, and equal versions are settled."""
+    version = F.when(F.col("conv_id") % 3 > 0, F.col("turn")).alias("turn")
+    messages = table(spark, folder, "conversations").select("conv_id", version, "role", "text")
+    stored = ch.latest(messages.filter("role = 'user'"), "conv_id", "turn")
+    return ch.upsert(stored, messages.filter("role = 'assistant'"), "conv_id", "turn")

@@ -20,14 +20,16 @@ def read_csv(
     path: str,
     schema: StructType | str | None = None,
     multi_line: bool = False,
+    options: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """CSV with a header row; a quote inside a quoted value is doubled.
 
     Give ``schema`` for large files: inference reads the whole input once more. Files whose
     values span lines need ``multi_line``, and then each file is read by a single task.
+    ``options`` are those of Spark's reader; ``mode=FAILFAST`` stops at a malformed row.
     """
     reader = spark.read.option("header", True).option("escape", '"')
-    reader = reader.option("multiLine", multi_line)
+    reader = reader.option("multiLine", multi_line).options(**(options or {}))
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     try:
         return reader.csv(path)
@@ -36,11 +38,16 @@ def read_csv(
 
 
 def read_table(
-    spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | str | None = None
+    spark: SparkSession,
+    path: str,
+    fmt: str = "parquet",
+    schema: StructType | str | None = None,
+    options: Mapping[str, str] | None = None,
 ) -> DataFrame:
     if fmt == "csv":
-        return read_csv(spark, path, schema)
-    reader = spark.read.schema(schema) if schema else spark.read
+        return read_csv(spark, path, schema, options=options)
+    reader = spark.read.options(**(options or {}))
+    reader = reader.schema(schema) if schema else reader
     try:
         return reader.format(fmt).load(path)
     except PySparkException as error:
@@ -53,14 +60,18 @@ def load_sources(
     names: Iterable[str],
     fmt: str = "csv",
     schemas: Mapping[str, StructType | str] | None = None,
+    options: Mapping[str, str] | None = None,
 ) -> dict[str, DataFrame]:
-    """Resolve each name to ``{base}/{name}.{fmt}``; every missing name is reported at once."""
+    """Resolve each name to ``{base}/{name}.{fmt}``; every missing name is reported at once.
+
+    ``schemas`` spare the inference of CSV types; ``options`` go to the reader of every source.
+    """
     tables: dict[str, DataFrame] = {}
     missing: list[str] = []
     for name in names:
         path = f"{base}/{name}.{fmt}"
         try:
-            tables[name] = read_table(spark, path, fmt, (schemas or {}).get(name))
+            tables[name] = read_table(spark, path, fmt, (schemas or {}).get(name), options)
         except SourceError as error:
             if not is_missing(error):
                 raise

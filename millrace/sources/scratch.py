@@ -37,3 +37,11 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path that ``new_path`` has given out, through the file system it is on."""
+    if not path.startswith(f"{shared_folder(spark)}/millrace/"):
+        raise ValueError(f"{path} is not a scratch path")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
