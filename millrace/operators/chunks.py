@@ -35,6 +35,11 @@ def with_base_id(df: DataFrame, text: str, metadata: str | None = None) -> DataF
     return df.withColumn("base_id", F.sha2(parts, 256))
 
 
+def distinct_items(df: DataFrame, text: str, metadata: str | None = None) -> DataFrame:
+    """One of the items with equal text and metadata."""
+    return with_base_id(df, text, metadata).dropDuplicates(["base_id"]).drop("base_id")
+
+
 def with_chunk_ids(
     df: DataFrame, text: str, metadata: str | None = None, size: int = CHUNK_WORDS
 ) -> DataFrame:
@@ -67,14 +72,13 @@ def to_records(
     """Text items (``text``, ``metadata``) as vector records: ``id, embedding, metadata``.
 
     Each chunk becomes a record whose metadata carries the chunk. Equal items give equal
-    ids, and one record of each id is kept. Without ``encode``, words are hashed.
+    ids; they are reduced to one before they are cut. Without ``encode``, words are hashed.
     """
-    chunked = with_chunk_ids(items.select("text", "metadata"), "text", "metadata", size)
-    records = merge_metadata(chunked, "metadata", "chunk").select(
-        F.col("chunk_id").alias("id"), "chunk", "metadata"
+    chunked = with_chunk_ids(
+        distinct_items(items.select("text", "metadata"), "text", "metadata"), "text", "metadata", size
     )
-    once = records.groupBy("id").agg(
-        F.first("chunk").alias("chunk"), F.first("metadata").alias("metadata")
+    once = merge_metadata(chunked, "metadata", "chunk").select(
+        F.col("chunk_id").alias("id"), "chunk", "metadata"
     )
     embedded = (
         embed(once, "chunk", encode, length) if encode else embed_hashed(once, "chunk", length)
@@ -95,7 +99,7 @@ def latest(df: DataFrame, key: str, version: str) -> DataFrame:
     # A struct is never null, whatever is in it.
     rank = F.struct(F.col(quoted(version)).isNotNull(), F.col(quoted(version)), *ordered)
     newest = F.max_by(F.struct(*[F.col(quoted(c)) for c in df.columns]), rank).alias("row")
-    return df.groupBy(key).agg(newest).select("row.*")
+    return df.groupBy(quoted(key)).agg(newest).select("row.*")
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:

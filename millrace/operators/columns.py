@@ -7,6 +7,8 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.types import quoted
+
 Expression = str | Column
 
 
@@ -30,7 +32,8 @@ def cast_columns(df: DataFrame, types: Mapping[str, str], strict: bool = False)
     require_columns(df, types)
 
     def cast(name: str, target: str) -> Column:
-        return F.col(name).cast(target) if strict else F.col(name).try_cast(target)
+        value = F.col(quoted(name))
+        return value.cast(target) if strict else value.try_cast(target)
 
     return df.withColumns({name: cast(name, target) for name, target in types.items()})
 
@@ -42,12 +45,12 @@ def derive(df: DataFrame, columns: Mapping[str, Expression]) -> DataFrame:
 
 def ratio(numerator: str, denominator: str) -> Column:
     """Quotient of two columns; null where the denominator is zero."""
-    return F.try_divide(F.col(numerator), F.col(denominator))
+    return F.try_divide(F.col(quoted(numerator)), F.col(quoted(denominator)))
 
 
 def remainder(column: str, divisor: int, non_negative: bool = False) -> Column:
     """Remainder of a division; the sign follows the dividend unless ``non_negative``."""
-    value = F.col(column)
+    value = F.col(quoted(column))
     return F.pmod(value, F.lit(divisor)) if non_negative else value % divisor
 
 
@@ -73,7 +76,7 @@ def random_column(df: DataFrame, name: str, seed: int = 0) -> DataFrame:
 
 
 def select_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    return df.select(*columns)
+    return df.select(*[quoted(c) if c in df.columns else c for c in columns])
 
 
 def require_columns(df: DataFrame, names: Iterable[str]) -> None:

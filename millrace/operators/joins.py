@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.types import type_of, wider
+from millrace.functions.types import quoted, type_of, wider
 from millrace.operators.columns import require_columns
 
 JOIN_TYPES = ("inner", "left", "right", "full", "left_semi", "left_anti")
 BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_ROWS = 5_000_000
+# A key with at least this fraction (1 in so many) of the rows is split when a join is salted.
+HOT_KEYS = 1000
 
 # Sides that Spark can broadcast for each join type.
 _BROADCAST_SIDES = {
@@ -44,8 +46,8 @@ def join_tables(
     ``align_keys``  cast both keys to the wider type first.
     ``broadcast``   "left" or "right": broadcast that side if its measured size is within
                     BROADCAST_BYTES and BROADCAST_ROWS; otherwise the join shuffles.
-    ``salt``        split every key over this many sub-keys, for keys so frequent that one
-                    task cannot hold their matches.
+    ``salt``        split frequent keys over this many sub-keys, for keys so frequent that one
+                    task cannot hold their matches; the left rows are counted first.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if how not in JOIN_TYPES:
@@ -55,7 +57,7 @@ def join_tables(
     if align_keys:
         left, right = _align(left, right, keys)
     if how in ("left_semi", "left_anti"):
-        right = right.select(*keys)
+        right = right.select(*map(quoted, keys))
     right = _suffixed(left, right, keys, suffix)
     if salt and salt > 1:
         return _salted_join(left, right, keys, how, salt)
@@ -99,9 +101,9 @@ def _align(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFram
     for key in keys:
         target = wider(type_of(left, key), type_of(right, key))
         if type_of(left, key) != target:
-            left = left.withColumn(key, F.col(key).cast(target))
+            left = left.withColumn(key, F.col(quoted(key)).cast(target))
         if type_of(right, key) != target:
-            right = right.withColumn(key, F.col(key).cast(target))
+            right = right.withColumn(key, F.col(quoted(key)).cast(target))
     return left, right
 
 
@@ -125,31 +127,75 @@ def _suffixed(left: DataFrame, right: DataFrame, keys: list[str], suffix: str) -
 
 
 _SALT = "__salt"
+_TIMES = "__times"
+_AGAIN = "__again"
 
 
 def _salted_join(
     left: DataFrame, right: DataFrame, keys: list[str], how: str, salt: int
 ) -> DataFrame:
-    """Spread the rows of one side over ``salt`` sub-keys and copy the other side to each.
+    """Spread the rows of frequent left keys over ``salt`` sub-keys, copying their right rows.
 
-    The salt is a hash of the row, not a random number, so a task that runs again after an
-    executor is lost puts every row where it was.
+    Only keys that hold a 1/HOT_KEYS of the left rows or more are split; the others, and right
+    rows without such a key, stay single. Salts are hashes of rows, not random numbers, so a
+    task that runs again after an executor is lost puts every row where it was. Equal rows of a
+    frequent key become one row with a count; the count is dealt to the sub-keys and the rows
+    are repeated after the join. A key frequent on the right is not split on that side.
     """
     if how == "right":
-        rest = [c for c in left.columns if c not in keys]
-        other = [c for c in right.columns if c not in keys]
-        return _salted_join(right, left, keys, "left", salt).select(*keys, *rest, *other)
+        rest = [quoted(c) for c in left.columns if c not in keys]
+        other = [quoted(c) for c in right.columns if c not in keys]
+        swapped = _salted_join(right, left, keys, "left", salt)
+        return swapped.select(*[quoted(k) for k in keys], *rest, *other)
     if how == "full":
         matched = _salted_join(left, right, keys, "left", salt)
-        unmatched = _salted_join(right, left.select(*keys), keys, "left_anti", salt)
+        unmatched = _salted_join(right, left.select(*map(quoted, keys)), keys, "left_anti", salt)
         return matched.unionByName(unmatched, allowMissingColumns=True)
+    kinds = [wider(type_of(left, k), type_of(right, k)) for k in keys]
+    hashed = F.xxhash64(*[F.col(quoted(k)).cast(t) for k, t in zip(keys, kinds, strict=True)])
+    hot = hot_keys(left, hashed)
+    if not hot:
+        return left.join(right, keys, how)
+    frequent = hashed.isin(hot)
     if how in ("left_semi", "left_anti"):
         right = right.distinct()
-    spread = left.withColumn(_SALT, F.pmod(F.xxhash64(*_hashable(left)), F.lit(salt)))
+    single = right.withColumn(_SALT, F.lit(0).cast("long")).filter(~frequent)
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long")))
-    copied = right.withColumn(_SALT, copies)
-    return spread.join(copied, [*keys, _SALT], how).drop(_SALT)
+    copied = single.unionByName(right.filter(frequent).withColumn(_SALT, copies))
+    joined = salted(left, frequent, salt).join(copied, [*keys, _SALT], how)
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col(_TIMES)))
+    return joined.withColumn(_AGAIN, again).drop(_SALT, _TIMES, _AGAIN)
+
+
+def hot_keys(df: DataFrame, hashed: Column, share: int = HOT_KEYS) -> list[int]:
+    """Hashes of the keys that hold at least a ``share``-th of the rows: at most ``share``.
+
+    A count and a grouping that combines on the map side.
+    """
+    least = max(2, df.count() // share)
+    counts = df.groupBy(hashed.alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
+    frequent = counts.filter(F.col("__n") >= least).orderBy(F.desc("__n"), "__key").limit(share)
+    return [row["__key"] for row in frequent.collect()]
+
+
+def salted(df: DataFrame, frequent: Column, salt: int) -> DataFrame:
+    """``df`` with a salt and how many equal rows a row stands for.
+
+    Rows that are not frequent have the salt 0 and stand for themselves.
+    """
+    rest = df.filter(~frequent).withColumns(
+        {_SALT: F.lit(0).cast("long"), _TIMES: F.lit(1).cast("long")}
+    )
+    columns = [F.col(quoted(c)) for c in df.columns]
+    counted = df.filter(frequent).groupBy(*columns).agg(F.count(F.lit(1)).alias(_TIMES))
+    parts = F.least(F.col(_TIMES), F.lit(salt).cast("long"))
+    dealt = counted.withColumn(_AGAIN, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    more = (F.col(_AGAIN) < F.col(_TIMES) % parts).cast("long")
+    times = ((F.col(_TIMES) - F.col(_TIMES) % parts) / parts).cast("long") + more
+    place = F.pmod(F.xxhash64(*_hashable(df)), F.lit(salt)) + F.col(_AGAIN)
+    spread = dealt.withColumns({_SALT: F.pmod(place, F.lit(salt)), _TIMES: times})
+    return rest.unionByName(spread.drop(_AGAIN))
 
 
 def _hashable(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return [quoted(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]

@@ -20,8 +20,8 @@ from millrace.operators.chunks import embed, embed_hashed
 # Queries whose vectors and best hits take up to this many bytes are broadcast; larger sets
 # are split into blocks.
 QUERY_BYTES = 32 * 1024 * 1024
-# Vectors per slice when both sides are split.
-SLICE_ROWS = 200_000
+# Bytes of vectors per slice when both sides are split.
+SLICE_BYTES = 64 * 1024 * 1024
 # Cells of a score matrix that a task holds at a time.
 _SCORE_CELLS = 4_000_000
 
@@ -85,14 +85,15 @@ def top_k_join(
     vector: str = "embedding",
     query_vector: str | None = None,
     query_bytes: int = QUERY_BYTES,
-    slice_rows: int = SLICE_ROWS,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """The ``k`` most similar vectors of every query: query key, key, ``score``, ``rank``.
 
     Exact. Pairs are scored as matrix products inside tasks, and a task emits its best ``k``
-    for each query instead of all pairs. The queries are counted first: up to
-    ``query_bytes`` they are broadcast and the vectors are not shuffled; a larger set is cut
-    into blocks, the vectors into slices, and each block meets each slice in one task.
+    for each query instead of all pairs. The queries, their keys and best hits are measured
+    first: up to ``query_bytes`` they are broadcast and the vectors are not shuffled; a larger
+    set is cut into blocks, the vectors into slices of ``slice_bytes``, and each block meets
+    each slice in one task.
     """
     query_vector = query_vector or vector
     asked = queries.select(
@@ -105,14 +106,13 @@ def top_k_join(
     key_type = type_of(stored, "id").simpleString()
     schema = f"query_id {query_type}, id {key_type}, score double"
 
-    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("query_vector")).alias("d")).first()
-    total = size["n"] * ((size["d"] or 0) + 2 * k) * 8
+    total = _bytes(asked, "query_id", "query_vector", 2 * k)
     numeric = in_family(type_of(stored, "id"), "integer")
     if total <= query_bytes:
         found = _score_broadcast(asked, stored, k, schema, numeric)
     else:
         blocks = math.ceil(total / query_bytes)
-        found = _score_blocks(asked, stored, k, schema, numeric, blocks, slice_rows)
+        found = _score_blocks(asked, stored, k, schema, numeric, blocks, slice_bytes)
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return (
@@ -149,10 +149,10 @@ def _score_blocks(
     schema: str,
     numeric: bool,
     blocks: int,
-    slice_rows: int,
+    slice_bytes: int,
 ) -> DataFrame:
     """Every block of queries meets every slice of vectors in a task of its own."""
-    slices = max(1, math.ceil(stored.count() / slice_rows))
+    slices = max(1, math.ceil(_bytes(stored, "id", "vector") / slice_bytes))
     out = _arrow_schema(stored, asked)
 
     def part(column: Column, n: int) -> Column:
@@ -175,6 +175,12 @@ def _score_blocks(
     return grouped.applyInArrow(best, schema)
 
 
+def _bytes(df: DataFrame, key: str, vector: str, more: int = 0) -> int:
+    """Bytes of the keys and of the vectors as doubles, with ``more`` values a row."""
+    row = F.octet_length(F.col(key).cast("string")).cast("long") + (F.size(vector) + more) * 8
+    return df.agg(F.sum(F.coalesce(row, F.lit(8 * more)))).first()[0] or 0
+
+
 def _arrow_schema(stored: DataFrame, asked: DataFrame) -> pa.Schema:
     def arrow(df: DataFrame, column: str) -> pa.DataType:
         names = {"int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}

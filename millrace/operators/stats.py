@@ -85,15 +85,15 @@ def aggregate(
 ) -> DataFrame:
     """Grouped aggregation; ``measures`` maps output names to aggregate expressions."""
     require_columns(df, by)
-    return df.groupBy(*by).agg(*[as_column(e).alias(n) for n, e in measures.items()])
+    return df.groupBy(*map(quoted, by)).agg(*[as_column(e).alias(n) for n, e in measures.items()])
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Group sizes, largest first, equal sizes by value; null is a group of its own."""
     return (
-        df.groupBy(column)
+        df.groupBy(quoted(column))
         .agg(F.count(F.lit(1)).alias("count"))
-        .orderBy(F.desc("count"), F.asc(column))
+        .orderBy(F.desc("count"), F.asc(quoted(column)))
     )
 
 

@@ -116,9 +116,9 @@ def upsert_latest(spark: SparkSession, folder: str) -> DataFrame:
 )
 def store_items(spark: SparkSession, folder: str) -> DataFrame:
     """Ingest: equal texts with equal metadata share an id, so they are stored once."""
-    chunked = ch.with_chunk_ids(_items(spark, folder), "text", "metadata")
-    records = chunked.select("chunk_id", "chunk", "lang", "source", "doc_id")
-    return ch.latest(records, "chunk_id", "doc_id").drop("doc_id")
+    items = ch.distinct_items(_items(spark, folder), "text", "metadata")
+    chunked = ch.with_chunk_ids(items, "text", "metadata")
+    return chunked.select("chunk_id", "chunk", "lang", "source")
 
 
 _COSINE = "round(list_cosine_similarity({0}::DOUBLE[], {1}::DOUBLE[]), 9)"
@@ -181,7 +181,7 @@ def all_nearest(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("top_k_join_in_blocks", _ALL_NEAREST)
 def all_nearest_in_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return _all_nearest(spark, folder, query_bytes=100_000, slice_rows=250)
+    return _all_nearest(spark, folder, query_bytes=100_000, slice_bytes=100_000)
 
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -232,9 +232,9 @@ def embed_hashed(spark: SparkSession, folder: str) -> DataFrame:
 @query("search_chunks")
 def search_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark passages as queries against all document chunks, by hashed words."""
-    chunked = ch.with_chunk_ids(_items(spark, folder), "text", "metadata")
-    records = ch.latest(chunked.select("chunk_id", "chunk", "doc_id"), "chunk_id", "doc_id")
-    stored = ch.embed_hashed(records, "chunk").select(F.col("chunk_id").alias("id"), "embedding")
+    items = ch.distinct_items(_items(spark, folder), "text", "metadata")
+    chunked = ch.with_chunk_ids(items, "text", "metadata").select("chunk_id", "chunk")
+    stored = ch.embed_hashed(chunked, "chunk").select(F.col("chunk_id").alias("id"), "embedding")
     passages = table(spark, folder, "benchmark").withColumnRenamed("item_id", "query_id")
     return top_k_join(ch.embed_hashed(passages, "text"), stored)
 

@@ -4,6 +4,7 @@ from collections import Counter
 from itertools import product
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.types import wider
@@ -110,8 +111,33 @@ def test_broadcast_side_must_suit_the_join(sides):
         join_tables(*sides, on="k", how="left", broadcast="left")
 
 
-def test_salting_spreads_one_key(spark):
-    rows = spark.range(1000).selectExpr("1 AS k", "id")
-    salted = join_tables(rows, spark.createDataFrame([(1, "x")], "k int, y string"), "k", salt=8)
-    assert salted.count() == 1000
-    assert salted.select("id").distinct().count() == 1000
+def test_salting_spreads_equal_rows_of_frequent_keys(spark):
+    rows = spark.range(1000).selectExpr("1 AS k", "'same' AS x").unionAll(
+        spark.range(1).selectExpr("2 AS k", "'other' AS x")
+    )
+    frequent = F.col("k") == 1
+    dealt = joins.salted(rows, frequent, 8).groupBy("k", "__salt").agg(F.sum("__times").alias("n"))
+    found = {(r.k, r["__salt"]): r.n for r in dealt.collect()}
+    assert found == {(1, i): 125 for i in range(8)} | {(2, 0): 1}
+
+
+@pytest.mark.parametrize("how", JOIN_TYPES)
+def test_salted_joins_shuffle_and_agree(spark, how):
+    left = spark.range(3000).selectExpr("IF(id % 3 = 0, id, 7) AS k", "'same' AS `x.y`")
+    right = spark.createDataFrame([(7, "a"), (7, "a"), (9, "b"), (10_000, "c"), (None, "d")], "k int, y string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        salted = join_tables(left, right, "k", how, salt=4)
+        assert "BroadcastHashJoin" not in plan(salted)
+        plain = Counter(map(tuple, join_tables(left, right, "k", how).collect()))
+        assert Counter(map(tuple, salted.collect())) == plain
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_only_frequent_keys_are_split(spark):
+    keys = spark.range(5000).selectExpr("IF(id < 100, -1, id) AS k")
+    hashed = F.xxhash64("k")
+    expected_hash = spark.range(1).select(F.xxhash64(F.lit(-1).cast("long")).alias("h")).first().h
+    assert joins.hot_keys(keys, hashed) == [expected_hash]
+    assert joins.hot_keys(keys.limit(0), hashed) == []

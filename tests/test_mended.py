@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from millrace.operators import checks as q
 from millrace.operators import chunks as ch
+from millrace.operators import columns as cols
 from millrace.operators.impute import impute
-from millrace.operators.joins import join_tables
+from millrace.operators.joins import JOIN_TYPES, join_tables
 from millrace.operators.search import top_k_join
-from millrace.operators.stats import column_modes
+from millrace.operators.stats import aggregate, column_modes, value_counts
 from millrace.plans.job import apply_operations, run_files, run_job
 from millrace.sources.readers import load_sources
 from millrace.sources.scratch import shared_folder
@@ -45,6 +46,23 @@ def test_odd_names(spark, name):
     assert watched.measured().missing(df.columns)[name] == 1
 
 
+@pytest.mark.parametrize("name", ["a.b", "Mixed Case", "tick`ed"])
+def test_odd_names_in_every_operator(spark, name):
+    quoted = "`" + name.replace("`", "``") + "`"
+    df = spark.createDataFrame([(1, 4), (2, 6), (2, 6)], f"{quoted} int, v int")
+    for salt in (None, 2):
+        for how in JOIN_TYPES:
+            joined = join_tables(df, df.withColumnRenamed("v", "w"), name, how, salt=salt)
+            assert joined.count() == (3 if "semi" in how else 0 if "anti" in how else 5)
+    assert cols.select_columns(df, [name]).columns == [name]
+    assert cols.cast_columns(df, {name: "string"}).schema[name].dataType.simpleString() == "string"
+    made = cols.derive(df, {"r": cols.ratio("v", name), "m": cols.remainder(name, 2)})
+    assert [tuple(r)[2:] for r in made.orderBy(F.col(quoted)).limit(1).collect()] == [(4.0, 1)]
+    assert [tuple(r) for r in value_counts(df, name).collect()] == [(2, 2), (1, 1)]
+    assert aggregate(df, [name], {"n": "count(1)"}).count() == 2
+    assert ch.latest(df, name, "v").count() == 2
+
+
 def test_named_columns_are_filled_or_refused(spark):
     df = spark.createDataFrame([(1, None, "a"), (None, 2.0, "b")], "k int, v double, s string")
     filled = apply_operations(df, [{"operation": "impute_mean", "columns": ["k"]}], keep=["k"])

@@ -140,7 +140,7 @@ def vectors():
 
 
 @pytest.mark.parametrize("text_keys", [False, True])
-@pytest.mark.parametrize("settings_", [{}, {"query_bytes": 200, "slice_rows": 40}])
+@pytest.mark.parametrize("settings_", [{}, {"query_bytes": 200, "slice_bytes": 2000}])
 def test_top_k_join_equals_brute_force(spark, vectors, settings_, text_keys):
     key = (lambda i: f"{i:04d}") if text_keys else (lambda i: i)
     kind = "string" if text_keys else "bigint"
