@@ -9,6 +9,7 @@ from millrace.operators import catalog as cat
 from millrace.operators.chunks import to_records
 from millrace.operators.search import search_text
 from millrace.queries.of_columns import APPLICANTS, applicants
+from millrace.queries.of_vectors import letter_counts, letters_sql
 from millrace.queries.registry import query, table
 from millrace.sources.scratch import new_path
 from millrace.sources.writers import write_table
@@ -189,15 +190,64 @@ def ingest_catalog(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("search_catalog")
-def search_catalog(spark: SparkSession, folder: str) -> DataFrame:
+_ASKED = "column with the language of the whole text"
+
+
+def _searched(spark: SparkSession, folder: str, **settings: object) -> DataFrame:
     """The catalog rows nearest to a sentence, then only those of one table."""
-    records = to_records(cat.catalog_items(_catalog(spark, folder)))
-    everywhere = search_text(records, "column with the language of the whole text", 3)
-    somewhere = search_text(records, "income", 2, where={"table": "customer_train.csv"})
-    return everywhere.unionByName(somewhere).select(
-        "id", F.col("metadata")["text"].alias("text"), "score"
+    items = cat.catalog_items(_catalog(spark, folder))
+    encode = {k: v for k, v in settings.items() if k in ("encode", "length")}
+    records = to_records(items, **encode)
+    everywhere = search_text(records, _ASKED, 3, **settings)
+    somewhere = search_text(records, "income", 2, where={"table": "customer_train.csv"}, **settings)
+    both = everywhere.withColumn("asked", F.lit(1)).unionByName(somewhere.withColumn("asked", F.lit(2)))
+    return both.select("asked", "id", F.col("metadata")["text"].alias("text"), "score", "metadata")
+
+
+@query(
+    "search_catalog",
+    """
+    SELECT CAST(asked AS INTEGER) AS asked, true AS in_range, true AS in_table,
+           true AS is_stored
+    FROM (VALUES (1), (1), (1), (2), (2)) t(asked)
+    """,
+)
+def search_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """By hashed words; the hash has no SQL, so what any search must hold is compared."""
+    stored = to_records(cat.catalog_items(_catalog(spark, folder))).select(
+        F.col("id"), F.lit(True).alias("is_stored")
     )
+    found = _searched(spark, folder).join(stored, "id", "left")
+    inside = (F.col("asked") == 1) | (F.col("metadata")["table"] == "customer_train.csv")
+    return found.select(
+        "asked",
+        F.col("score").between(0, 1).alias("in_range"),
+        inside.alias("in_table"),
+        F.coalesce("is_stored", F.lit(False)).alias("is_stored"),
+    )
+
+
+def _nearest_sql(asked: int, text: str, k: int, where: str = "true") -> str:
+    score = f"round(list_cosine_similarity(v, {letters_sql(repr(text))}), 9)"
+    return (
+        f"(SELECT CAST({asked} AS INTEGER) AS asked, id, text, {score} AS score FROM named "
+        f"WHERE {where} ORDER BY score DESC, id LIMIT {k})"
+    )
+
+
+@query(
+    "search_catalog_by_letters",
+    _CATALOG
+    + f""", named AS (
+        SELECT {_ITEM_ID} AS id, "table", text, {letters_sql("text")} AS v
+        FROM (SELECT *, {_ITEM_TEXT} AS text FROM catalog))
+    {_nearest_sql(1, _ASKED, 3)}
+    UNION ALL {_nearest_sql(2, "income", 2, "\"table\" = 'customer_train.csv'")}
+    """,
+)
+def search_catalog_by_letters(spark: SparkSession, folder: str) -> DataFrame:
+    """The same searches with an embedding that SQL can compute."""
+    return _searched(spark, folder, encode=letter_counts, length=26).drop("metadata")
 
 
 _FILE_TYPES = {**_CUSTOMER_TYPES, "c_custkey": "int"}

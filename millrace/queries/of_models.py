@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import words
@@ -35,18 +35,51 @@ def _fitted(spark: SparkSession, folder: str, kind: str, **settings: int) -> Pip
     return m.train(labelled, _FEATURES, "quality", kind, **settings)
 
 
-@query("train_score")
+def _held() -> dict[str, Column]:
+    """What a scored table must hold: score in range, agreeing with prediction and confidence."""
+    half = F.col("score") / 100
+    return {
+        "in_range": F.col("score").between(0, 100),
+        "prediction_agrees": (F.col("score") > 50) == (F.col("prediction") == 1),
+        "confidence_agrees": F.abs(F.greatest(half, 1 - half) - F.col("confidence")) < 1e-9,
+    }
+
+
+@query(
+    "train_score",
+    """
+    SELECT doc_id, true AS in_range, true AS prediction_agrees, true AS confidence_agrees,
+           true AS score_is_formula
+    FROM documents
+    """,
+)
 def train_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Every score is the logistic function of the fitted coefficients, worked out in columns."""
     model = _fitted(spark, folder, "logistic", maxIter=20)
     scored = m.to_score(m.score(_documents(spark, folder), model), confidence=True)
-    return scored.select("doc_id", "prediction", "score", "confidence")
+    fitted = model.stages[-1]
+    terms = [F.col(c) * float(w) for c, w in zip(_FEATURES, fitted.coefficients, strict=True)]
+    margin = sum(terms, F.lit(float(fitted.intercept)))
+    formula = F.lit(100.0) / (1 + F.exp(-margin))
+    same = F.abs(formula - F.col("score")) < 1e-6
+    return scored.select(
+        "doc_id",
+        *[held.alias(n) for n, held in _held().items()],
+        same.alias("score_is_formula"),
+    )
 
 
-@query("train_boosted_trees")
+@query(
+    "train_boosted_trees",
+    """
+    SELECT doc_id, true AS in_range, true AS prediction_agrees, true AS confidence_agrees
+    FROM documents
+    """,
+)
 def train_boosted_trees(spark: SparkSession, folder: str) -> DataFrame:
     model = _fitted(spark, folder, "gbt", maxIter=5, maxDepth=3, seed=1)
     scored = m.to_score(m.score(_documents(spark, folder), model), confidence=True)
-    return scored.select("doc_id", "prediction", "score", "confidence")
+    return scored.select("doc_id", *[held.alias(n) for n, held in _held().items()])
 
 
 @query(
@@ -64,13 +97,8 @@ def score_saved_model(spark: SparkSession, folder: str) -> DataFrame:
     documents = _documents(spark, folder)
     loaded = m.to_score(m.score(documents, load_model(path)), "score", confidence=True)
     before = m.to_score(m.score(documents, model), "before").select("doc_id", "before")
-    half = F.col("score") / 100
     return loaded.join(before, "doc_id").select(
         "doc_id",
-        F.col("score").between(0, 100).alias("in_range"),
-        ((F.col("score") > 50) == (F.col("prediction") == 1)).alias("prediction_agrees"),
-        (F.abs(F.greatest(half, 1 - half) - F.col("confidence")) < 1e-9).alias(
-            "confidence_agrees"
-        ),
+        *[held.alias(n) for n, held in _held().items()],
         (F.abs(F.col("score") - F.col("before")) < 1e-9).alias("same_as_before_saving"),
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.fixed import WHITESPACE
@@ -229,14 +229,62 @@ def embed_hashed(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("search_chunks")
-def search_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Benchmark passages as queries against all document chunks, by hashed words."""
+_RANKED = """
+SELECT item_id AS query_id, CAST(unnest(range(1, 6)) AS INTEGER) AS rank, true AS in_range,
+       true AS in_order
+FROM benchmark
+"""
+
+
+def _chunks(spark: SparkSession, folder: str) -> DataFrame:
     items = ch.distinct_items(_items(spark, folder), "text", "metadata")
-    chunked = ch.with_chunk_ids(items, "text", "metadata").select("chunk_id", "chunk")
-    stored = ch.embed_hashed(chunked, "chunk").select(F.col("chunk_id").alias("id"), "embedding")
+    return ch.with_chunk_ids(items, "text", "metadata").select("chunk_id", "chunk")
+
+
+@query("search_chunks", _RANKED)
+def search_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark passages as queries against all document chunks, by hashed words.
+
+    The hash has no SQL; what any search must hold is compared.
+    """
+    stored = ch.embed_hashed(_chunks(spark, folder), "chunk")
+    stored = stored.select(F.col("chunk_id").alias("id"), "embedding")
+    passages = table(spark, folder, "benchmark").withColumnRenamed("item_id", "query_id")
+    found = top_k_join(ch.embed_hashed(passages, "text"), stored)
+    place = F.struct((-F.col("score")).alias("score"), "id")
+    before = F.lag(place).over(Window.partitionBy("query_id").orderBy("rank"))
+    return found.select(
+        "query_id",
+        "rank",
+        F.col("score").between(0, 1).alias("in_range"),
+        F.coalesce(before < place, F.lit(True)).alias("in_order"),
+    )
+
+
+def letters_sql(text: str) -> str:
+    counts = [f"CAST(len({text}) - len(replace({text}, '{x}', '')) AS DOUBLE)" for x in _LETTERS]
+    return f"[{', '.join(counts)}]"
+
+
+@query(
+    "search_chunks_by_letters",
+    _CHUNKS
+    + f""", stored AS (
+        SELECT DISTINCT {_BASE} || '-' || position AS id, {letters_sql("chunk")} AS v FROM chunked)
+    SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+        FROM (SELECT item_id AS query_id, id, {_COSINE.format("q", "v")} AS score
+              FROM (SELECT item_id, {letters_sql("text")} AS q FROM benchmark), stored
+              WHERE list_sum(v) > 0 AND list_sum(q) > 0))
+    WHERE rank <= 5
+    """,
+)
+def search_chunks_by_letters(spark: SparkSession, folder: str) -> DataFrame:
+    """The same search with an embedding that SQL can compute."""
+    stored = ch.embed(_chunks(spark, folder), "chunk", letter_counts, length=26)
     passages = table(spark, folder, "benchmark").withColumnRenamed("item_id", "query_id")
-    return top_k_join(ch.embed_hashed(passages, "text"), stored)
+    asked = ch.embed(passages, "text", letter_counts, length=26)
+    return top_k_join(asked, stored.select(F.col("chunk_id").alias("id"), "embedding"))
 
 
 _VERSIONED = "conv_id, CASE WHEN conv_id % 3 > 0 THEN turn END AS turn, role, text"
