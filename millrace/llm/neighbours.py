@@ -248,6 +248,9 @@ def nearest(
     # A bounded sample, the same on every run.
     drawn = rows.select("id", "v").orderBy(F.xxhash64("id"), "id", "v").limit(sample).toArrow()
     known, known_ids = _matrix(drawn["v"]), drawn["id"].to_numpy()
+    # A repeated row is one candidate: counted twice, it would make the first bounds too tight.
+    once = _distinct(known_ids, known, len(known))
+    known, known_ids = known[once], known_ids[once]
     cells = 1
     while cells * shard < number and cells < CELLS and cells * 16 <= len(known):
         cells *= 2

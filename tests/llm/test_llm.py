@@ -299,6 +299,19 @@ def test_neighbours(spark, tables, shard):
     assert hits >= 0.95 * 20 * len(asked) and exact >= 0.8 * len(asked)
 
 
+def test_neighbours_of_repeated_rows(spark):
+    draw = np.random.default_rng(3)
+    vectors = [(k, draw.normal(size=6).tolist()) for k in range(60)]
+    near = [(100 + k, (np.array(vectors[0][1]) * (4 + k)).tolist()) for k in range(4)]
+    rows = spark.createDataFrame([*vectors, *near * 40], "vec_id long, embedding array<double>")
+    for sample in (64, neighbours.SAMPLE):
+        found = neighbours.nearest(rows, F.col("vec_id") == 0, sample=sample).collect()
+        score = {i: float(np.dot(vectors[0][1], v)) for i, v in [*vectors[1:], *near]}
+        best = sorted(score, key=lambda i: (-score[i], i))[:20]
+        assert [r["rank"] for r in found] == list(range(1, 21))
+        assert len(set(best) & {r["vec_id"] for r in found}) >= 19
+
+
 def test_chi_square():
     assert neighbours.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
 
