@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.fixed import DEFAULT_TOP_K, EMBEDDING_LENGTH
@@ -16,11 +17,12 @@ from millrace.functions.types import in_family, type_of
 from millrace.functions.vectors import SCORE_PLACES, cosine_to, matrix
 from millrace.operators.checks import Suite, validate, vector_length
 from millrace.operators.chunks import embed, embed_hashed
+from millrace.sources.scratch import new_path, stage_table
 
-# Queries whose vectors and best hits take up to this many bytes are broadcast; larger sets
-# are split into blocks.
+# Queries whose vectors and best hits take up to this many bytes are broadcast at once; larger
+# sets are dealt into blocks of that size.
 QUERY_BYTES = 32 * 1024 * 1024
-# Bytes of vectors per slice when both sides are split.
+# Bytes of vectors, as doubles, that a task multiplies at a time.
 SLICE_BYTES = 64 * 1024 * 1024
 # Cells of a score matrix that a task holds at a time.
 _SCORE_CELLS = 4_000_000
@@ -89,11 +91,12 @@ def top_k_join(
 ) -> DataFrame:
     """The ``k`` most similar vectors of every query: query key, key, ``score``, ``rank``.
 
-    Exact. Pairs are scored as matrix products inside tasks, and a task emits its best ``k``
-    for each query instead of all pairs. The queries, their keys and best hits are measured
-    first: up to ``query_bytes`` they are broadcast and the vectors are not shuffled; a larger
-    set is cut into blocks, the vectors into slices of ``slice_bytes``, and each block meets
-    each slice in one task.
+    Exact. Pairs are scored as matrix products inside tasks, ``slice_bytes`` of vectors at a
+    time, and a task emits its best ``k`` for each query instead of all pairs. The queries are
+    broadcast, so the vectors are never shuffled. Queries, keys and best hits are measured
+    first: up to ``query_bytes`` they are one block; a larger set is dealt into blocks of about
+    that size, and each block is broadcast in a round of its own that reads the staged vectors
+    and writes its best hits. Rounds run when this is called.
     """
     query_vector = query_vector or vector
     asked = queries.select(
@@ -108,71 +111,89 @@ def top_k_join(
 
     total = _bytes(asked, "query_id", "query_vector", 2 * k)
     numeric = in_family(type_of(stored, "id"), "integer")
+    out = _arrow_schema(stored, asked)
+
+    def scored(block: Broadcast, among: DataFrame) -> DataFrame:
+        return _score_block(block, among, k, schema, out, numeric, slice_bytes)
+
     if total <= query_bytes:
-        found = _score_broadcast(asked, stored, k, schema, numeric)
+        found = scored(_broadcast(asked), stored)
     else:
-        blocks = math.ceil(total / query_bytes)
-        found = _score_blocks(asked, stored, k, schema, numeric, blocks, slice_bytes)
+        found = _score_rounds(asked, stored, k, math.ceil(total / query_bytes), schema, scored)
+    return _ranked(found, k).select(
+        F.col("query_id").alias(query_key),
+        F.col("id").alias(key if key != query_key else f"{key}_found"),
+        "score",
+        "rank",
+    )
 
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    return (
-        found.withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= k)
-        .select(
-            F.col("query_id").alias(query_key),
-            F.col("id").alias(key if key != query_key else f"{key}_found"),
-            "score",
-            "rank",
-        )
-    )
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
 
+def _broadcast(asked: DataFrame) -> Broadcast:
+    return asked.sparkSession.sparkContext.broadcast(_unit_rows(asked.toArrow(), "query_vector"))
 
-def _score_broadcast(
-    asked: DataFrame, stored: DataFrame, k: int, schema: str, numeric: bool
+
+def _score_block(
+    block: Broadcast,
+    stored: DataFrame,
+    k: int,
+    schema: str,
+    out: pa.Schema,
+    numeric: bool,
+    slice_bytes: int,
 ) -> DataFrame:
     """Local best ``k`` of every partition against a broadcast block of queries."""
-    block = asked.sparkSession.sparkContext.broadcast(_unit_rows(asked.toArrow(), "query_vector"))
-    out = _arrow_schema(stored, asked)
 
     def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = block.value
-        kept = _best_of((pa.Table.from_batches([b]) for b in batches), ids, matrix, k, numeric)
+        # Vectors of another length than the queries' are refused, so this is their width too.
+        rows = max(1, slice_bytes // (8 * max(1, matrix.shape[1])))
+        slices = (
+            pa.Table.from_batches([batch.slice(at, rows)])
+            for batch in batches
+            for at in range(0, len(batch), rows)
+        )
+        kept = _best_of(slices, ids, matrix, k, numeric)
         yield from pa.Table.from_pandas(kept, schema=out, preserve_index=False).to_batches()
 
     return stored.mapInArrow(best, schema)
 
 
-def _score_blocks(
+def _score_rounds(
     asked: DataFrame,
     stored: DataFrame,
     k: int,
-    schema: str,
-    numeric: bool,
     blocks: int,
-    slice_bytes: int,
+    schema: str,
+    scored: Callable[[Broadcast, DataFrame], DataFrame],
 ) -> DataFrame:
-    """Every block of queries meets every slice of vectors in a task of its own."""
-    slices = max(1, math.ceil(_bytes(stored, "id", "vector") / slice_bytes))
-    out = _arrow_schema(stored, asked)
-
-    def part(column: Column, n: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    """The best hits of every block of queries, each scored in a round of its own.
 
-    left = asked.withColumn("block", part(F.struct("query_id", "query_vector"), blocks))
-    left = left.withColumn("slice", every(slices))
-    right = stored.withColumn("slice", part(F.struct("id", "vector"), slices))
-    right = right.withColumn("block", every(blocks))
-
-    def best(some_queries: pa.Table, some_vectors: pa.Table) -> pa.Table:
-        ids, matrix = _unit_rows(some_queries, "query_vector")
-        kept = _best_of([some_vectors], ids, matrix, k, numeric)
-        return pa.Table.from_pandas(kept, schema=out, preserve_index=False)
-
-    grouped = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice"))
-    return grouped.applyInArrow(best, schema)
+    The driver holds one block at a time. Queries are dealt by their place, not their value, so
+    that equal ones spread as well.
+    """
+    spark = asked.sparkSession
+    dealt, found = new_path(spark, "query-blocks"), new_path(spark, "hits")
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    asked.withColumn("block", place).repartition("block").write.partitionBy("block").parquet(dealt)
+    queries = spark.read.schema(f"{_ddl(asked)}, block int").parquet(dealt)
+    vectors = stage_table(stored, "vectors")
+    for row in queries.select("block").distinct().orderBy("block").collect():
+        block = _broadcast(queries.filter(F.col("block") == row["block"]).drop("block"))
+        if len(block.value[0]):
+            best = _ranked(scored(block, vectors), k).drop("rank")
+            best.write.mode("append").parquet(found)
+        block.destroy()
+    spark.createDataFrame([], schema).write.mode("append").parquet(found)
+    return spark.read.schema(schema).parquet(found)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def _bytes(df: DataFrame, key: str, vector: str, more: int = 0) -> int:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 
 import __spark_entry__ as entry_points
 from millrace.operators import checks as q
-from millrace.operators import joins
+from millrace.operators import joins, search
 from millrace.operators.chunks import upsert
 from millrace.operators.impute import impute
 from millrace.operators.search import top_k
@@ -90,6 +90,23 @@ def test_batch_search_limits_before_the_shuffle(spark):
     assert "WindowGroupLimit" in below
 
 
+def test_no_round_of_batch_search_shuffles_vectors(spark, monkeypatch):
+    plans = []
+
+    def scored(*args):
+        found = score_block(*args)
+        plans.append(plan(found))
+        return found
+
+    score_block = search._score_block
+    monkeypatch.setattr(search, "_score_block", scored)
+    assert QUERIES["top_k_join_in_blocks"](spark, FOLDER).count() > 0
+    assert len(plans) > 1
+    for text in plans:
+        assert "MapInArrow" in text and "Scan parquet" in text
+        assert "Exchange" not in text
+
+
 def test_upsert_does_not_shuffle_the_stored_table_for_few_keys(spark, monkeypatch):
     stored = spark.read.parquet(f"{FOLDER}/conversations.parquet")
     new = stored.filter("role = 'assistant'")
