@@ -120,13 +120,19 @@ _EXPANDED = [
         else [name.removesuffix(".csv") + ".csv"]
     )
 ]
-_CATALOG = (
-    f"WITH profiles AS ({_PROFILES}), expanded(\"table\", \"column\", original_description) AS "
-    f"(VALUES {', '.join(str(row) for row in _EXPANDED)}), catalog AS ("
-    "SELECT \"table\", \"column\", original_description, coalesce(data_type, 'Unknown') AS "
-    "data_type, coalesce(nullable, false) AS nullable "
-    "FROM expanded LEFT JOIN profiles USING (\"table\", \"column\")) "
-)
+
+
+def _catalog_sql(expanded: str) -> str:
+    return (
+        f"WITH profiles AS ({_PROFILES}), expanded(\"table\", \"column\", original_description) AS "
+        f"({expanded}), catalog AS ("
+        "SELECT \"table\", \"column\", original_description, coalesce(data_type, 'Unknown') AS "
+        "data_type, coalesce(nullable, false) AS nullable "
+        "FROM expanded LEFT JOIN profiles USING (\"table\", \"column\")) "
+    )
+
+
+_CATALOG = _catalog_sql(f"VALUES {', '.join(str(row) for row in _EXPANDED)}")
 
 
 def _catalog(spark: SparkSession, folder: str) -> DataFrame:
@@ -141,17 +147,48 @@ def build_catalog(spark: SparkSession, folder: str) -> DataFrame:
     return _catalog(spark, folder)
 
 
-@query(
-    "catalog_text",
-    _CATALOG
-    + """
+_OF_DOCUMENTS = _catalog_sql(
+    """
+    SELECT unnest(CASE lang WHEN 'en' THEN ['customer_train.csv', 'customer_test.csv']
+                  WHEN 'fr' THEN ['documents.csv'] ELSE [source || '.csv'] END),
+           CASE lang WHEN 'en' THEN 'c_acctbal' WHEN 'fr' THEN 'lang' ELSE 'doc_' || doc_id END, text
+    FROM documents
+    """
+)
+
+
+def _catalog_of_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """A catalog with a row for each document: most of them describe the same few columns."""
+    lang, own = F.col("lang"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+    dictionary = table(spark, folder, "documents").select(
+        F.when(lang == "en", "customer_{train|test}").when(lang == "fr", "documents.csv")
+        .otherwise(F.col("source")).alias("Table"),
+        F.when(lang == "en", "c_acctbal").when(lang == "fr", "lang").otherwise(own).alias("Row"),
+        F.col("text").alias("Description"),
+    )
+    return cat.build_catalog(dictionary, _profiles(spark, folder))
+
+
+@query("build_catalog_of_documents", _OF_DOCUMENTS + "SELECT * FROM catalog")
+def build_catalog_of_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return _catalog_of_documents(spark, folder)
+
+
+_TEXT_SQL = """
     SELECT "table", "column",
            'Table: ' || "table" || ', Column: ' || "column" || ', Description: ' ||
            original_description || ', Data Type: ' || data_type || ', Nullable: ' ||
            CASE WHEN nullable THEN 'True' ELSE 'False' END AS text
     FROM catalog
-    """,
-)
+    """
+
+
+@query("catalog_text_of_documents", _OF_DOCUMENTS + _TEXT_SQL)
+def catalog_text_of_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return cat.catalog_text(_catalog_of_documents(spark, folder)).select("table", "column", "text")
+
+
+@query("catalog_text", _CATALOG + _TEXT_SQL)
 def catalog_text(spark: SparkSession, folder: str) -> DataFrame:
     return cat.catalog_text(_catalog(spark, folder)).select("table", "column", "text")
 
