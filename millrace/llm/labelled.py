@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources.scratch import stage_table
+
 
 def fold(doc_id: Column, folds: int) -> Column:
     """The remainder of the CRC-32 of the id as text; -1 for a null id."""
@@ -31,3 +33,21 @@ def labelled_sample(
         labelled = labelled.filter(hashed < int((2 * share - 1) * (1 << 63)))
     chosen = labelled.orderBy(hashed, "doc_id").limit(sample)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+
+def bounded_rows(rows: DataFrame, value: str, sample: int) -> DataFrame:
+    """At most ``sample`` of the rows ``doc_id, label, value``, sorted; no id is lost to repeats of another.
+
+    Rows that repeat id and value count once. Of each id the value with the least hash comes
+    first, and further values of an id only fill the room that is left. ``rows`` holds at most
+    ``sample`` ids, so the broadcast side is bounded.
+    """
+    each = stage_table(rows.select("doc_id", "label", value).distinct(), "labelled")
+    hashed = F.xxhash64(value)
+    first = each.groupBy("doc_id").agg(F.min(hashed).alias("first"))
+    taken = (
+        each.join(F.broadcast(first), "doc_id")
+        .orderBy(hashed != F.col("first"), F.xxhash64("doc_id", hashed), "doc_id", value)
+        .limit(sample)
+    )
+    return taken.select("doc_id", "label", value).orderBy("doc_id", "label", value)

@@ -12,9 +12,9 @@ that were not learned have no weight. Scoring runs over all rows in Arrow batche
 
 Defined cases: null and empty texts have no cells and get the score of the intercept; rows
 without id are scored but never trained on; labels other than 0 and 1, or null, are ignored; if
-an id has several labels the largest counts; repeated rows get equal scores; without any label of
-class 1 every score is 0, without any of class 0 (and some of class 1) it is 1; an empty table
-gives an empty result.
+an id has several labels the largest counts; repeated rows get equal scores; of an id with several
+texts one is sure to train, the others if there is room; without any label of class 1 every score
+is 0, without any of class 0 (and some of class 1) it is 1; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
-from millrace.llm.labelled import labelled_sample
+from millrace.llm.labelled import bounded_rows, labelled_sample
 from millrace.llm.texts import NOT_LETTERS, hash_spans, list_array, slices, spans
 
 #: Most labelled rows that training takes.
@@ -188,8 +188,8 @@ def train(
     """Fit on labelled documents; ``learn`` says by ``doc_id`` which labels may be used."""
     known = labelled_sample(docs, labels, label, learn, sample)
     rows = known.select("doc_id", "label", distinct_cells("text").alias("cells"))
-    # The sample is bounded; the limit holds the bound where documents repeat an id.
-    table = rows.orderBy("doc_id", "label", "cells").limit(sample).toArrow()
+    # The sample is bounded; the limit holds the bound where an id has several texts.
+    table = bounded_rows(rows, "cells", sample).toArrow()
     lists = table["cells"].combine_chunks()
     first = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
     return fit(np.asarray(lists.flatten()), first.astype(np.int64), np.asarray(table["label"]).astype(float))

@@ -485,3 +485,15 @@ def test_pipeline_by_stages(spark, tmp_path):
 def test_pipeline_on_awkward_rows(spark, tables):
     rows = corpus_pipeline.run(spark, tables).collect()
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(rows[0].asDict())
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_repeats_of_one_id_leave_the_other_labels(spark, same):
+    """An id with more rows than the sample must not push out the labels of a class."""
+    hot = [(0, "junk " * (3 if same else k)) for k in range(1, 61)]
+    docs = spark.createDataFrame(
+        [*hot, *((k, f"{'A fine sentence.' if k % 2 else '|||| ####'} {k}") for k in range(1, 21))], "doc_id long, text string"
+    )
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(21)], "doc_id long, quality int, toxic int")
+    assert quality.train(docs, labels, sample=30).weights.any()
+    assert abs(toxicity.train(docs, labels, sample=30).bias) < 1
