@@ -169,7 +169,8 @@ def _compare_blocks(threshold: float):
         low, high = table["low"][0].as_py(), table["high"][0].as_py()
         left = 0 if low == high else int((block == low).sum())
         links, root = np.zeros(len(key), dtype=np.int64), np.arange(len(key))
-        if left < len(key):
+        # Of two blocks one may be empty; the rows of the other are compared where it meets itself.
+        if low == high or 0 < left < len(key):
             sets = [np.asarray(x.values) for x in table["grams"].combine_chunks()]
             bands = np.asarray(table["bands"].combine_chunks().flatten()).reshape(len(key), -1)
             a, b = links_of(sets, bands, left, threshold)

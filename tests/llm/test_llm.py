@@ -497,3 +497,15 @@ def test_repeats_of_one_id_leave_the_other_labels(spark, same):
     labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(21)], "doc_id long, quality int, toxic int")
     assert quality.train(docs, labels, sample=30).weights.any()
     assert abs(toxicity.train(docs, labels, sample=30).bias) < 1
+
+
+def test_jaccard_with_empty_blocks(spark, monkeypatch):
+    """Blocks by n-grams: with more blocks than texts some are empty, and links count once."""
+    monkeypatch.setattr(jaccard, "PAIRS", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 200)
+    base = words(40, 200)
+    given = [(k, " ".join([*base[: 8 * k], f"edit{k}", *base[8 * k + 1 :]])) for k in range(24)]
+    rows = jaccard.jaccard_groups(spark.createDataFrame(given, "doc_id long, text string")).collect()
+    sets = {i: grams(t) for i, t in given}
+    want = {i: sum(len(a & b) >= 0.8 * len(a | b) for b in sets.values()) - 1 for i, a in sets.items()}
+    assert {r["doc_id"]: r["n_links"] for r in rows} == want
