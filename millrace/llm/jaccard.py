@@ -14,7 +14,8 @@ tree. No row is made for a pair there, and no link is lost. Groups are component
 
 Defined cases: null and empty texts (and those of white space only) are links of nothing but
 equal texts; texts of one to four words have one n-gram; rows without id belong to the class of
-their text, and a class without any id is not compared with others; repeated rows are copies;
+their text and are compared like any other, and a group without any id has a null class; repeated
+rows are copies;
 with several texts for one id each text is compared on its own; an empty table gives an empty
 result. Texts are told apart by a 64-bit hash.
 """
@@ -205,8 +206,7 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         ),
         "classes",
     )
-    known = classes.filter("doc_id IS NOT NULL")
-    entries = known.select("key", F.posexplode("bands").alias("band", "hash")).select(
+    entries = classes.select("key", F.posexplode("bands").alias("band", "hash")).select(
         "key", F.xxhash64("band", "hash").alias("bucket")
     )
     buckets = stage_table(
@@ -230,13 +230,14 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     pairs = stage_table(pairs, "pairs")
     # The n-gram sets of those classes alone that have someone to be compared with.
     needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(families.select("key")).distinct()
-    wanted = known.join(needed, "key").select("doc_id", "key")
+    wanted = classes.join(needed, "key").select("doc_id", "key")
+    texts = docs.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text"))
+    named = texts.join(wanted, ["doc_id", "key"]).select("key", "text")
+    # Copies without id are one row before they meet.
+    unnamed = texts.filter("doc_id IS NULL").select("key", "text").distinct()
+    unnamed = unnamed.join(wanted.filter("doc_id IS NULL").select("key"), "key").select("key", "text")
     sets = stage_table(
-        docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("key"))
-        .join(wanted, ["doc_id", "key"])
-        .select("key", grams("text").alias("grams"))
-        .dropDuplicates(["key"]),
-        "grams",
+        named.union(unnamed).select("key", grams("text").alias("grams")).dropDuplicates(["key"]), "grams"
     )
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     whole = F.size("grams_a") + F.size("grams_b") - both
@@ -247,10 +248,10 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         .select("a", "b"),
         "linked",
     )
-    compared = stage_table(_compare_families(families, sets, known, threshold), "compared")
+    compared = stage_table(_compare_families(families, sets, classes, threshold), "compared")
     edges = linked.union(compared.filter("root != key").select(F.col("key").alias("a"), F.col("root").alias("b")))
     roots = components(edges).select(F.col("node").alias("key"), "root")
-    sizes = known.select("key", "copies")
+    sizes = classes.select("key", "copies")
     ends = linked.select(F.col("a").alias("key"), F.col("b").alias("far")).union(linked.select("b", "a"))
     counted = (
         ends.join(sizes.select(F.col("key").alias("far"), "copies"), "far")
@@ -276,7 +277,7 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     return signed.select("doc_id", "key").join(found, "key").drop("key")
 
 
-def _compare_families(families: DataFrame, sets: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+def _compare_families(families: DataFrame, sets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     # Which block a class is in is settled on small rows; n-grams move by key and by block pair.
     sized = families.join(sets.select("key", F.size("grams").alias("size")), "key")
     blocks = sized.groupBy("family").agg(
@@ -291,7 +292,7 @@ def _compare_families(families: DataFrame, sets: DataFrame, known: DataFrame, th
     # A block meets itself and every other block of its family.
     meets = (
         dealt.join(sets, "key")
-        .join(known.select("key", "bands", "copies"), "key")
+        .join(classes.select("key", "bands", "copies"), "key")
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     )
     low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")

@@ -509,3 +509,22 @@ def test_jaccard_with_empty_blocks(spark, monkeypatch):
     sets = {i: grams(t) for i, t in given}
     want = {i: sum(len(a & b) >= 0.8 * len(a | b) for b in sets.values()) - 1 for i, a in sets.items()}
     assert {r["doc_id"]: r["n_links"] for r in rows} == want
+
+
+@pytest.mark.parametrize("pairs", [jaccard.PAIRS, 1])
+def test_jaccard_links_rows_without_id(spark, pairs, monkeypatch):
+    """Two documents are joined through a text that only rows without id hold."""
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
+    base = words(60, 200)
+
+    def edited(*places):
+        return " ".join("changed" if k in places else w for k, w in enumerate(base))
+
+    lone = words(61, 200)
+    given = [
+        (1, edited(20, 60, 100)), (2, edited(40, 80, 120)), *[(None, edited())] * 3,
+        (None, " ".join(lone)), (None, " ".join(["changed", *lone[1:]])),
+    ]
+    rows = jaccard.jaccard_groups(spark.createDataFrame(given, "doc_id long, text string")).collect()
+    got = Counter((r["doc_id"], r["class_id"], r["copy_id"], r["n_copies"], r["n_links"]) for r in rows)
+    assert got == Counter({(1, 1, 1, 0, 3): 1, (2, 1, 2, 0, 3): 1, (None, 1, None, 2, 4): 3, (None, None, None, 0, 1): 2})
