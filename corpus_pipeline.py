@@ -59,22 +59,22 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document is repeated as often as the mix takes it."""
-    size = mixing.size_of(F.col("text"))
-    sized = stage_table(docs.select("doc_id", "source", size.alias("size")), "sized")
-    copies = mixing.mix(sized).select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies"
-    )
-    copies = copies.withColumnRenamed("copies", "__copies").filter("__copies > 0")
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("__id"))
-        & F.col("source").eqNullSafe(F.col("__source"))
-        & (size == F.col("__size"))
-    )
-    return (
-        docs.join(copies, same)
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-        .select(*docs.columns)
+    size = mixing.size_of(F.col("text")).alias("size")
+    # Nulls are no part of a hash, so that where they are is hashed with it.
+    row = F.xxhash64(*(x for c in docs.columns for x in (F.col(c), F.col(c).isNull())))
+    sized = stage_table(docs.select(F.col("doc_id").cast("long"), "source", size, row.alias("row")), "sized")
+    dealt = stage_table(mixing.dealt(sized).filter("total > 0"), "dealt").select(
+        F.col("unit").alias("__unit"), F.col("row").alias("__row"), F.col("m").alias("__m"), F.col("total").alias("__total")
     )
+    named = docs.withColumns({"__unit": F.struct(F.col("doc_id").cast("long").alias("doc_id"), "source", size), "__row": row})
+    held = named.join(dealt.filter("__m = 1"), ["__unit", "__row"]).select(*docs.columns, "__total")
+    repeated = dealt.filter("__m > 1")
+    if not repeated.isEmpty():
+        # Equal rows become one, which is then repeated as often as all of them are taken.
+        once = named.join(repeated, ["__unit", "__row"]).select(*docs.columns, "__total").distinct()
+        held = held.union(once)
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__total")))
+    return held.withColumn("__copy", copy).select(*docs.columns)
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,11 +10,14 @@ the state of all sources is a written table, so nothing grows on the driver.
 Rates are rounded to whole copies by error diffusion: documents of a source are dealt by hash
 into blocks of about ``BLOCK``, and within a block, from the longest to the shortest, each takes
 the number of copies that brings the words taken nearest to the sum of rates so far. The error
-left in a block is about half of its shortest document. Large sources are many blocks.
+left in a block is about half of its shortest document. Large sources are many blocks. Equal rows
+are rounded together, to one total of copies, which is dealt so that their numbers differ by one at
+most.
 
 Defined cases: null and empty texts have size 0, rate 1 and take 0 words; a null source is a
-source of its own, last in order; rows with equal id, source and size (repeated rows) get equal
-numbers of copies; rows without id are dealt as one id; an empty table gives an empty result.
+source of its own, last in order; of rows with equal id, source and size (repeated rows) some may get
+one copy more than the others; rows without id are dealt as one id; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -155,14 +158,16 @@ def _rounded(block: pd.DataFrame) -> pd.DataFrame:
     block = block.sort_values(["size", "deal", "doc_id"], ascending=[False, True, True])
     mass = (block["size"] * block["n"]).to_numpy(dtype=float)
     ahead = np.cumsum(mass * block["rate"].to_numpy())
-    copies, taken = np.zeros(len(block), dtype=np.int64), 0.0
+    size, n = block["size"].to_numpy(), block["n"].to_numpy()
+    # Copies of all equal rows together.
+    total, taken = n.astype(np.int64), 0.0
     for k in range(len(block)):
         if mass[k]:
-            copies[k] = min(max(int(np.floor((ahead[k] - taken) / mass[k] + 0.5)), 0), CAP)
-            taken += copies[k] * mass[k]
-        else:
-            copies[k] = 1
-    return block.assign(copies=copies)
+            total[k] = min(max(int(np.floor((ahead[k] - taken) / size[k] + 0.5)), 0), CAP * n[k])
+            taken += float(total[k]) * size[k]
+    copies, more = total // n, total % n
+    dealt = pd.concat([block.assign(copies=copies, n=n - more), block.assign(copies=copies + 1, n=more)])
+    return dealt[dealt["n"] > 0]
 
 
 def mix(
@@ -171,7 +176,8 @@ def mix(
     """Copies of each document: ``doc_id, source, size, n, source_size, target, rate, copies``.
 
     ``sized`` holds ``doc_id``, ``source`` and ``size``; it is read several times, so give a
-    written table. Equal rows come as one row with their number ``n``.
+    written table. Equal rows come as one row with their number ``n``, or as two, of which one has
+    a copy more.
     """
     cells = stage_table(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mixing-cells")
     solved = multipliers(cells, targets(cells, weights, total)).withColumnRenamed("source", "__source")
@@ -190,3 +196,32 @@ def mix(
     return dealt.select(
         F.col("doc_id").cast("long"), "source", "size", "n", "source_size", "target", "rate", "deal", "block"
     ).groupBy("source", "block").applyInPandas(_rounded, schema).drop("deal", "block")
+
+
+def dealt(sized: DataFrame) -> DataFrame:
+    """``unit, row, m, total``: the copies of all ``m`` rows of one content together.
+
+    ``sized`` is as for ``mix``, with a hash ``row`` of all that a row holds; ``unit`` is the struct
+    of id, source and size. Contents of a unit take their copies in the order of the hash: its top
+    bits are summed first, so that no task numbers a whole unit.
+    """
+    unit = F.struct("doc_id", "source", "size").alias("unit")
+    taken = mix(sized).groupBy(unit).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("copies")).alias("all"))
+    rows = (
+        sized.groupBy(unit, "row")
+        .agg(F.count("*").alias("m"))
+        .join(taken, "unit")
+        .select("unit", "row", "m", F.shiftright("row", 52).alias("part"), F.expr("all div n").alias("each"), F.expr("all % n").alias("more"))
+    )
+    rows = stage_table(rows, "mixing-rows")
+    cells = rows.filter("more > 0").groupBy("unit", "part").agg(F.sum("m").alias("held"))
+    before = Window.partitionBy("unit").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.select("unit", "part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("unit", "part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.col("start") + F.coalesce(F.sum("m").over(inside), F.lit(0))
+    extra = F.least(F.greatest(F.col("more") - place, F.lit(0)), F.col("m"))
+    some = rows.filter("more > 0").join(starts, ["unit", "part"])
+    return (
+        some.select("unit", "row", "m", (F.col("m") * F.col("each") + extra).alias("total"))
+        .union(rows.filter("more = 0").select("unit", "row", "m", (F.col("m") * F.col("each")).alias("total")))
+    )

@@ -528,3 +528,23 @@ def test_jaccard_links_rows_without_id(spark, pairs, monkeypatch):
     rows = jaccard.jaccard_groups(spark.createDataFrame(given, "doc_id long, text string")).collect()
     got = Counter((r["doc_id"], r["class_id"], r["copy_id"], r["n_copies"], r["n_links"]) for r in rows)
     assert got == Counter({(1, 1, 1, 0, 3): 1, (2, 1, 2, 0, 3): 1, (None, 1, None, 2, 4): 3, (None, None, None, 0, 1): 2})
+
+
+def test_mixing_deals_copies_among_equal_rows(spark):
+    """Repeated rows that hold most of a source meet its target to a document, in the mix and the pipeline."""
+    given = [(1, "a " * 10, "a")] * 999 + [(None, f"x{k} " * 10, "a") for k in range(501)] + [(2, "b " * 7, "b")] * 300
+    docs = spark.createDataFrame(given, "doc_id long, text string, source string")
+    sized = docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
+    rows = mixing.mix(sized, weights=(15.0, 2.1), total=1.3).collect()
+    assert sum(r["n"] for r in rows) == len(given)
+    taken = Counter()
+    for r in rows:
+        taken[r["source"]] += r["n"] * r["copies"] * r["size"]
+    assert all(abs(taken[r["source"]] - r["target"]) <= 10 for r in rows)
+    mixed = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    target = {r["source"]: r["target"] for r in mixing.mix(sized).collect()}
+    words_of = Counter()
+    for r in mixed:
+        words_of[r["source"]] += len(r["text"].split())
+    assert all(abs(words_of[s] - target[s]) <= 10 for s in target)
+    assert set(Counter(r["text"] for r in mixed if r["doc_id"] is None).values()) <= {1, 2}
