@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace.llm import (
     bpe,
     chat,
+    divergence,
     fingerprints,
     jaccard,
     mixing,
@@ -265,6 +266,39 @@ def tokenized(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     )
 
 
+_TERMS_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    w AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS documents FROM w GROUP BY ALL),
+    k AS (SELECT lang, term, sum(n) AS everywhere FROM c GROUP BY ALL HAVING sum(documents) >= {divergence.LEAST_DOCUMENTS}),
+    v AS (SELECT lang, count(*) AS v, sum(everywhere) AS whole FROM k GROUP BY lang),
+    t AS (SELECT c.* FROM c SEMI JOIN k USING (lang, term)),
+    s AS (SELECT lang, source, sum(n) AS n FROM t GROUP BY ALL),
+    g AS (SELECT o.lang, o.source, coalesce(v.v, 0) AS v, coalesce(s.n, 0) AS n, whole
+        FROM (SELECT DISTINCT lang, source FROM d) o LEFT JOIN v USING (lang) LEFT JOIN s USING (lang, source)),
+    p AS (SELECT g.lang, g.source, k.term, coalesce(t.n, 0) AS n,
+        1 + CAST({divergence.PARTS} AS HUGEINT) * (coalesce(t.n, 0) + 5) // (g.n + 5 * g.v) AS p,
+        1 + CAST({divergence.PARTS} AS HUGEINT) * (everywhere + 5) // (whole + 5 * g.v) AS q
+        FROM g JOIN k USING (lang) LEFT JOIN t USING (lang, source, term)),
+    f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL)"""
+
+
+@query(
+    "op12_source_divergence",
+    f"""{_TERMS_SQL}
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (
+                SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+                FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+                UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q))
+        WHERE part = 'pair' OR rank <= {divergence.TOP}""",
+)
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(table(spark, folder, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline

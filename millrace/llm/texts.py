@@ -43,7 +43,7 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of texts as (first row, end row, bytes, byte offset of each text and the end)."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -56,7 +56,7 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     data = np.frombuffer(values, dtype=np.uint8) if values else np.zeros(0, dtype=np.uint8)
     first = 0
     while first < len(texts):
-        end = int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[first] + (size or SLICE_BYTES), side="right")) - 1
         end = min(max(end, first + 1), len(texts))
         yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
