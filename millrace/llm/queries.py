@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import (
+    alignment,
     bpe,
     chat,
     divergence,
@@ -299,6 +300,14 @@ def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.divergence(table(spark, folder, "documents"))
 
 
+@query("op13_tokenizer_alignment")
+def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    files = alignment.share(
+        spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+    return alignment.align(table(spark, folder, "documents"), files)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
