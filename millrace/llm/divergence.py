@@ -218,7 +218,7 @@ def share(count: Column, n: Column, kept: Column) -> Column:
     return F.when(kept > 0, F.call_function("div", whole, parts) + 1).otherwise(F.lit(1)).cast("long")
 
 
-def _differences(left: pa.Table, right: pa.Table) -> pa.Table:
+def _differences(left: pa.Table, right: pa.Table, size_of_block: int) -> pa.Table:
     """Summed over the words of a bucket: how the difference of two sources exceeds that for no word.
 
     ``left`` holds counted words, ``right`` all sources of the two blocks.
@@ -232,10 +232,10 @@ def _differences(left: pa.Table, right: pa.Table) -> pa.Table:
     lang, low, high = (key.column(k)[0].as_py() for k in range(3))
     base = {}
     for block in {low, high}:
-        own = right.column("place").to_numpy() // BLOCK == block
+        own = right.column("place").to_numpy() // size_of_block == block
         places = right.column("place").to_numpy()[own]
-        base[block] = np.zeros(places.max() % BLOCK + 1, dtype=np.int64)
-        base[block][places % BLOCK] = right.column("none").to_numpy()[own]
+        base[block] = np.zeros(places.max() % size_of_block + 1, dtype=np.int64)
+        base[block][places % size_of_block] = right.column("none").to_numpy()[own]
     _, word = np.unique(left.column("term").to_numpy(zero_copy_only=False), return_inverse=True)
     place, value = left.column("place").to_numpy(), left.column("p").to_numpy()
     order = np.argsort(word, kind="stable")
@@ -249,45 +249,45 @@ def _differences(left: pa.Table, right: pa.Table) -> pa.Table:
         matrix = {}
         for block, none in base.items():
             matrix[block] = np.tile(none, (size, 1))
-            own = np.flatnonzero(place[begin:end] // BLOCK == block) + begin
-            matrix[block][word[own] - first, place[own] % BLOCK] = value[own]
+            own = np.flatnonzero(place[begin:end] // size_of_block == block) + begin
+            matrix[block][word[own] - first, place[own] % size_of_block] = value[own]
         for k in range(len(base[low])):
             apart = np.abs(matrix[high] - matrix[low][:, k : k + 1]).sum(axis=0)
             total[k] += apart - size * np.abs(base[high] - base[low][k])
     a, b = np.nonzero(total)
     return pa.table(
-        [pa.array([lang] * len(a), pa.string()), pa.array(a + low * BLOCK, pa.int32()), pa.array(b + high * BLOCK, pa.int32()), pa.array(total[a, b])],
+        [pa.array([lang] * len(a), pa.string()), pa.array(a + low * size_of_block, pa.int32()), pa.array(b + high * size_of_block, pa.int32()), pa.array(total[a, b])],
         schema=schema,
     )
 
 
-def compare(counts: Counts) -> DataFrame:
+def compare(counts: Counts, size: int = BLOCK) -> DataFrame:
     """``lang, source, item, value`` for each source and every other source of its language."""
     groups = counts.groups.withColumn("none", share(F.lit(0).cast("long"), F.col("n"), F.col("kept")))
     many = groups.agg(F.max("sources").alias("most")).first()["most"] or 1
-    wide = min(int(many), BLOCK)
+    wide = min(int(many), size)
     # A bucket has several times the rows that it gives.
     buckets = max(1, counts.terms.count() // max(BUCKET, 4 * wide * wide))
-    blocks = -(-int(many) // BLOCK)
-    block = F.floor(F.col("place") / BLOCK).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.least(F.lit(blocks - 1), F.floor((F.col("sources") - 1) / BLOCK).cast("int"))))
+    blocks = -(-int(many) // size)
+    block = F.floor(F.col("place") / size).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.least(F.lit(blocks - 1), F.floor((F.col("sources") - 1) / size).cast("int"))))
     sides = groups.select("*", other.alias("other")).withColumns(
         {"low": F.least(block, F.col("other")), "high": F.greatest(block, F.col("other"))}
     )
     own = ["lang", "low", "high", "bucket"]
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    known = sides.select("lang", "source", "place", "low", "high", F.col("n").alias("size"), "kept")
+    known = sides.select("lang", "source", "place", "low", "high", F.col("n").alias("whole"), "kept")
     terms = counts.terms.join(known, ["lang", "source"]).select(
-        "lang", "low", "high", bucket.alias("bucket"), "term", "place", share(F.col("n"), F.col("size"), F.col("kept")).alias("p")
+        "lang", "low", "high", bucket.alias("bucket"), "term", "place", share(F.col("n"), F.col("whole"), F.col("kept")).alias("p")
     )
     every = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket")
     # New names, or both sides of the cogroup would share columns.
     ends = sides.select(*(F.col(c).alias(c) for c in ("lang", "low", "high", "place", "none")), every)
     apart = terms.groupBy(*own).cogroup(ends.groupBy(*own)).applyInArrow(
-        _differences, "lang string, a int, b int, value long"
+        lambda left, right: _differences(left, right, size), "lang string, a int, b int, value long"
     )
     # Inside one block both orders are there; between blocks only one.
-    turned = apart.filter(F.floor(F.col("a") / BLOCK) != F.floor(F.col("b") / BLOCK)).select(
+    turned = apart.filter(F.floor(F.col("a") / size) != F.floor(F.col("b") / size)).select(
         "lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"
     )
     summed = apart.unionByName(turned).groupBy("lang", "a", "b").agg(F.sum("value").alias("more"))
@@ -309,13 +309,13 @@ def outstanding(counts: Counts) -> DataFrame:
     return joined.select("lang", "source", F.col("term").alias("item"), (p - q).alias("value")).filter("value > 0")
 
 
-def divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP) -> DataFrame:
+def divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP, block: int = BLOCK) -> DataFrame:
     """``lang, source, part, item, value, rank``: every other source, and the words that stand out."""
     counts = count_kept(docs, least)
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = [
         part.withColumns({"part": F.lit(name), "rank": F.row_number().over(order)})
-        for name, part in (("pair", compare(counts)), ("term", outstanding(counts)))
+        for name, part in (("pair", compare(counts, block)), ("term", outstanding(counts)))
     ]
     ranked[1] = ranked[1].filter(F.col("rank") <= top)
     columns = ["lang", "source", "part", "item", "value", "rank"]

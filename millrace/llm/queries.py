@@ -11,6 +11,7 @@ from millrace.llm import (
     bpe,
     chat,
     divergence,
+    extraction,
     fingerprints,
     jaccard,
     mixing,
@@ -267,6 +268,14 @@ def tokenized(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     )
 
 
+@query("op11_html_extraction")
+def op11_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    model = extraction.share(spark, extraction.train())
+    pages = table(spark, folder, "pages")
+    read = pages.select("page_id", "url", extraction.main_text(F.col("html"), model).alias("text"))
+    return read.withColumn("n_chars", F.length("text").cast("long"))
+
+
 _TERMS_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
     w AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
