@@ -12,7 +12,8 @@ and keeps the tokens that end in the range. A space after a character that is no
 certain cut: no piece of either tokenizer reaches over it, so what stands on one side does not
 change the tokens on the other. Where there is none within a range's length the ranges are one.
 
-Inside a slice of ranges everything is done at once on arrays. Overlapping token pairs are found
+Inside a slice of ranges everything is done at once on arrays, and equal words between certain cuts
+are encoded once. Overlapping token pairs are found
 without a loop: every distinct token end of either side closes exactly one overlap.
 
 The number of links of each pair of ids over the whole corpus goes back to the documents through
@@ -42,13 +43,13 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 from millrace.llm.bpe import PATTERN
-from millrace.llm.texts import list_array
+from millrace.llm.texts import hash_spans, list_array
 from millrace.sources.scratch import stage_table
 
 #: Bytes of a range.
 RANGE = 32 << 10
 #: Ranges are worked on in slices of about this many bytes.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Neighbouring fragments composed by one task in a round.
 FAN = 8
 
@@ -92,15 +93,53 @@ class Tokenizers:
         #: False if some piece reaches from a word over a space, so that spaces are no certain cuts.
         self.cuts = not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
 
-    def encode(self, texts: Sequence[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of A and B of each text that begins with a space; None if they do not spell it."""
-        words = [text.decode() for text in texts]
-        pieces = self._b.encode([w[1:] for w in words], num_threads=1)
-        for text, word, b in zip(texts, words, pieces, strict=True):
-            a = self._a.encode_to_numpy(word, disallowed_special=()).astype(np.int64)
-            b_spells = b"".join(map(self.bytes_b.__getitem__, b)) == text
-            spelt = b_spells and b"".join(map(self.bytes_a.__getitem__, a.tolist())) == text
-            yield (a, np.array(b, dtype=np.int64)) if spelt else None
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """All ids of A and of B for texts that begin with a space, their numbers, and which texts they spell.
+
+        Texts that the ids do not spell have no ids. Words between certain cuts are encoded once.
+        """
+        begins = offsets[:-1]
+        if self.cuts:
+            certain = np.flatnonzero((data[1:] == 32) & _BEFORE_CUT[data[:-1]]) + 1
+            begins = np.union1d(begins, certain)
+        ends = np.append(begins[1:], offsets[-1])
+        hashes, one, which = np.unique(hash_spans(data, begins, ends), return_index=True, return_inverse=True)
+        if ((ends - begins) != (ends - begins)[one][which]).any():
+            raise ArithmeticError("two words of different length have one hash")
+        raw = data.tobytes()
+        words = [raw[i:j] for i, j in zip(begins[one].tolist(), ends[one].tolist(), strict=True)]
+        texts = [w.decode() for w in words]
+        a = [self._a.encode_ordinary(t) for t in texts]
+        b = self._b.encode([t[1:] for t in texts], num_threads=1)
+        spelt = np.array(
+            [
+                b"".join(map(self.bytes_b.__getitem__, y)) == w == b"".join(map(self.bytes_a.__getitem__, x))
+                for w, x, y in zip(words, a, b, strict=True)
+            ],
+            dtype=bool,
+        )
+        of = np.searchsorted(offsets, begins, side="right") - 1
+        valid = np.bincount(of[~spelt[which]], minlength=len(offsets) - 1) == 0
+        which = which[valid[of]]
+        of = of[valid[of]]
+        ids, numbers = [], []
+        for lists in (a, b):
+            counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+            flat = np.fromiter((i for x in lists for i in x), dtype=np.int64, count=int(counts.sum()))
+            place = (np.cumsum(counts) - counts)[which]
+            own = counts[which]
+            at = np.cumsum(own) - own
+            ids.append(flat[np.repeat(place - at, own) + np.arange(own.sum())])
+            numbers.append(np.bincount(of, weights=own, minlength=len(offsets) - 1).astype(np.int64))
+        return ids, numbers, valid
+
+
+# Bytes after which a space is a certain cut: visible ASCII, and all other bytes but those that end
+# the code of some white space.
+_BEFORE_CUT = np.zeros(256, dtype=bool)
+_BEFORE_CUT[0x21:0x7F] = True
+_BEFORE_CUT[0x80:] = True
+_BEFORE_CUT[[c.encode()[-1] for c in map(chr, range(0x80, 0x3001)) if c.isspace()]] = False
 
 
 @dataclass(frozen=True)
@@ -266,26 +305,24 @@ class _Slice:
     def __init__(self, tokenizers: Tokenizers, texts: Sequence[bytes], spans: Sequence[tuple[int, int, int]]) -> None:
         self.width = len(tokenizers.bytes_b)
         all_codes = len(tokenizers.bytes_a) * self.width
-        self.valid = np.ones(len(texts), dtype=bool)
-        ids: list[list[np.ndarray]] = [[_none()], [_none()]]
-        ends: list[list[np.ndarray]] = [[_none()], [_none()]]
-        shift, self.shifts, last = 0, [], []
-        for row, (found, (lo, hi, begin)) in enumerate(zip(tokenizers.encode(texts), spans, strict=True)):
-            self.shifts.append(shift - lo)
-            if found is None:
-                self.valid[row] = False
-            else:
-                for side, sizes in enumerate((tokenizers.sizes_a, tokenizers.sizes_b)):
-                    end = np.cumsum(sizes[found[side]]) + begin
-                    own = slice(*np.searchsorted(end, [lo, hi], side="right"))
-                    ids[side].append(found[side][own])
-                    ends[side].append(end[own] - lo + shift)
-            shift += hi - lo
-            last.append(shift)
-        self.a, self.b = map(np.concatenate, ids)
-        a_end, b_end = map(np.concatenate, ends)
-        last = np.array(last)
-        leads = np.array([lo == 0 for lo, _, _ in spans])
+        lo, hi, begin = np.array(spans, dtype=np.int64).reshape(-1, 3).T
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        found, numbers, self.valid = tokenizers.encode(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets)
+        # The ranges lie behind one another: place in the text and this shift.
+        last = np.cumsum(hi - lo)
+        self.shifts = last - hi
+        kept, ends = [], []
+        for ids, own, sizes in zip(found, numbers, (tokenizers.sizes_a, tokenizers.sizes_b), strict=True):
+            row = np.repeat(np.arange(len(texts)), own)
+            end = np.cumsum(sizes[ids])
+            first = np.cumsum(own) - own
+            before = np.append(0, end)[first]
+            end = end + (begin - before)[row]
+            inside = (end > lo[row]) & (end <= hi[row])
+            kept.append(ids[inside])
+            ends.append((end + self.shifts[row])[inside])
+        (self.a, self.b), (a_end, b_end) = kept, ends
+        leads = lo == 0
         at = np.minimum(np.searchsorted(b_end, a_end), max(len(b_end) - 1, 0))
         common = a_end[b_end[at] == a_end] if len(b_end) else _none()
         row = np.searchsorted(last, common)
