@@ -243,16 +243,68 @@ SPEC_SCHEMA = T.StructType(
 )
 
 
+# What a part of a spec is called in a finding, and how a variant of it calls itself.
+_KINDS = {T.StringType: ("text", "STRING"), T.ArrayType: ("list", "ARRAY"), T.StructType: ("object", "OBJECT")}
+_FOUND = {
+    "STRING": "text", "ARRAY": "list", "OBJECT": "object", "BOOLEAN": "truth value",
+    "BIGINT": "number", "DOUBLE": "number", "DECIMAL": "number",
+}
+_FINDING = "array<struct<path: string, expected: string, found: string>>"
+
+
+def _mistyped(value: Column, shape: T.DataType, path: Column) -> Column:
+    """Findings of a variant that does not have a shape, down to its parts; null parts may be."""
+    expected, name = _KINDS[type(shape)]
+    kind = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    told = F.coalesce(*[F.when(kind == k, word) for k, word in _FOUND.items()], F.lower(kind))
+    here = F.array(
+        F.struct(path.alias("path"), F.lit(expected).alias("expected"), told.alias("found"))
+    ).cast(_FINDING)
+    clean = F.array().cast(_FINDING)
+    if isinstance(shape, T.ArrayType):
+        parts = F.try_variant_get(value, "$", "array<variant>")
+        inside = F.flatten(
+            F.transform(
+                parts,
+                lambda v, i: _mistyped(v, shape.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))),
+            )
+        )
+    elif isinstance(shape, T.StructType):
+        fields = [
+            _mistyped(F.try_variant_get(value, f"$.{f.name}", "variant"), f.dataType, F.concat(path, F.lit(f".{f.name}")))
+            for f in shape.fields
+        ]
+        inside = F.concat(*fields)
+    else:
+        inside = clean
+    known = value.isNotNull() & (kind != "VOID")
+    return F.when(~known, clean).when(kind != name, here).otherwise(F.coalesce(inside, clean))
+
+
+def mistyped_parts(df: DataFrame, spec_id: str, text: str) -> DataFrame:
+    """Parts of stored specs that have another type than a spec has there.
+
+    ``spec_id, path, expected, found``, for instance a text where a list of columns belongs. All
+    parts are walked that name columns or tables; such a part would otherwise be read as nothing
+    and its columns pass unseen. A JSON null counts as absent. Works row by row.
+    """
+    spec = F.try_parse_json(F.col(text))
+    found = _mistyped(spec, SPEC_SCHEMA, F.lit("$"))
+    return df.select(F.col(spec_id).alias("spec_id"), F.explode(found).alias("f")).select("spec_id", "f.*")
+
+
 def malformed_specs(df: DataFrame, spec_id: str, text: str) -> DataFrame:
-    """Ids of the specs whose text is missing or not a JSON object, as ``spec_id, reason``.
+    """Ids of the specs whose text is missing or no spec, as ``spec_id, reason``.
 
-    ``parse_specs`` has nothing to tell of them, so an audit must not take them for clean.
+    ``parse_specs`` has nothing or not all to tell of them, so an audit must not take them for
+    clean; ``mistyped_parts`` says which parts are wrong.
     """
     parsed = F.try_parse_json(F.col(text))
     reason = (
         F.when(F.col(text).isNull(), "no text")
         .when(parsed.isNull(), "not JSON")
         .when(~F.schema_of_variant(parsed).startswith("OBJECT"), "not an object")
+        .when(F.size(_mistyped(parsed, SPEC_SCHEMA, F.lit("$"))) > 0, "mistyped parts")
         .when(F.from_json(F.col(text), SPEC_SCHEMA)["source"].isNull(), "no sources")
     )
     found = df.select(F.col(spec_id).alias("spec_id"), reason.alias("reason"))

@@ -2,9 +2,13 @@
 
 Validation yields one row per check: ``suite, check, column, severity, success, total,
 unexpected, unexpected_pct, detail``. Every row-wise check of a suite is computed in one
-aggregate; a uniqueness check, or membership in a table of values, adds one grouping that
-reads its own columns only. Stage an expensive table before validating it. Only the not-null
-checks look at nulls; the others ignore them.
+aggregate; all uniqueness checks share one grouping, and membership in a table of values adds
+one, that read their own columns only. Stage an expensive table before validating it. Only the
+not-null checks look at nulls; the others ignore them.
+
+``detail`` shows the lowest and the highest bad value and up to ``EXAMPLES`` more: the hashes of
+the values are dealt into so many parts, and of each part the value of least hash is shown. They
+are the same on every run and in every order of the rows, and are kept by the same aggregate.
 """
 
 from __future__ import annotations
@@ -32,9 +36,13 @@ _log = logging.getLogger(__name__)
 RESULT_SCHEMA = (
     "suite string, check string, column string, severity string, success boolean, "
     "total bigint, unexpected bigint, unexpected_pct double, "
-    "detail struct<description: string, lowest: string, highest: string>"
+    "detail struct<description: string, lowest: string, highest: string, examples: array<string>>"
 )
 
+# Bad values shown for a check, and the code points shown of each.
+EXAMPLES = 3
+EXAMPLE_CHARS = 200
+
 
 @dataclass(frozen=True)
 class Check:
@@ -306,12 +314,30 @@ GROUPING = frozenset(_UNIQUENESS)
 _SAMPLED = _UNIQUENESS | (_UNEXPECTED.keys() - {"proportion_between"})
 
 
+def _hashed(text: Column) -> Column:
+    """The hash of a value, then what is shown of it; null for null."""
+    return F.concat(F.md5(text), F.left(text, F.lit(EXAMPLE_CHARS)))
+
+
+def _least(hashed: Column) -> dict[str, Column]:
+    """Aggregates: the least hashed value of each part of the hashes."""
+    part = F.ascii(hashed) % EXAMPLES
+    return {f"example{j}": F.min(F.when(part == j, hashed)) for j in range(EXAMPLES)}
+
+
+def _examples(i: int) -> Column:
+    """What is shown of the least values, by their hashes."""
+    kept = F.array_compact(F.array(*[F.col(f"example{j}_{i}") for j in range(EXAMPLES)]))
+    return F.transform(F.array_sort(kept), lambda x: F.substring(x, 33, EXAMPLE_CHARS))
+
+
 def _marked(df: DataFrame, checks: Mapping[int, Check]) -> DataFrame:
-    """Add ``__bad_i``: the unexpected value of check ``i``, else null.
+    """Add ``__bad_i``, the unexpected value of check ``i``, and ``__hashed_i`` of it, else null.
 
-    A column of its own lets the count, the lowest and the highest share one evaluation.
+    Columns of their own let the count, the extremes and the examples share one evaluation.
     """
     marks = {}
+    hashed = {}
     for i, check in checks.items():
         if check.kind not in _UNEXPECTED:
             continue
@@ -319,7 +345,9 @@ def _marked(df: DataFrame, checks: Mapping[int, Check]) -> DataFrame:
         bad = value.isNotNull() & F.coalesce(_UNEXPECTED[check.kind](check), F.lit(True))
         shown = {"vector_length": F.size(value), "proportion_between": F.lit(True)}
         marks[f"__bad_{i}"] = F.when(bad, shown.get(check.kind, value))
-    return df.withColumns(marks) if marks else df
+        if check.kind in _SAMPLED:
+            hashed[f"__hashed_{i}"] = _hashed(F.col(f"__bad_{i}").cast("string"))
+    return df.withColumns(marks).withColumns(hashed) if marks else df
 
 
 def _measures(df: DataFrame, check: Check, i: int) -> list[Column]:
@@ -330,6 +358,7 @@ def _measures(df: DataFrame, check: Check, i: int) -> list[Column]:
         parts = {"total": F.count(F.col(quoted(check.column))), "unexpected": F.count(bad)}
         if check.kind in _SAMPLED:
             parts |= {"lowest": F.min(bad).cast("string"), "highest": F.max(bad).cast("string")}
+            parts |= _least(F.col(f"__hashed_{i}"))
     elif check.kind == "not_null":
         parts = {"total": rows, "unexpected": rows - F.count(F.col(quoted(check.column)))}
     elif check.kind == "not_null_not_empty":
@@ -375,6 +404,7 @@ def _result_row(suite: str, check: Check, i: int) -> Column:
             F.lit(check.description).alias("description"),
             (F.col(f"lowest_{i}") if sampled else nothing).alias("lowest"),
             (F.col(f"highest_{i}") if sampled else nothing).alias("highest"),
+            (_examples(i) if sampled else F.array().cast("array<string>")).alias("examples"),
         ).alias("detail"),
     )
 
@@ -388,30 +418,50 @@ def _result_rows(measures: DataFrame, suite: str, checks: Mapping[int, Check]) -
 # --- uniqueness and membership -------------------------------------------------------------
 
 
-def _uniqueness(df: DataFrame, suite: str, i: int, check: Check) -> DataFrame:
-    """Count every key, then combine the counts.
+def _uniqueness(df: DataFrame, suite: str, checks: Mapping[int, Check]) -> DataFrame:
+    """Count the keys of all uniqueness checks at once, then combine the counts.
 
-    Reads the key columns only. Counting combines on the map side, so a frequent key costs
-    one row per task.
+    Reads the key columns only, once, whatever the number of checks: with several, every row
+    stands for one key of each (grouping sets), and one shuffle counts them all. Counting combines
+    on the map side, so a frequent key costs one row per task.
     """
-    names = [f"__key_{k}" for k in range(len(check.columns))]
-    keys = [F.col(quoted(c)).alias(n) for c, n in zip(check.columns, names, strict=True)]
-    counted = df.select(*keys).dropna(subset=names).groupBy(*names)
-    repeated = F.col("__n") > 1
-    # Extremes are those of the values, not of their text.
-    key = F.struct(*names)
-
-    def shown(extreme: Column) -> Column:
-        text = F.concat_ws(", ", *[extreme.getField(n).cast("string") for n in names])
-        return F.when(extreme.isNotNull(), text)
-
-    measures = counted.agg(F.count(F.lit(1)).alias("__n")).agg(
-        F.sum("__n").alias(f"total_{i}"),
-        F.sum(F.when(repeated, F.col("__n"))).alias(f"unexpected_{i}"),
-        shown(F.min(F.when(repeated, key))).alias(f"lowest_{i}"),
-        shown(F.max(F.when(repeated, key))).alias(f"highest_{i}"),
-    )
-    return _result_rows(measures, suite, {i: check})
+    names = {c: f"__key_{k}" for k, c in enumerate(dict.fromkeys(c for x in checks.values() for c in x.columns))}
+    keys = df.select(*[F.col(quoted(c)).alias(n) for c, n in names.items()])
+    sets = list(dict.fromkeys(tuple(sorted({names[c] for c in x.columns})) for x in checks.values()))
+    rows = F.count(F.lit(1)).alias("__n")
+    if len(sets) == 1:
+        counted = keys.groupBy(*sets[0]).agg(rows).withColumn("__set", F.lit(0).cast("long"))
+        numbers = {sets[0]: 0}
+    else:
+        columns = list(names.values())
+        counted = keys.groupingSets([list(s) for s in sets], *columns).agg(rows, F.grouping_id().alias("__set"))
+        # The number of a set has a bit for each column that is not in it.
+        bits = {c: 1 << (len(columns) - 1 - k) for k, c in enumerate(columns)}
+        numbers = {s: sum(bits[c] for c in columns if c not in s) for s in sets}
+    measures = []
+    for i, check in checks.items():
+        own = [names[c] for c in check.columns]
+        known = F.col("__set") == numbers[tuple(sorted(set(own)))]
+        for name in own:
+            known = known & F.col(name).isNotNull()
+        repeated = known & (F.col("__n") > 1)
+        # Extremes are those of the values, not of their text.
+        key = F.struct(*[F.col(n).alias(f"k{j}") for j, n in enumerate(own)])
+
+        def shown(extreme: Column, width: int = len(own)) -> Column:
+            text = F.concat_ws(", ", *[extreme.getField(f"k{j}").cast("string") for j in range(width)])
+            return F.when(extreme.isNotNull(), text)
+
+        hashed = _hashed(F.when(repeated, F.concat_ws(", ", *[F.col(n).cast("string") for n in own])))
+        parts = {
+            "total": F.sum(F.when(known, F.col("__n"))),
+            "unexpected": F.sum(F.when(repeated, F.col("__n"))),
+            "lowest": shown(F.min(F.when(repeated, key))),
+            "highest": shown(F.max(F.when(repeated, key))),
+            **_least(hashed),
+        }
+        measures += [part.alias(f"{name}_{i}") for name, part in parts.items()]
+    return _result_rows(counted.agg(*measures), suite, checks)
 
 
 def _membership(df: DataFrame, suite: str, i: int, check: Check) -> DataFrame:
@@ -419,7 +469,7 @@ def _membership(df: DataFrame, suite: str, i: int, check: Check) -> DataFrame:
     allowed: DataFrame = check.kwargs["value_set"]
     name = allowed.columns[0]
     known = (
-        allowed.select(F.col(name).alias("value")).distinct().withColumn("known", F.lit(True))
+        allowed.select(F.col(quoted(name)).alias("value")).distinct().withColumn("known", F.lit(True))
     )
     counted = (
         df.select(F.col(quoted(check.column)).alias("value"))
@@ -428,11 +478,13 @@ def _membership(df: DataFrame, suite: str, i: int, check: Check) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     bad = F.col("known").isNull()
+    hashed = _hashed(F.when(bad, F.col("value").cast("string")))
     measures = counted.join(known, "value", "left").agg(
         F.sum("n").alias(f"total_{i}"),
         F.sum(F.when(bad, F.col("n"))).alias(f"unexpected_{i}"),
         F.min(F.when(bad, F.col("value"))).cast("string").alias(f"lowest_{i}"),
         F.max(F.when(bad, F.col("value"))).cast("string").alias(f"highest_{i}"),
+        *(part.alias(f"{part_name}_{i}") for part_name, part in _least(hashed).items()),
     )
     return _result_rows(measures, suite, {i: check})
 
@@ -470,9 +522,10 @@ def _union(spark: SparkSession, parts: Sequence[DataFrame]) -> DataFrame:
 
 def _grouped_results(df: DataFrame, suite: Suite) -> list[DataFrame]:
     _, grouped = _split(suite)
-    return [
-        (_uniqueness if check.kind in _UNIQUENESS else _membership)(df, suite.name, i, check)
-        for i, check in grouped.items()
+    unique_keys = {i: c for i, c in grouped.items() if c.kind in _UNIQUENESS}
+    parts = [_uniqueness(df, suite.name, unique_keys)] if unique_keys else []
+    return parts + [
+        _membership(df, suite.name, i, c) for i, c in grouped.items() if i not in unique_keys
     ]
 
 
@@ -487,7 +540,7 @@ def validate(df: DataFrame, suite: Suite) -> DataFrame:
     return _union(df.sparkSession, parts)
 
 
-_MEASURE_NAMES = ("total_", "unexpected_", "lowest_", "highest_")
+_MEASURE_NAMES = ("total_", "unexpected_", "lowest_", "highest_", "example")
 
 
 @dataclass(frozen=True)

@@ -3,6 +3,10 @@
 A spec names its fields explicitly (``on``, ``how``, ``predicate``, ``expression``); building
 a job only chains DataFrame operations. Spark runs where a stage with checks is written and
 validated, where a model is trained, and at the final write.
+
+Outputs are published: each is written once, next to its path, while the global checks are counted
+by that write; only when they pass do the new tables take their places. A job that stops leaves
+what was there before.
 """
 
 from __future__ import annotations
@@ -34,13 +38,14 @@ from millrace.operators.checks import (
     measure,
     watch,
 )
-from millrace.functions.types import has_type, type_of
+from millrace.functions.types import has_type, quoted, type_of
 from millrace.operators.impute import IMPUTED_SCHEMA, impute, warn_skipped
 from millrace.operators.joins import join_tables
 from millrace.operators.model import placeholder_score, score, to_score
 from millrace.operators.stats import aggregate
-from millrace.sources.readers import load_sources
-from millrace.sources.scratch import new_path, remove
+from millrace.plans.liveness import ALL, Needed, live_columns
+from millrace.sources.readers import load_sources, read_table
+from millrace.sources.scratch import beside, discard, new_path, remove, swap
 from millrace.sources.writers import write_report, write_table
 
 STEP_TYPES = ("join", "filter", "aggregation", "column_manipulation")
@@ -197,24 +202,36 @@ class Stages:
         else:
             self.costly.discard(name)
 
-    def check(self, df: DataFrame, name: str, checks: Sequence[Check]) -> DataFrame:
-        """Validate a table, keep the results, and stop the job on a critical failure."""
-        suite = Suite(f"{name}_suite", checks)
+    def check(
+        self, df: DataFrame, name: str, checks: Sequence[Check], live: Needed = ALL
+    ) -> DataFrame:
+        """Validate a table, keep the results, and stop the job on a critical failure.
+
+        A table that is materialized keeps its live columns only.
+        """
+        suite = self.suite(name, checks)
         if self.how and name in self.costly:
-            df, measured = self._materialize(df, name, suite)
+            df, measured = self._materialize(live_part(df, live), name, suite)
         else:
             measured = measure(df, suite)
+        self.judge(df, name, measured)
+        return df
+
+    def suite(self, name: str, checks: Sequence[Check]) -> Suite:
+        return Suite(f"{name}_suite", checks)
+
+    def judge(self, df: DataFrame, name: str, measured: Measured) -> None:
+        """Log a measured table, keep its results, and stop the job on a critical failure."""
         self._log.append((len(self._log), name, measured.rows, df.schema.simpleString()))
         results = measured.results(df).collect()
         self.results += results
         self.warnings += enforce(results)
-        return df
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Materialize a costly table that is about to be read more than once."""
+    def keep(self, df: DataFrame, name: str, live: Needed = ALL) -> DataFrame:
+        """Materialize the live columns of a costly table that is about to be read more than once."""
         if not self.how or name not in self.costly:
             return df
-        df, measured = self._materialize(df, name, Suite(name))
+        df, measured = self._materialize(live_part(df, live), name, Suite(name))
         self._log.append((len(self._log), name, measured.rows, df.schema.simpleString()))
         return df
 
@@ -256,6 +273,54 @@ class Stages:
         return self.spark.createDataFrame(self.imputed, IMPUTED_SCHEMA)
 
 
+def live_part(df: DataFrame, live: Needed) -> DataFrame:
+    """The columns of a table that are still needed; one at least, so that its rows count."""
+    columns = live.columns(df.columns) or df.columns[:1]
+    return df if len(columns) == len(df.columns) else df.select(*map(quoted, columns))
+
+
+def publish(
+    stages: Stages,
+    outputs: Sequence[tuple[DataFrame, str, str]],
+    final: DataFrame,
+    checks: Sequence[Check],
+) -> DataFrame:
+    """Write every output, as (table, path, format), next to its path; check; put all in place.
+
+    Where the final table is among them, its rows and the row-wise checks are counted by its write,
+    so its plan runs once; checks that need a grouping read the written table. Otherwise the checks
+    are measured as on any table. Returns the final table, read from what was written if it was
+    written as Parquet. When a check fails, or a write, the old tables stay as they were.
+    """
+    spark, suite = stages.spark, stages.suite("global", checks)
+    watched, last = None, None
+    written: list[tuple[str, str]] = []
+    try:
+        for df, path, fmt in outputs:
+            aside = beside(path)
+            written.append((aside, path))
+            if df is final and last is None:
+                last = (aside, path, fmt)
+                if checks:
+                    watched = watch(df, suite)
+                    df = watched.data
+            write_table(df, aside, fmt)
+        if checks:
+            if watched is not None and last is not None:
+                read = read_table(spark, last[0], last[2], schema=final.schema)
+                stages.judge(read, "global", watched.measured())
+            else:
+                final = stages.check(final, "global", checks)
+        for aside, path in written:
+            swap(spark, aside, path)
+    finally:
+        for aside, _ in written:
+            discard(spark, aside)
+    if last is not None and last[2] == "parquet":
+        return read_table(spark, last[1], schema=final.schema)
+    return final
+
+
 # --- the operations a spec can name --------------------------------------------------------
 
 
@@ -413,8 +478,9 @@ def run_job(
     logged and kept. ``stage`` says how checked joins and aggregations are materialized;
     ``report_path`` gets the results of all checks that ran, whether the job ends or stops.
     ``keep`` names columns, such as a label, that imputation by type leaves alone, as it
-    does the join keys. An output of type "format" with a ``path`` writes its own table there,
-    after the global checks on the last table have passed. Columns that no imputation could
+    does the join keys. An output of type "format" with a ``path`` publishes its own table there,
+    if the global checks on the last table pass; the last table is then read from there. Tables
+    that the job materializes keep only columns that something after them can name. Columns that no imputation could
     fill are logged as warnings.
     """
     if not isinstance(spec, Spec):
@@ -428,14 +494,17 @@ def run_job(
     untouched = [*_join_keys(spec), *keep]
     try:
         current = spec.sources[0]
-        for step in spec.steps:
+        # What is needed of each table from the step that is next.
+        live: dict[str, Needed] = {}
+        for step, needed in zip(spec.steps, live_columns(spec), strict=True):
             if _imputes(step):
                 given = step.inputs[0]
-                named[given] = stages.keep(_table(named, given), given)
+                named[given] = stages.keep(_table(named, given), given, live.get(given, ALL))
             df = apply_step(step, named, untouched, stages.missing, stages.imputed)
             current = step.output
+            live[current] = needed
             stages.made(current, step.inputs, step.type in _WIDE_STEPS)
-            named[current] = stages.check(df, current, step.checks) if step.checks else df
+            named[current] = stages.check(df, current, step.checks, needed) if step.checks else df
         for rule in spec.rules:
             named[current] = apply_rule(named[current], rule)
             stages.made(current, [current], False)
@@ -447,13 +516,13 @@ def run_job(
             stages.made(current, [given], "model" in output.arguments)
             named[current] = stages.check(df, current, output.checks) if output.checks else df
             made.append(named[current])
-        if spec.global_checks:
-            stages.made("global", [current], False)
-            named[current] = stages.check(named[current], "global", spec.global_checks)
-            made[-1:] = [named[current]] * bool(made)
-        for output, df in zip(spec.outputs, made, strict=True):
-            if output.type == "format" and "path" in output.arguments:
-                write_table(df, output.arguments["path"], output.arguments.get("fmt", "parquet"))
+        stages.made("global", [current], False)
+        written = [
+            (df, output.arguments["path"], output.arguments.get("fmt", "parquet"))
+            for output, df in zip(spec.outputs, made, strict=True)
+            if output.type == "format" and "path" in output.arguments
+        ]
+        named[current] = publish(stages, written, named[current], spec.global_checks)
     except Exception:
         stages.release()
         raise

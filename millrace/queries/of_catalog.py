@@ -472,3 +472,43 @@ def malformed_specs(spark: SparkSession, folder: str) -> DataFrame:
     )
     stored = table(spark, folder, "documents").select("doc_id", spec.alias("spec"))
     return cat.malformed_specs(stored, "doc_id", "spec")
+
+
+# Specs by the remainder of the document's id: what is wrong in each, as path, expected, found.
+_WRONG_SPECS = [
+    ('{"source": [{"name": "%s"}], "transformation": [{"details": "X_Y"}], "output": null}', []),
+    ('{"source": [{"name": "%s"}], "transformation": {"details": "use BAD_COL"}}', [("$.transformation", "list", "object")]),
+    (
+        '{"source": [{"name": "%s"}], "transformation": [{"details": 7}, {"transformations_details": '
+        '[{"operation": "impute"}, {"operation": "cast", "columns": "BAD_COL"}]}]}',
+        [
+            ("$.transformation[0].details", "text", "number"),
+            ("$.transformation[1].transformations_details[1].columns", "list", "text"),
+        ],
+    ),
+    (
+        '{"source": [{"name": "%s"}, "other"], "global_data_quality_checks": [{"column": ["A", "B"]}, {"column": true}]}',
+        [
+            ("$.source[1]", "object", "text"),
+            ("$.global_data_quality_checks[0].column", "text", "list"),
+            ("$.global_data_quality_checks[1].column", "text", "truth value"),
+        ],
+    ),
+]
+
+
+@query(
+    "mistyped_specs",
+    " UNION ALL ".join(
+        f"SELECT doc_id AS spec_id, '{path}' AS path, '{expected}' AS expected, '{found}' AS found "
+        f"FROM documents WHERE doc_id % {len(_WRONG_SPECS)} = {k}"
+        for k, (_, wrong) in enumerate(_WRONG_SPECS)
+        for path, expected, found in wrong
+    ),
+)
+def mistyped_specs(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored specs with parts of other types than a spec has there."""
+    kind = F.col("doc_id") % len(_WRONG_SPECS)
+    texts = [F.when(kind == k, F.format_string(text, "source")) for k, (text, _) in enumerate(_WRONG_SPECS)]
+    stored = table(spark, folder, "documents").select("doc_id", F.coalesce(*texts).alias("spec"))
+    return cat.mistyped_parts(stored, "doc_id", "spec")

@@ -14,7 +14,8 @@ from millrace.sources.scratch import new_path
 
 
 def _flat(results: DataFrame) -> DataFrame:
-    return results.select(*[c for c in results.columns if c != "detail"], "detail.*")
+    extremes = ("detail.description", "detail.lowest", "detail.highest")
+    return results.select(*[c for c in results.columns if c != "detail"], *extremes)
 
 
 def _run(df: DataFrame, *checks: q.Check, suite: str = "suite") -> DataFrame:
@@ -431,3 +432,63 @@ def check_unique_numbers(spark: SparkSession, folder: str) -> DataFrame:
     """The lowest and highest of repeated numbers, in a column named like a count."""
     keys = table(spark, folder, "orders").select((F.col("o_custkey") % 1009 + 9).alias("n"))
     return _run(keys, q.unique("n"))
+
+
+def _shown(check: str, column: str, values: str) -> str:
+    """SQL of the examples of a check; ``values`` selects its bad values as text ``v``."""
+    return f"""
+    SELECT '{check}' AS "check", '{column}' AS "column",
+           (SELECT string_agg(left(v, {q.EXAMPLE_CHARS}), '|' ORDER BY h) FROM (
+                SELECT v, h, row_number() OVER (PARTITION BY ascii(h) % {q.EXAMPLES} ORDER BY h) AS place
+                FROM (SELECT DISTINCT v, md5(v) AS h FROM ({values}))) WHERE place = 1) AS examples"""
+
+
+_REPEATED_KEYS = "SELECT CAST(o_custkey AS VARCHAR) AS v FROM orders GROUP BY o_custkey HAVING count(*) > 1"
+_REPEATED_PAIRS = """SELECT o_orderstatus || ', ' || o_orderpriority AS v FROM orders
+    GROUP BY o_orderstatus, o_orderpriority HAVING count(*) > 1"""
+
+
+@query(
+    "check_examples",
+    " UNION ALL ".join(
+        [
+            _shown("between", "o_custkey", "SELECT CAST(o_custkey AS VARCHAR) AS v FROM orders WHERE o_custkey > 40"),
+            _shown("match_regex", "o_orderpriority", "SELECT o_orderpriority AS v FROM orders WHERE NOT o_orderpriority SIMILAR TO '.*URGENT'"),
+            _shown("distinct_in_set", "o_orderstatus", "SELECT o_orderstatus AS v FROM orders WHERE o_orderstatus <> 'F'"),
+            _shown("unique", "o_custkey", _REPEATED_KEYS),
+            _shown("pair_unique", "o_orderstatus, o_orderpriority", _REPEATED_PAIRS),
+        ]
+    )
+    + """ UNION ALL SELECT 'unique', 'o_orderkey', ''""",
+)
+def check_examples(spark: SparkSession, folder: str) -> DataFrame:
+    """A bounded sample of the bad values of each check, the same on every run."""
+    suite = q.Suite(
+        "suite",
+        [
+            q.between("o_custkey", max_value=40),
+            q.match_regex("o_orderpriority", "URGENT"),
+            q.distinct_in_set("o_orderstatus", ["F"]),
+            q.unique("o_custkey"),
+            q.pair_unique("o_orderstatus", "o_orderpriority"),
+            q.unique("o_orderkey"),
+        ],
+    )
+    results = q.validate(table(spark, folder, "orders"), suite)
+    return results.select("check", "column", F.array_join("detail.examples", "|").alias("examples"))
+
+
+@query(
+    "check_unique_together",
+    " UNION ALL ".join(
+        [
+            _repeats("unique", ["l_orderkey"], "lineitem"),
+            _repeats("pair_unique", ["l_orderkey", "l_linenumber"], "lineitem"),
+            _repeats("unique", ["l_comment_key"], "(SELECT NULLIF(l_partkey, 1) AS l_comment_key FROM lineitem)"),
+        ]
+    ),
+)
+def check_unique_together(spark: SparkSession, folder: str) -> DataFrame:
+    """Three uniqueness checks, one scan and one shuffle."""
+    lines = table(spark, folder, "lineitem").withColumn("l_comment_key", F.nullif("l_partkey", F.lit(1).cast("long")))
+    return _run(lines, q.unique("l_orderkey"), q.pair_unique("l_orderkey", "l_linenumber"), q.unique("l_comment_key"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.checks import CriticalCheckFailed
 from millrace.plans.job import JobResult, run_job
 from millrace.plans.scoring import score_applicants
 from millrace.queries.of_columns import APPLICANTS, applicants
@@ -323,3 +324,35 @@ def job_impute_log(spark: SparkSession, folder: str) -> DataFrame:
     # A key may be filled where it is named; by type it is left alone.
     result = run_job({"orders": orders}, spec, keep=["o_custkey"])
     return result.imputed.select("column", "strategy", "missing", "outcome")
+
+
+@query(
+    "job_published",
+    "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000",
+)
+def job_published(spark: SparkSession, folder: str) -> DataFrame:
+    """A second run whose global check fails leaves the output of the first in its place."""
+    path = new_path(spark, "published")
+
+    def spec(least: int, highest: float) -> dict:
+        return {
+            "source": [{"name": "orders"}],
+            "transformation": [{"type": "filter", "predicate": f"o_totalprice > {least}"}],
+            "output": [{"type": "format", "path": path, "columns": ["o_orderkey", "o_totalprice"]}],
+            "global_data_quality_checks": [
+                {"expectation_type": "expect_column_values_to_be_unique", "column": "o_orderkey"},
+                {
+                    "expectation_type": "expect_column_values_to_be_between",
+                    "column": "o_totalprice",
+                    "kwargs": {"max_value": highest},
+                },
+            ],
+        }
+
+    tables = {"orders": table(spark, folder, "orders")}
+    run_job(tables, spec(1000, 1e9)).release()
+    try:
+        run_job(tables, spec(2000, 0.0))
+    except CriticalCheckFailed:
+        return read_table(spark, path)
+    raise AssertionError("no price is below zero, so the second run must stop")

@@ -45,3 +45,44 @@ def remove(spark: SparkSession, path: str) -> None:
         raise ValueError(f"{path} is not a scratch path")
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def beside(path: str) -> str:
+    """A path next to ``path``, on the same file system, that no earlier run has used."""
+    parent, _, name = path.rstrip("/").rpartition("/")
+    return f"{parent}/_{name}-{uuid.uuid4().hex}"
+
+
+def swap(spark: SparkSession, written: str, path: str) -> None:
+    """Put the table at ``written`` in the place of whatever is at ``path``.
+
+    Two renames: the old table steps aside and comes back if the second fails. On a file system
+    a rename is one step; an object store copies instead, so there readers should wait.
+    """
+    new, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (written, path))
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        if not files.rename(new, target):
+            raise OSError(f"cannot move {written} to {path}")
+        return
+    old = spark._jvm.org.apache.hadoop.fs.Path(beside(path))
+    if not files.rename(target, old):
+        raise OSError(f"cannot move the table at {path} aside")
+    try:
+        moved = files.rename(new, target)
+    except Exception:
+        files.rename(old, target)
+        raise
+    if not moved:
+        files.rename(old, target)
+        raise OSError(f"cannot move {written} to {path}")
+    files.delete(old, True)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a path that ``beside`` has given out, if something is there."""
+    name = path.rpartition("/")[2]
+    if not name.startswith("_"):
+        raise ValueError(f"{path} is not beside a table")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

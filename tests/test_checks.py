@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.functions.fixed import CRITICAL, WARNING
 from millrace.operators import checks as q
@@ -184,3 +185,42 @@ def test_stored_suites(spark, tmp_path):
     replaced = q.Suite("all", [q.not_null("k")])
     q.save_suite(spark, replaced, store)
     assert q.load_suite(spark, "all", store) == replaced
+
+
+def test_examples_are_bounded_and_do_not_depend_on_the_order(spark):
+    rows = [(str(k), "x" * 1000 if k == 7 else f"v{k}") for k in range(200)]
+    df = spark.createDataFrame(rows, "id string, v string")
+    suite = q.Suite("s", [q.match_regex("v", "^w"), q.unique("v"), q.not_null("v"), q.distinct_in_set("v", df.select("id"))])
+    runs = []
+    for shuffled in (df, df.orderBy(F.rand(1)).repartition(7), df.coalesce(1).unionByName(df)):
+        shown = {r["check"]: r.detail.examples for r in q.validate(shuffled, suite).collect()}
+        assert shown["not_null"] == []
+        assert shown["match_regex"] == shown["distinct_in_set"]
+        runs.append(shown)
+    assert runs[0] == runs[1] and runs[0]["unique"] == []
+    assert runs[2]["unique"] == runs[2]["match_regex"] == runs[0]["match_regex"]
+    assert len(runs[0]["match_regex"]) == q.EXAMPLES and set(runs[0]["match_regex"]) <= {v[:200] for _, v in rows}
+
+
+def test_examples_ride_on_writes(spark, tmp_path):
+    df = spark.createDataFrame([(k,) for k in range(50)], "n int")
+    suite = q.Suite("s", [q.between("n", 0, 40)])
+    watched = q.watch(df, suite)
+    watched.data.write.parquet(str(tmp_path / "t"))
+    (seen,) = watched.measured().results(df).collect()
+    (again,) = q.validate(df, suite).collect()
+    assert seen == again and 1 <= len(seen.detail.examples) <= q.EXAMPLES
+
+
+def test_uniqueness_checks_share_a_scan_and_a_shuffle(spark):
+    rows = [(1, "a", 1.0), (1, "b", 1.0), (2, "a", None), (None, "c", 3.0), (None, None, 3.0), (2, "a", 5.0)]
+    df = spark.createDataFrame(rows, "a int, b string, c double")
+    checks = [q.unique("a"), q.pair_unique("a", "b"), q.unique("c"), q.pair_unique("b", "a"), q.unique("a").warning()]
+    alone = [q.validate(df, q.Suite("s", [c])).first() for c in checks]
+    assert q.validate(df, q.Suite("s", checks)).collect() == alone
+    assert [r.unexpected for r in alone] == [4, 2, 4, 2, 4]
+    table = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    suite = q.Suite("s", [q.unique("l_orderkey"), q.unique("l_partkey"), q.pair_unique("l_orderkey", "l_linenumber")])
+    text = q.validate(table, suite)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and text.count("Exchange hashpartitioning") == 1
+    assert "l_comment" not in text
