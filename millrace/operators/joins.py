@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +47,7 @@ def join_tables(
     ``broadcast``   "left" or "right": broadcast that side if its measured size is within
                     BROADCAST_BYTES and BROADCAST_ROWS; otherwise the join shuffles.
     ``salt``        split frequent keys over this many sub-keys, for keys so frequent that one
-                    task cannot hold their matches; the left rows are counted first.
+                    task cannot hold their matches, on either side; the keys are counted first.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if how not in JOIN_TYPES:
@@ -129,6 +129,8 @@ def _suffixed(left: DataFrame, right: DataFrame, keys: list[str], suffix: str) -
 _SALT = "__salt"
 _TIMES = "__times"
 _AGAIN = "__again"
+_CELL = "__cell"
+_OTHER_TIMES = "__other_times"
 
 
 def _salted_join(
@@ -140,7 +142,7 @@ def _salted_join(
     rows without such a key, stay single. Salts are hashes of rows, not random numbers, so a
     task that runs again after an executor is lost puts every row where it was. Equal rows of a
     frequent key become one row with a count; the count is dealt to the sub-keys and the rows
-    are repeated after the join. A key frequent on the right is not split on that side.
+    are repeated after the join. Keys frequent on the right are dealt on that side too, in a grid.
     """
     if how == "right":
         rest = [quoted(c) for c in left.columns if c not in keys]
@@ -154,28 +156,76 @@ def _salted_join(
     kinds = [wider(type_of(left, k), type_of(right, k)) for k in keys]
     hashed = F.xxhash64(*[F.col(quoted(k)).cast(t) for k, t in zip(keys, kinds, strict=True)])
     hot = hot_keys(left, hashed)
+    if how in ("left_semi", "left_anti"):
+        right, wide = right.distinct(), []
+    else:
+        wide = hot_keys(right, hashed)
+    if not wide:
+        return _one_sided(left, right, keys, how, salt, hashed, hot)
+    on_right = hashed.isin(wide)
+    rest = _one_sided(
+        left.filter(~on_right), right.filter(~on_right), keys, how, salt, hashed, [h for h in hot if h not in wide]
+    )
+    own = left.filter(on_right)
+    both = hashed.isin([h for h in hot if h in wide]) if set(hot) & set(wide) else F.lit(False)
+    dealt = _grid(own, right.filter(on_right), both, salt)
+    joined = _repeated(dealt[0].join(dealt[1], [*keys, _SALT, _CELL]), _TIMES, _OTHER_TIMES).drop(_SALT, _CELL)
+    if how == "left":
+        # Of these keys only those of another key with the same hash, and nulls, match nothing.
+        known = right.filter(on_right).select(*map(quoted, keys)).distinct()
+        joined = joined.unionByName(own.join(known, keys, "left_anti"), allowMissingColumns=True)
+    return rest.unionByName(joined.select(*map(quoted, rest.columns)))
+
+
+def _one_sided(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str, salt: int, hashed: Column, hot: list[int]
+) -> DataFrame:
+    """Deal the left rows of frequent keys; right rows of those keys are copied."""
     if not hot:
         return left.join(right, keys, how)
     frequent = hashed.isin(hot)
-    if how in ("left_semi", "left_anti"):
-        right = right.distinct()
     single = right.withColumn(_SALT, F.lit(0).cast("long")).filter(~frequent)
-    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long")))
-    copied = single.unionByName(right.filter(frequent).withColumn(_SALT, copies))
+    copied = single.unionByName(right.filter(frequent).withColumn(_SALT, _copies(salt)))
     joined = salted(left, frequent, salt).join(copied, [*keys, _SALT], how)
-    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col(_TIMES)))
-    return joined.withColumn(_AGAIN, again).drop(_SALT, _TIMES, _AGAIN)
+    return _repeated(joined, _TIMES).drop(_SALT)
+
+
+def _copies(number: int) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(number - 1).cast("long")))
+
+
+def _repeated(df: DataFrame, *counts: str) -> DataFrame:
+    """Every row as often as the product of its counts says."""
+    for name in counts:
+        again = F.explode(F.sequence(F.lit(1).cast("long"), F.col(name)))
+        df = df.withColumn(_AGAIN, again).drop(name, _AGAIN)
+    return df
+
+
+def _grid(left: DataFrame, right: DataFrame, both: Column, salt: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of keys frequent on the right, dealt on both axes of a grid of sub-keys.
+
+    A right row goes to one of ``salt`` columns. Where the key is frequent on the left too
+    (``both``), a left row goes to one of ``salt`` rows of the grid and to all its columns, and a
+    right row to all rows of its column: each pair meets in one cell. Otherwise the grid has one row.
+    """
+    dealt = salted(left, both, salt).withColumn(_CELL, _copies(salt))
+    across = salted(right, F.lit(True), salt).withColumnsRenamed({_SALT: _CELL, _TIMES: _OTHER_TIMES})
+    rows = F.when(both, F.lit(salt - 1).cast("long")).otherwise(F.lit(0).cast("long"))
+    return dealt, across.withColumn(_SALT, F.explode(F.sequence(F.lit(0).cast("long"), rows)))
 
 
 def hot_keys(df: DataFrame, hashed: Column, share: int = HOT_KEYS) -> list[int]:
     """Hashes of the keys that hold at least a ``share``-th of the rows: at most ``share``.
 
-    A count and a grouping that combines on the map side.
+    One grouping that combines on the map side; the number of all rows is observed on its way.
     """
-    least = max(2, df.count() // share)
+    whole = Observation()
     counts = df.groupBy(hashed.alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
-    frequent = counts.filter(F.col("__n") >= least).orderBy(F.desc("__n"), "__key").limit(share)
-    return [row["__key"] for row in frequent.collect()]
+    counts = counts.observe(whole, F.sum("__n").alias("rows"))
+    frequent = counts.filter("__n > 1").orderBy(F.desc("__n"), "__key").limit(share).collect()
+    least = (whole.get["rows"] or 0) // share if frequent else 0
+    return [row["__key"] for row in frequent if row["__n"] >= least]
 
 
 def salted(df: DataFrame, frequent: Column, salt: int) -> DataFrame:

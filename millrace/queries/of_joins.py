@@ -214,3 +214,34 @@ def join_salted_semi(spark: SparkSession, folder: str) -> DataFrame:
 def join_salted_anti(spark: SparkSession, folder: str) -> DataFrame:
     customers, urgent = _customers(spark, folder), _urgent(spark, folder)
     return join_tables(customers, urgent, "custkey", "left_anti", salt=4)
+
+
+def _near_suppliers(spark: SparkSession, folder: str, how: str) -> DataFrame:
+    """Customers and suppliers of a nation: every key is frequent on both sides."""
+    own = F.nullif("c_nationkey", F.lit(7)).alias("nation")
+    customers = table(spark, folder, "customer").select(own, "c_custkey", "c_mktsegment")
+    suppliers = table(spark, folder, "supplier").filter("s_nationkey <> 3")
+    suppliers = suppliers.select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal")
+    return join_tables(customers, suppliers, "nation", how, salt=4)
+
+
+_NEAR_SUPPLIERS = """
+    SELECT coalesce(c.nation, s.s_nationkey) AS nation, c_custkey, c_mktsegment, s_suppkey, s_acctbal
+    FROM (SELECT NULLIF(c_nationkey, 7) AS nation, * FROM customer) c
+    {how} JOIN (SELECT * FROM supplier WHERE s_nationkey <> 3) s ON c.nation = s.s_nationkey
+    """
+
+
+@query("join_salted_both", _NEAR_SUPPLIERS.format(how="INNER"))
+def join_salted_both(spark: SparkSession, folder: str) -> DataFrame:
+    return _near_suppliers(spark, folder, "inner")
+
+
+@query("join_salted_both_left", _NEAR_SUPPLIERS.format(how="LEFT"))
+def join_salted_both_left(spark: SparkSession, folder: str) -> DataFrame:
+    return _near_suppliers(spark, folder, "left")
+
+
+@query("join_salted_both_full", _NEAR_SUPPLIERS.format(how="FULL"))
+def join_salted_both_full(spark: SparkSession, folder: str) -> DataFrame:
+    return _near_suppliers(spark, folder, "full")

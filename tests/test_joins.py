@@ -141,3 +141,36 @@ def test_only_frequent_keys_are_split(spark):
     expected_hash = spark.range(1).select(F.xxhash64(F.lit(-1).cast("long")).alias("h")).first().h
     assert joins.hot_keys(keys, hashed) == [expected_hash]
     assert joins.hot_keys(keys.limit(0), hashed) == []
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full", "left_semi", "left_anti"])
+def test_keys_frequent_on_both_sides(spark, how):
+    # Key 1 holds a third of both sides, with equal rows among them; nulls are frequent too.
+    left = [(1, k % 7) for k in range(60)] + [(None, k) for k in range(30)] + [(k, k) for k in range(2, 92)]
+    right = [(1, k % 5) for k in range(40)] + [(None, k) for k in range(20)] + [(k // 2, k) for k in range(100, 160)]
+    a, b = spark.createDataFrame(left, "k int, x int"), spark.createDataFrame(right, "k int, y int")
+    plain = Counter(map(tuple, join_tables(a, b, "k", how).collect()))
+    assert Counter(map(tuple, join_tables(a, b, "k", how, salt=5).collect())) == plain
+
+
+def test_a_grid_spreads_a_key_on_both_axes(spark):
+    salt, n = 6, 300
+    a = spark.createDataFrame([(1, k % 50) for k in range(n)], "k int, x int")
+    b = spark.createDataFrame([(1, k % 40) for k in range(n)], "k int, y int")
+    left, right = joins._grid(a, b, F.lit(True), salt)
+    for df, times, axis in ((left, "__times", "__salt"), (right, "__other_times", "__cell")):
+        cells = df.groupBy("__salt", "__cell").agg(F.sum(times).alias("n")).collect()
+        assert len(cells) == salt * salt
+        # A cell has about its share of one axis, not all rows of the key.
+        assert all(r.n < 2.5 * n / salt for r in cells) and sum(r.n for r in cells) == n * salt
+        assert axis in df.columns
+    pairs = left.join(right, ["k", "__salt", "__cell"]).agg(F.sum(F.col("__times") * F.col("__other_times"))).first()[0]
+    assert pairs == n * n
+
+
+def test_hot_keys_take_one_pass(spark):
+    rows = [(1,)] * 500 + [(k,) for k in range(2, 502)]
+    df = spark.createDataFrame(rows, "k int")
+    one = df.filter("k = 1").select(F.xxhash64("k")).first()[0]
+    assert joins.hot_keys(df, F.xxhash64("k"), 10) == [one]
+    assert joins.hot_keys(df.limit(0), F.xxhash64("k")) == []
