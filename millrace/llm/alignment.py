@@ -32,6 +32,7 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ from millrace.sources.scratch import stage_table
 RANGE = 32 << 10
 #: Ranges are worked on in slices of about this many bytes.
 SLICE_BYTES = 1 << 20
+#: Words that B encodes at once.
+WORDS = 256
 #: Neighbouring fragments composed by one task in a round.
 FAN = 8
 
@@ -106,33 +109,63 @@ class Tokenizers:
         hashes, one, which = np.unique(hash_spans(data, begins, ends), return_index=True, return_inverse=True)
         if ((ends - begins) != (ends - begins)[one][which]).any():
             raise ArithmeticError("two words of different length have one hash")
-        raw = data.tobytes()
-        words = [raw[i:j] for i, j in zip(begins[one].tolist(), ends[one].tolist(), strict=True)]
-        texts = [w.decode() for w in words]
-        a = [self._a.encode_ordinary(t) for t in texts]
-        b = self._b.encode([t[1:] for t in texts], num_threads=1)
-        spelt = np.array(
-            [
-                b"".join(map(self.bytes_b.__getitem__, y)) == w == b"".join(map(self.bytes_a.__getitem__, x))
-                for w, x, y in zip(words, a, b, strict=True)
-            ],
-            dtype=bool,
-        )
+        flat, counts, spelt = self._encode_words(data, begins[one], ends[one])
         of = np.searchsorted(offsets, begins, side="right") - 1
         valid = np.bincount(of[~spelt[which]], minlength=len(offsets) - 1) == 0
         which = which[valid[of]]
         of = of[valid[of]]
         ids, numbers = [], []
-        for lists in (a, b):
-            counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-            flat = np.fromiter((i for x in lists for i in x), dtype=np.int64, count=int(counts.sum()))
-            place = (np.cumsum(counts) - counts)[which]
-            own = counts[which]
+        for side in range(2):
+            place = (np.cumsum(counts[side]) - counts[side])[which]
+            own = counts[side][which]
             at = np.cumsum(own) - own
-            ids.append(flat[np.repeat(place - at, own) + np.arange(own.sum())])
+            ids.append(flat[side][np.repeat(place - at, own) + np.arange(own.sum())])
             numbers.append(np.bincount(of, weights=own, minlength=len(offsets) - 1).astype(np.int64))
         return ids, numbers, valid
 
+    def _pieces_of(self, raw: bytes, place: np.ndarray) -> np.ndarray:
+        """Ids of B of words behind one another, some hundred words at a time."""
+        bounds = [*place[::WORDS].tolist(), len(raw)]
+        texts = [raw[i + 1 : j].decode() for i, j in zip(bounds, bounds[1:], strict=False)]
+        found = self._b.encode(texts, num_threads=1)
+        return np.array(list(chain.from_iterable(found)), dtype=np.int64)
+
+    def _encode_words(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray):
+        """All ids of A and of B of some words, their numbers, and which words they spell.
+
+        The words are encoded behind one another, as one text; where that does not spell it, one by one.
+        """
+        sizes = ends - begins
+        place = np.cumsum(sizes) - sizes
+        raw = data[np.repeat(begins - place, sizes) + np.arange(sizes.sum())].tobytes()
+        bounds = np.append(place, len(raw))
+        if self.cuts:
+            text = raw.decode()
+            flat, counts = [], []
+            for ids, entries, lengths in (
+                (self._a.encode_to_numpy(text, disallowed_special=()), self.bytes_a, self.sizes_a),
+                (self._pieces_of(raw, place), self.bytes_b, self.sizes_b),
+            ):
+                ids = ids.astype(np.int64)
+                found = np.searchsorted(np.cumsum(lengths[ids]), bounds, side="right")
+                if b"".join(map(entries.__getitem__, ids.tolist())) != raw:
+                    break
+                flat.append(ids)
+                counts.append(np.diff(found))
+            else:
+                return flat, counts, np.ones(len(sizes), dtype=bool)
+        words = [raw[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        texts = [w.decode() for w in words]
+        a = [self._a.encode_ordinary(t) for t in texts]
+        b = self._b.encode([t[1:] for t in texts], num_threads=1)
+        spelt = [
+            b"".join(map(self.bytes_b.__getitem__, y)) == w == b"".join(map(self.bytes_a.__getitem__, x))
+            for w, x, y in zip(words, a, b, strict=True)
+        ]
+        counts = [np.array([len(x) for x in lists], dtype=np.int64) for lists in (a, b)]
+        flat = [np.array([i for x in lists for i in x], dtype=np.int64) for lists in (a, b)]
+        return flat, counts, np.array(spelt, dtype=bool)
+
 
 # Bytes after which a space is a certain cut: visible ASCII, and all other bytes but those that end
 # the code of some white space.
@@ -323,9 +356,19 @@ class _Slice:
             ends.append((end + self.shifts[row])[inside])
         (self.a, self.b), (a_end, b_end) = kept, ends
         leads = lo == 0
-        at = np.minimum(np.searchsorted(b_end, a_end), max(len(b_end) - 1, 0))
-        common = a_end[b_end[at] == a_end] if len(b_end) else _none()
-        row = np.searchsorted(last, common)
+        size = int(last[-1]) + 1 if len(last) else 1
+
+        def rank(marks: np.ndarray) -> np.ndarray:
+            """For each place the number of marks up to it."""
+            at = np.zeros(size, dtype=np.int32)
+            at[marks] = 1
+            return np.cumsum(at, dtype=np.int32)
+
+        on_a, on_b = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
+        on_a[a_end], on_b[b_end] = True, True
+        common, union = np.flatnonzero(on_a & on_b), np.flatnonzero(on_a | on_b)
+        rows_before, common_before = rank(last), rank(common)
+        row = rows_before[common - 1]
         fresh = np.ones(len(common), dtype=bool)
         fresh[1:] = row[1:] != row[:-1]
         # The group that ends at a common end is whole, unless it may begin in an earlier range.
@@ -335,7 +378,7 @@ class _Slice:
 
         def placed(end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Row and group of each end, and 0 before the first common end, 1 in a whole group, 2 after."""
-            own, group = np.searchsorted(last, end), np.searchsorted(common, end)
+            own, group = rows_before[end - 1], common_before[end - 1]
             inside = np.append(row, -1)[group] == own
             return own, group, np.where(inside, np.append(whole, False)[group], np.where(self.closes[own], 2, 0))
 
@@ -345,10 +388,9 @@ class _Slice:
         self.n_a = np.bincount(self.a_row[self.a_kind == 1], minlength=rows)
         self.n_b = np.bincount(self.b_row[self.b_kind == 1], minlength=rows)
         self.n_groups = np.bincount(row[whole], minlength=rows)
-        union = np.sort(np.concatenate([a_end, np.setdiff1d(b_end, common, assume_unique=True)]), kind="stable")
         of, _, kind = placed(union)
-        union, of = union[kind == 1], of[kind == 1]
-        code = self.a[np.searchsorted(a_end, union)] * self.width + self.b[np.searchsorted(b_end, union)]
+        union, of = union[kind == 1], of[kind == 1].astype(np.int64)
+        code = self.a[rank(a_end)[union - 1]] * self.width + self.b[rank(b_end)[union - 1]]
         self.n_links = np.bincount(of, minlength=rows)
         key, self.times = np.unique(of * all_codes + code, return_counts=True)
         self.pair_row, self.pairs = key // all_codes, key % all_codes
