@@ -109,10 +109,11 @@ def upsert(existing: DataFrame, new: DataFrame, key: str, version: str) -> DataF
     measured and broadcast if they fit, and then the stored table is not shuffled. Write the
     result to a new path: Spark cannot overwrite a table it is reading.
     """
-    incoming = latest(new.select(*existing.columns), key, version)
-    keys = new.select(key).distinct()
-    kept = join_tables(existing, keys, key, "left_anti", broadcast="right")
-    return kept.select(*existing.columns).unionByName(incoming)
+    columns = [F.col(quoted(c)) for c in existing.columns]
+    incoming = latest(new.select(*columns), key, version)
+    keys = new.select(F.col(quoted(key)).alias("__key")).distinct()
+    kept = join_tables(existing.withColumn("__key", F.col(quoted(key))), keys, "__key", "left_anti", broadcast="right")
+    return kept.select(*columns).unionByName(incoming)
 
 
 def embed(

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.fixed import WHITESPACE
 from millrace.functions.vectors import norm
 from millrace.operators import chunks as ch
+from millrace.operators import index as vector_index
+from millrace.operators import store as store_operators
 from millrace.operators.search import top_k, top_k_join
 from millrace.queries.registry import query, table
+from millrace.sources.scratch import new_path
 
 _CHUNKS = f"""
 WITH split AS (
@@ -307,3 +310,42 @@ def upsert_null_version(spark: SparkSession, folder: str) -> DataFrame:
     messages = table(spark, folder, "conversations").select("conv_id", version, "role", "text")
     stored = ch.latest(messages.filter("role = 'user'"), "conv_id", "turn")
     return ch.upsert(stored, messages.filter("role = 'assistant'"), "conv_id", "turn")
+
+
+@query(
+    "upsert_store",
+    """
+    SELECT doc_id, CASE WHEN lang IN ('en', 'de') THEN upper(source) ELSE source END AS source,
+           CAST(CASE lang WHEN 'en' THEN 2 WHEN 'de' THEN 1 ELSE 0 END AS INTEGER) AS version
+    FROM documents
+    """,
+)
+def upsert_store(spark: SparkSession, folder: str) -> DataFrame:
+    """A store with batches put in: one of them twice, one late with older versions."""
+    documents = table(spark, folder, "documents")
+
+    def batch(version: int, rows: DataFrame, name: Column) -> DataFrame:
+        return rows.select("doc_id", name.alias("doc.source"), F.lit(version).alias("version"))
+
+    store = new_path(spark, "store")
+    english, german = documents.filter("lang = 'en'"), documents.filter("lang = 'de'")
+    first, second = batch(0, documents, F.col("source")), batch(2, english, F.upper("source"))
+    for new in (first, second, batch(1, german, F.upper("source")), second, batch(1, english, F.lit("late"))):
+        store_operators.upsert_store(new, store, "doc_id", "version", buckets=16)
+    return store_operators.read_store(spark, store).withColumnRenamed("doc.source", "source")
+
+
+@query(
+    "search_indexed",
+    "SELECT count(*) AS queries, 5 * count(*) AS hits, true AS found_again FROM embeddings",
+)
+def search_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The approximate search by an index: it finds at least 0.95 of what the exact one finds."""
+    vectors = table(spark, folder, "embeddings")
+    asked = vectors.withColumnRenamed("vec_id", "query_id")
+    made = vector_index.build_index(vectors, new_path(spark, "index"), "vec_id")
+    found = vector_index.search_index(made, asked, 5)
+    exact = top_k_join(asked, vectors, 5, key="vec_id")
+    return vector_index.recall(found, exact, "vec_id").select(
+        "queries", "hits", (F.col("recall") >= 0.95).alias("found_again")
+    )
