@@ -18,7 +18,7 @@ from millrace.functions.fixed import (
 )
 from millrace.functions.text import identifiers
 from millrace.operators.joins import join_tables
-from millrace.sources.readers import SourceError, is_missing, read_table
+from millrace.sources.readers import SourceError, file_state, is_missing, read_table
 
 PROFILE_SCHEMA = "column string, data_type string, nullable boolean, null_count bigint"
 
@@ -78,24 +78,53 @@ def cached_profile(df: DataFrame, table: str, store: str) -> DataFrame:
     return read_table(spark, path, schema=PROFILE_SCHEMA)
 
 
+def cached_profile_path(
+    spark: SparkSession, path: str, table: str, store: str, fmt: str = "csv"
+) -> DataFrame:
+    """The profile of a file, read from ``store`` as long as the file has not changed.
+
+    The store is asked for the file's state (paths, lengths and modification times) before anything
+    is inferred, so a known file is not opened. A changed file is profiled again, and the profile
+    of its earlier state goes. A missing or unreadable file has an empty profile.
+    """
+    state = file_state(spark, path)
+    if state is None:
+        return spark.createDataFrame([], PROFILE_SCHEMA)
+    folder = f"{store}/table={table}"
+    own = f"{folder}/state={state}"
+    try:
+        return read_table(spark, own, schema=PROFILE_SCHEMA)
+    except SourceError as error:
+        if not is_missing(error):
+            raise
+    try:
+        found = profile(read_table(spark, path, fmt))
+    except SourceError:
+        return spark.createDataFrame([], PROFILE_SCHEMA)
+    found.write.mode("overwrite").parquet(own)
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("state=") and name != f"state={state}":
+            files.delete(status.getPath(), True)
+    return read_table(spark, own, schema=PROFILE_SCHEMA)
+
+
 def profile_sources(
     spark: SparkSession, dictionary: DataFrame, base: str, store: str | None = None
 ) -> DataFrame:
     """Profiles of the CSV files below ``base`` that a dictionary describes.
 
     The names of the described tables are collected: metadata, one name per file. A file
-    that is missing or unreadable contributes nothing. With a ``store`` each file is
-    profiled once and its stored profile is read from then on.
+    that is missing or unreadable contributes nothing. With a ``store`` each file is profiled
+    once and its stored profile is read from then on, until the file changes.
     """
     names = [r["table"] for r in expand_tables(dictionary).select("table").distinct().collect()]
     whole = spark.createDataFrame([], f"table string, {PROFILE_SCHEMA}")
     for name in sorted(names):
         path = f"{base}/{name}"
-        try:
-            df = read_table(spark, path, "csv")
-        except SourceError:
-            continue
-        found = cached_profile(df, name, store) if store else profile(df)
+        found = cached_profile_path(spark, path, name, store) if store else profile_path(spark, path)
         whole = whole.unionByName(found.select(F.lit(name).alias("table"), "*"))
     return whole
 

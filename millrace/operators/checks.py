@@ -681,31 +681,17 @@ def _untyped(value: dict[str, Any]) -> Any:
     return _STORED_TYPES[value["__type"]][1](value["value"]) if "__type" in value else value
 
 
-def save_suite(spark: SparkSession, suite: Suite, store: str) -> None:
-    """Keep a suite below ``store``; a suite of the same name is replaced.
-
-    Sets given as tables are not stored with the suite.
-    """
+def _suite_rows(suite: Suite) -> list[tuple[int, str, str | None, str, str, str]]:
     for check in suite.checks:
         if isinstance(check.kwargs.get("value_set"), DataFrame):
             raise ValueError(f"{check.kind}({check.column}) refers to a table and cannot be stored")
-    rows = [
+    return [
         (i, c.kind, c.column, json.dumps(dict(c.kwargs), default=_typed), c.severity, c.description)
         for i, c in enumerate(suite.checks)
     ]
-    table = spark.createDataFrame(rows, _SUITE_SCHEMA).coalesce(1)
-    table.write.mode("overwrite").parquet(f"{store}/suite={suite.name}")
 
 
-def load_suite(spark: SparkSession, name: str, store: str) -> Suite:
-    """A stored suite. Collects one row per check."""
-    try:
-        table = read_table(spark, f"{store}/suite={name}", schema=_SUITE_SCHEMA)
-    except SourceError as error:
-        if not is_missing(error):
-            raise
-        raise SuiteNotFound(f"no suite {name!r} in {store}") from error
-    rows = table.orderBy("position").collect()
+def _suite_of(name: str, rows: Sequence[Row]) -> Suite:
     return Suite(
         name,
         [
@@ -717,6 +703,26 @@ def load_suite(spark: SparkSession, name: str, store: str) -> Suite:
     )
 
 
+def save_suite(spark: SparkSession, suite: Suite, store: str) -> None:
+    """Keep a suite below ``store``; a suite of the same name is replaced.
+
+    Sets given as tables are not stored with the suite.
+    """
+    table = spark.createDataFrame(_suite_rows(suite), _SUITE_SCHEMA).coalesce(1)
+    table.write.mode("overwrite").parquet(f"{store}/suite={suite.name}")
+
+
+def load_suite(spark: SparkSession, name: str, store: str) -> Suite:
+    """A stored suite. Collects one row per check."""
+    try:
+        table = read_table(spark, f"{store}/suite={name}", schema=_SUITE_SCHEMA)
+    except SourceError as error:
+        if not is_missing(error):
+            raise
+        raise SuiteNotFound(f"no suite {name!r} in {store}") from error
+    return _suite_of(name, table.orderBy("position").collect())
+
+
 def get_or_create_suite(spark: SparkSession, name: str, store: str) -> Suite:
     try:
         return load_suite(spark, name, store)
@@ -724,3 +730,56 @@ def get_or_create_suite(spark: SparkSession, name: str, store: str) -> Suite:
         suite = Suite(name)
         save_suite(spark, suite, store)
         return suite
+
+
+# --- versions of suites ---------------------------------------------------------------------
+
+_VERSION_SCHEMA = f"suite string, version int, checks int, {_SUITE_SCHEMA}"
+
+
+def suite_versions(spark: SparkSession, store: str) -> DataFrame:
+    """The log of all suites: a row for each check of each version, an empty suite as one row.
+
+    The log only grows. A store that is not there has no rows.
+    """
+    try:
+        return read_table(spark, store, schema=_VERSION_SCHEMA)
+    except SourceError as error:
+        if not is_missing(error):
+            raise
+        return spark.createDataFrame([], _VERSION_SCHEMA)
+
+
+def _latest_rows(spark: SparkSession, name: str, store: str) -> list[Row]:
+    own = suite_versions(spark, store).filter(F.col("suite") == name)
+    rows = own.orderBy("version", "position").collect()  # a row for each check
+    return [r for r in rows if r["version"] == rows[-1]["version"]]
+
+
+def keep_version(spark: SparkSession, suite: Suite, store: str) -> int:
+    """Append a suite to the log at ``store`` unless its latest version is the same; its version.
+
+    Versions of a name count from 1. Appending is one write of one file, so a job that dies leaves
+    a whole version or none. Sets given as tables are not stored.
+    """
+    rows = _suite_rows(suite)
+    latest = _latest_rows(spark, suite.name, store)
+    last = latest[0]["version"] if latest else 0
+    kept = [tuple(r[c] for c in ("position", "check", "column", "kwargs", "severity", "description")) for r in latest]
+    if latest and [r for r in kept if r[0] is not None] == rows:
+        return last
+    empty = [(None, None, None, None, None, None)]
+    log = [(suite.name, last + 1, len(rows), *row) for row in rows or empty]
+    spark.createDataFrame(log, _VERSION_SCHEMA).coalesce(1).write.mode("append").parquet(store)
+    return last + 1
+
+
+def latest_suite(spark: SparkSession, name: str, store: str) -> Suite:
+    """The latest version of a suite in the log at ``store``. Collects one row per check."""
+    rows = _latest_rows(spark, name, store)
+    if not rows:
+        raise SuiteNotFound(f"no suite {name!r} in {store}")
+    # Two writers at once may have given one number twice; the checks of one of them count.
+    wanted = rows[0]["checks"]
+    once = {r["position"]: r for r in rows if r["position"] is not None and r["checks"] == wanted}
+    return _suite_of(name, [once[k] for k in sorted(once)])

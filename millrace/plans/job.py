@@ -35,6 +35,8 @@ from millrace.operators.checks import (
     Measured,
     Suite,
     enforce,
+    keep_version,
+    latest_suite,
     measure,
     watch,
 )
@@ -44,9 +46,9 @@ from millrace.operators.joins import join_tables
 from millrace.operators.model import placeholder_score, score, to_score
 from millrace.operators.stats import aggregate
 from millrace.plans.liveness import ALL, Needed, live_columns
-from millrace.sources.readers import load_sources, read_table
+from millrace.sources.readers import load_sources, read_csv_sorted, read_table
 from millrace.sources.scratch import beside, discard, new_path, remove, swap
-from millrace.sources.writers import write_report, write_table
+from millrace.sources.writers import write_counted, write_report, write_table
 
 STEP_TYPES = ("join", "filter", "aggregation", "column_manipulation")
 RULE_TYPES = ("condition", "calculation", "domain_logic")
@@ -180,11 +182,12 @@ class Stages:
     top of a materialized table or a source, and checking it reads just the checked columns.
     """
 
-    def __init__(self, spark: SparkSession, how: str | None) -> None:
+    def __init__(self, spark: SparkSession, how: str | None, suite_store: str | None = None) -> None:
         if how not in ("table", "persist", None):
             raise ValueError(f"cannot stage by {how!r}")
         self.spark = spark
         self.how = how
+        self.suite_store = suite_store
         self.results: list[Row] = []
         self.warnings: list[Row] = []
         self.missing: dict[str, dict[str, int]] = {}
@@ -218,11 +221,19 @@ class Stages:
         return df
 
     def suite(self, name: str, checks: Sequence[Check]) -> Suite:
-        return Suite(f"{name}_suite", checks)
+        """The suite of a table; with a store, its latest version there."""
+        suite = Suite(f"{name}_suite", checks)
+        if self.suite_store is None or not checks:
+            return suite
+        keep_version(self.spark, suite, self.suite_store)
+        return latest_suite(self.spark, suite.name, self.suite_store)
+
+    def note(self, stage: str, rows: int, schema: str) -> None:
+        self._log.append((len(self._log), stage, rows, schema))
 
     def judge(self, df: DataFrame, name: str, measured: Measured) -> None:
         """Log a measured table, keep its results, and stop the job on a critical failure."""
-        self._log.append((len(self._log), name, measured.rows, df.schema.simpleString()))
+        self.note(name, measured.rows, df.schema.simpleString())
         results = measured.results(df).collect()
         self.results += results
         self.warnings += enforce(results)
@@ -232,7 +243,7 @@ class Stages:
         if not self.how or name not in self.costly:
             return df
         df, measured = self._materialize(live_part(df, live), name, Suite(name))
-        self._log.append((len(self._log), name, measured.rows, df.schema.simpleString()))
+        self.note(name, measured.rows, df.schema.simpleString())
         return df
 
     def _materialize(self, df: DataFrame, name: str, suite: Suite) -> tuple[DataFrame, Measured]:
@@ -470,6 +481,8 @@ def run_job(
     keep: Sequence[str] = (),
     stage: str | None = "table",
     report_path: str | None = None,
+    suite_store: str | None = None,
+    rejected: Mapping[str, int] | None = None,
 ) -> JobResult:
     """Run a job over named tables.
 
@@ -490,7 +503,9 @@ def run_job(
         raise ValueError(f"no table for the sources {', '.join(absent)}")
     named = {name: tables[name] for name in spec.sources}
     spark = next(iter(named.values())).sparkSession
-    stages = Stages(spark, stage)
+    stages = Stages(spark, stage, suite_store)
+    for name, rows in (rejected or {}).items():
+        stages.note(f"rejected {name}", rows, "record string")
     untouched = [*_join_keys(spec), *keep]
     try:
         current = spec.sources[0]
@@ -579,6 +594,7 @@ def run_files(
     fmt: str = "csv",
     schemas: Mapping[str, StructType | str] | None = None,
     reader: Mapping[str, str] | None = None,
+    reject_path: str | None = None,
     **settings: Any,
 ) -> JobResult:
     """As ``run_job``, with the sources read from ``{base}/{name}.{fmt}``.
@@ -586,10 +602,20 @@ def run_files(
     ``schemas`` by source spare the inference of CSV types, which reads a file twice;
     ``reader`` holds reader options, such as ``multiLine`` for values with line breaks.
     A source without a file stops the job first, then any mentioned column that no source
-    has; all of them are named.
+    has; all of them are named. With a ``reject_path``, rows of CSV sources that do not fit their
+    schema are written to ``{reject_path}/{name}`` and counted in the job's log; the job goes on
+    with the others.
     """
     names = [s["name"] for s in spec["source"]]
     tables = load_sources(spark, base, names, fmt, schemas, reader)
+    if reject_path is not None:
+        if fmt != "csv":
+            raise ValueError(f"rows are rejected from CSV sources, not from {fmt}")
+        settings["rejected"] = {}
+        for name in names:
+            found = read_csv_sorted(spark, f"{base}/{name}.csv", tables[name].schema, reader)
+            tables[name] = found.data
+            settings["rejected"][name] = write_counted(found.rejects, f"{reject_path}/{name}")
     absent = sorted(row["column"] for row in audit(spec, tables).collect())
     if absent:
         raise ValueError(f"no source has the columns {', '.join(absent)}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import catalog as cat
 from millrace.operators.chunks import to_records
+from millrace.operators.names import match_names
 from millrace.operators.search import search_text
 from millrace.queries.of_columns import APPLICANTS, applicants
 from millrace.queries.of_vectors import letter_counts, letters_sql
@@ -512,3 +513,35 @@ def mistyped_specs(spark: SparkSession, folder: str) -> DataFrame:
     texts = [F.when(kind == k, F.format_string(text, "source")) for k, (text, _) in enumerate(_WRONG_SPECS)]
     stored = table(spark, folder, "documents").select("doc_id", F.coalesce(*texts).alias("spec"))
     return cat.mistyped_parts(stored, "doc_id", "spec")
+
+
+@query(
+    "match_names",
+    r"""
+    WITH tokens AS (
+        SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[\p{L}\p{N}_]+'))) AS name FROM documents),
+    names AS (SELECT DISTINCT regexp_extract(text, '[A-Za-z_]*[0-9][A-Za-z0-9_]*') AS name FROM documents)
+    SELECT doc_id, name FROM tokens JOIN names USING (name)
+    """,
+)
+def match_names_in_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Names with digits, the first such of each document, found in all documents."""
+    documents = table(spark, folder, "documents")
+    first = F.regexp_extract("text", "[A-Za-z_]*[0-9][A-Za-z0-9_]*", 0)
+    matched = match_names(documents.select("doc_id", "text"), "text", documents.select(first.alias("column")))
+    return matched.select("doc_id", F.explode("names").alias("name"))
+
+
+@query(
+    "profile_cached_file",
+    "SELECT \"column\", data_type, nullable, null_count FROM ("
+    + _profile_sql("orders", {"o_orderkey": "int", "o_custkey": "int", "o_orderstatus": "string"})
+    + ")",
+)
+def profile_cached_file(spark: SparkSession, folder: str) -> DataFrame:
+    """A CSV file profiled once; the second request reads the store."""
+    base, store = new_path(spark, "csv"), new_path(spark, "profiles")
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus"]
+    write_table(table(spark, folder, "orders").select(*columns), f"{base}/orders.csv", "csv")
+    cat.cached_profile_path(spark, f"{base}/orders.csv", "orders.csv", store)
+    return cat.cached_profile_path(spark, f"{base}/orders.csv", "orders.csv", store)

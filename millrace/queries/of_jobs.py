@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.checks import CriticalCheckFailed
+from millrace.operators.checks import CriticalCheckFailed, suite_versions
 from millrace.plans.job import JobResult, run_job
 from millrace.plans.scoring import score_applicants
 from millrace.queries.of_columns import APPLICANTS, applicants
@@ -356,3 +356,35 @@ def job_published(spark: SparkSession, folder: str) -> DataFrame:
     except CriticalCheckFailed:
         return read_table(spark, path)
     raise AssertionError("no price is below zero, so the second run must stop")
+
+
+@query(
+    "job_stored_suites",
+    """
+    SELECT suite, CAST(version AS INTEGER) AS version, "check", "column", (SELECT count(*) FROM orders WHERE o_totalprice > 1000) AS total
+    FROM (VALUES ('kept_suite', 1, 'not_null', 'o_custkey'), ('kept_suite', 2, 'not_null', 'o_custkey'),
+                 ('kept_suite', 2, 'unique', 'o_orderkey'), ('global_suite', 1, 'not_null', 'o_orderkey')) AS v(suite, version, "check", "column")
+    """,
+)
+def job_stored_suites(spark: SparkSession, folder: str) -> DataFrame:
+    """Three runs of a job that keeps its suites: the first two with the same, the third with one more check."""
+    store = new_path(spark, "suites")
+    known = {"expectation_type": "expect_column_values_to_not_be_null", "column": "o_custkey"}
+    unique = {"expectation_type": "expect_column_values_to_be_unique", "column": "o_orderkey"}
+    tables = {"orders": table(spark, folder, "orders")}
+
+    def run(*checks: dict) -> JobResult:
+        spec = {
+            "source": [{"name": "orders"}],
+            "transformation": [
+                {"type": "filter", "predicate": "o_totalprice > 1000", "output_table_name": "kept", "data_quality_checks": list(checks)}
+            ],
+            "global_data_quality_checks": [{"expectation_type": "not_null", "column": "o_orderkey"}],
+        }
+        return run_job(tables, spec, suite_store=store)
+
+    run(known)
+    run(known)
+    results = run(known, unique).results.select("suite", "check", "column", "total")
+    versions = suite_versions(spark, store).select("suite", "version", "check", "column")
+    return versions.join(results, ["suite", "check", "column"])

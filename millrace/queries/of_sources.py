@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.fixed import DICTIONARY_ENCODING
 from millrace.operators import checks as q
 from millrace.queries.registry import query, table
-from millrace.sources.readers import load_sources, read_csv, read_dictionary, read_table
+from millrace.sources.readers import load_sources, read_csv, read_csv_sorted, read_dictionary, read_table
 from millrace.sources.scratch import new_path, stage_table
 from millrace.sources.writers import write_counted, write_report, write_table
 
@@ -118,3 +118,26 @@ def dictionary(spark: SparkSession, folder: str) -> DataFrame:
         ignoreTrailingWhiteSpace=False,
     ).csv(path)
     return read_dictionary(spark, path)
+
+
+@query(
+    "csv_rejects",
+    """
+    SELECT 'fits' AS kind, o_orderkey || ',' || o_custkey || ',' || o_orderstatus AS record FROM orders
+    WHERE o_orderkey % 5 NOT IN (0, 2)
+    UNION ALL SELECT 'reject', o_orderkey || ',' || o_custkey || ',' || o_orderstatus || ',more' FROM orders WHERE o_orderkey % 5 = 0
+    UNION ALL SELECT 'reject', o_orderkey || ',x' || o_custkey || ',' || o_orderstatus FROM orders WHERE o_orderkey % 5 = 2
+    """,
+)
+def csv_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """A CSV of which rows have a value too many, or a word for a number."""
+    kind, path = F.col("o_orderkey") % 5, new_path(spark, "orders")
+    key = F.when(kind == 2, F.concat(F.lit("x"), "o_custkey")).otherwise(F.col("o_custkey").cast("string"))
+    more = F.when(kind == 0, F.lit("more"))
+    lines = table(spark, folder, "orders").select(F.concat_ws(",", "o_orderkey", key, "o_orderstatus", more))
+    lines.write.text(path)
+    found = read_csv_sorted(spark, path, "orderkey long, custkey long, status string", {"header": "false"})
+    whole = F.concat_ws(",", "orderkey", "custkey", "status").alias("record")
+    return found.data.select(F.lit("fits").alias("kind"), whole).unionByName(
+        found.rejects.select(F.lit("reject").alias("kind"), "record")
+    )

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from millrace.functions.fixed import DICTIONARY_COLUMNS, DICTIONARY_ENCODING
+from millrace.functions.types import quoted
 
 
 class SourceError(IOError):
@@ -107,3 +111,63 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     if absent:
         raise SourceError(f"{path} lacks the columns {', '.join(absent)}; found {found.columns}")
     return found.select(*DICTIONARY_COLUMNS)
+
+
+def file_state(spark: SparkSession, path: str) -> str | None:
+    """A digest of the path, length and modification time of every file at ``path``; None if none.
+
+    Asks the file system only: no Spark job runs and no file is opened.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return None
+    found, listed = [], files.listFiles(root, True)
+    while listed.hasNext():
+        status = listed.next()
+        found.append(f"{status.getPath().toString()}\t{status.getLen()}\t{status.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
+@dataclass(frozen=True)
+class Sorted:
+    """Rows of a CSV that fit the schema, and the text of those that do not, as ``record``."""
+
+    data: DataFrame
+    rejects: DataFrame
+
+
+_RECORD = "__record"
+
+
+def read_csv_sorted(
+    spark: SparkSession,
+    path: str,
+    schema: StructType | str | None = None,
+    options: Mapping[str, str] | None = None,
+) -> Sorted:
+    """As ``read_csv``, with malformed rows set apart instead of turned into nulls.
+
+    A row is malformed if it has another number of values than the schema, or a value of another
+    type. All columns are read for either table, because whether a row fits shows in all of them.
+    Both tables are lazy and read the file on their own.
+    """
+    if schema is None:
+        schema = read_csv(spark, path, options=options).schema
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    if _RECORD in schema.names:
+        raise ValueError(f"a column may not be named {_RECORD}")
+    marked = StructType([*schema.fields]).add(_RECORD, StringType())
+    given = {
+        **(options or {}), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _RECORD, "columnPruning": "false"
+    }
+    found = read_csv(spark, path, marked, options=given)
+    columns = [F.col(quoted(c)) for c in schema.names]
+    # Spark converts only the columns that are read, and finds errors only in them; this condition,
+    # which every row meets, reads all of them whatever is selected later.
+    found = found.filter(F.length(F.concat_ws("", *[c.cast("string") for c in columns])) >= 0)
+    # No plain null test: that would be pushed into the parser, which asks before it knows the record.
+    fits = F.coalesce(F.length(_RECORD), F.lit(-1)) < 0
+    rejects = found.filter(~fits).select(F.col(_RECORD).alias("record"))
+    return Sorted(found.filter(fits).select(*columns), rejects)
