@@ -1,9 +1,12 @@
 """Chat formatting: layouts are told apart by a fingerprint of their fields.
 
-Conversations come as rows of turns, or as JSON records of several shapes. The fingerprint of a
-layout is the hash of its nested field paths and types. It selects a declarative mapping, which
-says where the turns, their roles and their texts are. Layouts without a mapping are not guessed
-at: their records keep a null layout and no turn, next to their fingerprint.
+Conversations come as rows of turns, or as JSON records of several shapes. The nested field paths,
+with their types, are read from the data: from the schema of a table, or from each record, where a
+null has the type that is declared and an empty list the fields that are. The hash of those paths that a
+layout names selects its declarative mapping, which says where the turns, their roles and their
+texts are; of several the first, and other fields play no part. Records that fit no layout are not
+guessed at: they keep a null layout and no turn, next to their fingerprint, the hash of all paths in
+them that some layout names.
 
 The canonical turns of a conversation become one string. Every turn is
 ``<|im_start|>role<|im_sep|>text<|im_end|>``. In roles and texts a backslash is doubled, and a
@@ -19,12 +22,13 @@ names. One conversation is one string and so one row; its turns meet in one task
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
+from pyspark.sql.types import StructType
 
 # Control strings of common chat templates.
 CONTROLS = (
@@ -55,13 +59,8 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def paths(schema: DataType, prefix: str = "") -> list[str]:
-    """The nested field paths of a schema with their types, in order."""
-    if isinstance(schema, StructType):
-        return sorted(p for f in schema.fields for p in paths(f.dataType, f"{prefix}.{f.name}"))
-    if isinstance(schema, ArrayType):
-        return paths(schema.elementType, f"{prefix}[]")
-    return [f"{prefix}:{schema.simpleString()}"]
+def _hash(paths: Iterable[str]) -> str:
+    return sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
 @dataclass(frozen=True)
@@ -78,111 +77,156 @@ class RowLayout:
     def columns(self) -> tuple[str, ...]:
         return self.conversation, self.turn, self.role, self.text
 
+    @property
+    def paths(self) -> frozenset[str]:
+        kinds = ("integer", "integer", "string", "string")
+        return frozenset(f"{c}:{kind}" for c, kind in zip(self.columns, kinds, strict=True))
+
 
 @dataclass(frozen=True)
 class RecordLayout:
-    """Records in JSON: either a list of turns, or fields that are turns in order.
-
-    ``example`` is a record of this shape, from which the fingerprint is taken.
-    """
+    """Records in JSON: either a list of turns, or fields that are turns in order."""
 
     name: str
-    example: str
     turns: str | None = None
     role: str = "role"
     text: str = "content"
     fields: tuple[tuple[str, str], ...] = ()
 
+    @property
+    def paths(self) -> frozenset[str]:
+        if self.turns:
+            return frozenset(f"{self.turns}[].{name}:string" for name in (self.role, self.text))
+        return frozenset(f"{name}:string" for _, name in self.fields)
+
 
 ROW_LAYOUTS = (
     RowLayout("turn rows", "conv_id", "turn", "role", "text"),
     RowLayout("message rows", "conversation_id", "message_index", "author", "content"),
 )
 RECORD_LAYOUTS = (
-    RecordLayout("prompt", '{"prompt":"a","completion":"b"}', fields=(("user", "prompt"), ("assistant", "completion"))),
-    RecordLayout(
-        "instruction",
-        '{"instruction":"a","input":"b","output":"c"}',
-        fields=(("system", "instruction"), ("user", "input"), ("assistant", "output")),
-    ),
-    RecordLayout(
-        "instruction without input",
-        '{"instruction":"a","output":"c"}',
-        fields=(("user", "instruction"), ("assistant", "output")),
-    ),
-    RecordLayout("messages", '{"messages":[{"role":"a","content":"b"}]}', turns="messages"),
-    RecordLayout("from and value", '{"conversations":[{"from":"a","value":"b"}]}', "conversations", "from", "value"),
+    RecordLayout("messages", "messages"),
+    RecordLayout("from and value", "conversations", "from", "value"),
+    RecordLayout("instruction", fields=(("system", "instruction"), ("user", "input"), ("assistant", "output"))),
+    RecordLayout("instruction without input", fields=(("user", "instruction"), ("assistant", "output"))),
+    RecordLayout("prompt", fields=(("user", "prompt"), ("assistant", "completion"))),
 )
 #: Other names of roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def table_fingerprint(schema: StructType, columns: tuple[str, ...]) -> str | None:
-    """The hash of the paths of those columns; None where one is missing."""
-    kept = [f for f in schema.fields if f.name in columns]
-    if len(kept) != len(columns):
-        return None
-    names = [p.rpartition(":")[0] for p in paths(StructType(kept))]
-    return sha256("\n".join(names).encode()).hexdigest()
-
-
-def record_fingerprint(payload: Column) -> Column:
-    """The hash of the nested fields and types of a JSON record; null for malformed text."""
-    return F.sha2(F.schema_of_variant(F.try_parse_json(payload)), 256)
+def table_paths(schema: StructType) -> frozenset[str]:
+    """The columns of a table with the kinds of their types."""
+    kinds = {"byte": "integer", "short": "integer", "long": "integer"}
+    return frozenset(f"{f.name}:{kinds.get(f.dataType.typeName(), f.dataType.typeName())}" for f in schema.fields)
 
 
 def turns_of_rows(df: DataFrame, layouts: tuple[RowLayout, ...] = ROW_LAYOUTS) -> DataFrame:
     """Canonical turns ``conv_id, turn, role, text`` of a table with a row for each turn."""
+    found = table_paths(df.schema)
     for layout in layouts:
-        wanted = StructType().add(layout.columns[0], "long")
-        for column in layout.columns[1:]:
-            wanted = wanted.add(column, "string")
-        if table_fingerprint(df.schema, layout.columns) == table_fingerprint(wanted, layout.columns):
-            return df.select(
-                F.col(layout.conversation).alias("conv_id"),
-                F.col(layout.turn).alias("turn"),
-                F.col(layout.role).alias("role"),
-                F.col(layout.text).alias("text"),
-            )
+        if _hash(found & layout.paths) == _hash(layout.paths):
+            names = ("conv_id", "turn", "role", "text")
+            return df.select(*(F.col(c).alias(n) for c, n in zip(layout.columns, names, strict=True)))
     raise ValueError(f"no layout has the fields of {df.schema.simpleString()}")
 
 
-def turns_of_records(
-    df: DataFrame, conversation: str, payload: str, layouts: tuple[RecordLayout, ...] = RECORD_LAYOUTS
-) -> DataFrame:
-    """``conv_id, fingerprint, layout, turns`` of JSON records; turns are ``{role, text}`` lists."""
-    spark = df.sparkSession
-    examples = spark.range(1).select(
-        *(record_fingerprint(F.lit(x.example)).alias(str(k)) for k, x in enumerate(layouts))
-    ).first()
-    name = turns = None
-    value = F.col("__value")
-    for k, layout in enumerate(layouts):
+def _kind(value: Column) -> Column:
+    """The kind of a variant: STRING, ARRAY, OBJECT and so on; VOID for null."""
+    return F.coalesce(F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0), F.lit("VOID"))
+
+
+def _keys(payload: Column) -> Column:
+    return F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>"))
+
+
+def record_paths(payload: Column, value: Column, layouts: Sequence[RecordLayout]) -> Column:
+    """The paths of a record that some layout names, with types; ``value`` is the parsed payload."""
+    lists: dict[str, list[str]] = {}
+    for layout in layouts:
         if layout.turns:
-            listed = F.variant_get(
-                value, f"$.{layout.turns}", f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>"
-            )
-            made = listed.cast("array<struct<role:string,text:string>>")
-        else:
-            made = F.array(
-                *(
-                    F.struct(F.lit(role).alias("role"), F.variant_get(value, f"$.{field}", "string").alias("text"))
-                    for role, field in layout.fields
-                )
+            names = lists.setdefault(layout.turns, [])
+            names += [n for n in (layout.role, layout.text) if n not in names]
+    plain = dict.fromkeys(name for layout in layouts for _, name in layout.fields)
+
+    def typed(path: str, good: Column) -> Column:
+        return F.when(good, f"{path}:string").otherwise(f"{path}:other")
+
+    found = []
+    keys = _keys(payload)
+    for name in plain:
+        kind = _kind(F.try_variant_get(value, f"$.{name}", "variant"))
+        found.append(F.when(F.array_contains(keys, name), typed(name, kind.isin("STRING", "VOID"))))
+    for name, inner in lists.items():
+        kind = _kind(F.try_variant_get(value, f"$.{name}", "variant"))
+        items = _items(value, name)
+        held = F.array_distinct(F.flatten(F.transform(items, lambda e: _keys(F.to_json(e)))))
+        for field in inner:
+            other = F.exists(items, _no_text(field))
+            path = F.when(F.size(items) == 0, typed(f"{name}[].{field}", kind.isin("ARRAY", "VOID"))).when(
+                F.array_contains(held, field), typed(f"{name}[].{field}", ~other)
             )
-        is_it = F.col("fingerprint") == examples[k]
-        name = F.when(is_it, layout.name) if name is None else name.when(is_it, layout.name)
-        turns = F.when(is_it, made) if turns is None else turns.when(is_it, made)
+            found.append(F.when(F.array_contains(keys, name), path))
+    return F.array_sort(F.array_compact(F.array(*found)))
+
+
+def _no_text(field: str) -> Callable[[Column], Column]:
+    return lambda e: ~_kind(F.try_variant_get(e, f"$.{field}", "variant")).isin("STRING", "VOID")
+
+
+def _items(value: Column, name: str) -> Column:
+    return F.coalesce(F.try_variant_get(value, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def record_turns(payload: Column, layouts: tuple[RecordLayout, ...] = RECORD_LAYOUTS) -> Column:
+    """``{fingerprint, layout, turns}`` of a JSON record; all null for what is no JSON object."""
     other = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
-    plain = F.transform(
-        turns,
-        lambda t: F.struct(F.coalesce(other[t["role"]], t["role"]).alias("role"), t["text"].alias("text")),
+
+    def turn(role: Column, text: Column) -> Column:
+        return F.struct(F.coalesce(other[role], role).alias("role"), text.alias("text"))
+
+    def among(layout: RecordLayout) -> Callable[[Column], Column]:
+        return lambda path: path.isin(*layout.paths)
+
+    def item(layout: RecordLayout) -> Callable[[Column], Column]:
+        def read_item(e: Column) -> Column:
+            role, text = (F.try_variant_get(e, f"$.{name}", "string") for name in (layout.role, layout.text))
+            return turn(role, text)
+
+        return read_item
+
+    def read(bound: Column) -> Column:
+        value, paths = bound["value"], bound["paths"]
+        name = turns = None
+        for layout in layouts:
+            # The hash of those paths that the layout names.
+            own = F.filter(paths, among(layout))
+            is_it = F.sha2(F.array_join(own, "\n"), 256) == _hash(layout.paths)
+            if layout.turns:
+                made = F.transform(_items(value, layout.turns), item(layout))
+            else:
+                made = F.array(
+                    *(turn(F.lit(role), F.try_variant_get(value, f"$.{field}", "string")) for role, field in layout.fields)
+                )
+            name = F.when(is_it, layout.name) if name is None else name.when(is_it, layout.name)
+            turns = F.when(is_it, made) if turns is None else turns.when(is_it, made)
+        fingerprint = F.sha2(F.array_join(paths, "\n"), 256)
+        return F.struct(fingerprint.alias("fingerprint"), name.alias("layout"), turns.alias("turns"))
+
+    # A transform over one element binds what is parsed to a name, so that it is parsed once.
+    value = F.try_parse_json(payload)
+    parsed = F.transform(
+        F.array(value), lambda v: F.struct(v.alias("value"), record_paths(payload, v, layouts).alias("paths"))
     )
-    return df.select(
-        F.col(conversation).alias("conv_id"),
-        F.try_parse_json(payload).alias("__value"),
-        record_fingerprint(F.col(payload)).alias("fingerprint"),
-    ).select("conv_id", "fingerprint", name.alias("layout"), plain.alias("turns"))
+    return F.when(F.json_object_keys(payload).isNotNull() & value.isNotNull(), F.transform(parsed, read)[0])
+
+
+def turns_of_records(
+    df: DataFrame, conversation: str, payload: str, layouts: tuple[RecordLayout, ...] = RECORD_LAYOUTS
+) -> DataFrame:
+    """``conv_id, fingerprint, layout, turns`` of JSON records; turns are ``{role, text}`` lists."""
+    read = df.select(F.col(conversation).alias("conv_id"), record_turns(F.col(payload), layouts).alias("r"))
+    return read.select("conv_id", "r.fingerprint", "r.layout", "r.turns")
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
@@ -237,12 +281,14 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss(formatted: Column, loss: Column) -> Column:
     """The unescaped texts under the loss mask, in order."""
-    data = F.encode(formatted, "UTF-8")
-    return F.transform(
-        loss,
-        lambda s: unescape(
-            F.decode(
-                F.substring(data, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), "UTF-8"
-            )
-        ),
-    )
+
+    def cut(data: Column) -> Column:
+        return F.transform(
+            loss,
+            lambda s: unescape(
+                F.decode(F.substring(data, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), "UTF-8")
+            ),
+        )
+
+    # Bound to a name, the string is encoded once and not again for every turn.
+    return F.transform(F.array(F.encode(formatted, "UTF-8")), cut)[0]

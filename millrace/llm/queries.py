@@ -212,6 +212,47 @@ _TURNS_SQL = f"""SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text
     UNION ALL SELECT -7, 0, 'user', '{_EDGE_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{_EDGE_TEXT}'"""
 
 
+#: Larger conversations stay rows: a parsed record may take 16 MB.
+RECORD_BYTES = 4 << 20
+
+
+def in_many_layouts(turns: DataFrame) -> DataFrame:
+    """Conversations turned into records of several layouts and back, those that can be.
+
+    Such of a user and an assistant become a prompt and its completion, such with a system turn
+    before an instruction; others, by the hash of their id, a list of messages, a list under the other
+    names of roles, or stay rows. Roles that have another name (``chat.ROLES``) stay as they are.
+    """
+    role, text = (F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text"))
+    one = F.struct(F.col("turn").isNotNull().alias("known"), "turn", role, text)
+    size = F.sum(F.octet_length(role) + F.octet_length(text))
+    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("all"), size.alias("bytes"))
+    roles, texts = F.transform("all", lambda t: t["role"]), F.transform("all", lambda t: t["text"])
+    names = {"user": "human", "assistant": "gpt"}
+    other = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    third = F.pmod(F.xxhash64("conv_id"), F.lit(3))
+
+    def fields(*names: str) -> Column:
+        return F.to_json(F.struct(*(F.get(texts, k).alias(name) for k, name in enumerate(names))))
+
+    messages = F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+    values = F.transform(
+        "all", lambda t: F.struct(F.coalesce(other[t["role"]], t["role"]).alias("from"), t["text"].alias("value"))
+    )
+    record = (
+        F.when(F.exists(roles, lambda r: r.isin(*chat.ROLES)) | (F.col("bytes") > RECORD_BYTES), F.lit(None))
+        .when(roles == F.array(F.lit("user"), F.lit("assistant")), fields("prompt", "completion"))
+        .when(roles == F.array(F.lit("system"), F.lit("user"), F.lit("assistant")), fields("instruction", "input", "output"))
+        .when(third == 0, F.to_json(F.struct(F.col("conv_id").alias("id"), messages.alias("messages"))))
+        .when(third == 1, F.to_json(F.struct(values.alias("conversations"))))
+    )
+    read = grouped.withColumn("record", record).withColumn("made", chat.record_turns(F.col("record"))["turns"])
+    lost = F.raise_error(F.lit("a record fits no layout")).cast("array<struct<role:string,text:string>>")
+    plain = F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    whole = F.when(F.col("record").isNull(), plain).otherwise(F.coalesce("made", lost))
+    return read.select("conv_id", F.posexplode(whole).alias("turn", "t")).select("conv_id", "turn", "t.role", "t.text")
+
+
 @query(
     "op9_chat_formatting",
     f"""SELECT conv_id, count(*) AS n_turns,
@@ -224,7 +265,7 @@ _TURNS_SQL = f"""SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text
         FROM ({_TURNS_SQL}) GROUP BY conv_id""",
 )
 def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
-    turns = chat.turns_of_rows(table(spark, folder, "conversations"))
+    turns = chat.turns_of_rows(in_many_layouts(chat.turns_of_rows(table(spark, folder, "conversations"))))
     edge = spark.sql(
         "SELECT -7L AS conv_id, turn, role, :text AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)",
         args={"text": _EDGE_TEXT},

@@ -16,7 +16,7 @@ leaves the ledger as it is; a text without findings has an empty list.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -61,6 +61,23 @@ RULES = (
 )
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column], nothing: int = 0) -> Column:
+    """What ``combine`` makes of each prefix of an array of bigints; ``nothing`` must not matter to it.
+
+    In each round every value takes in the one so many places before it, with twice as many places
+    the next time, so that an array of n values takes n steps in each of log n rounds. Adding up an
+    array value by value would copy what is there each time.
+    """
+    rounds = F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")
+
+    def widen(done: Column, k: Column) -> Column:
+        places = F.pow(F.lit(2), k).cast("int")
+        moved = F.slice(F.concat(F.array_repeat(F.lit(nothing).cast("bigint"), places), done), F.lit(1), F.size(done))
+        return F.zip_with(done, moved, combine)
+
+    return F.aggregate(F.filter(F.sequence(F.lit(0), rounds), lambda k: k < rounds), values, widen)
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """The findings of one rule, leftmost first and without overlap."""
     pattern = F.lit(rule.pattern)
@@ -69,26 +86,20 @@ def spans(text: Column, rule: Rule) -> Column:
         F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length).alias("wholes"),
         F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length).alias("kept"),
     )
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(FOUND).alias("found"))
-
-    def locate(p: Column) -> Column:
-        def add(done: Column, k: Column) -> Column:
-            begin = done["at"] + F.get(p["gaps"], k)
-            end = begin + F.get(p["wholes"], k)
-            one = F.struct(F.lit(rule.kind).alias("kind"), begin.alias("start"), end.alias("end"))
-            return F.struct(
-                end.alias("at"),
-                F.when(F.get(p["kept"], k) >= rule.least, F.concat(done["found"], F.array(one)))
-                .otherwise(done["found"])
-                .alias("found"),
-            )
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(p["wholes"]) - 1), start, add)["found"]
+    def add(p: Column) -> Column:
+        steps = F.zip_with(F.slice(p["gaps"], F.lit(1), F.size(p["wholes"])), p["wholes"], lambda g, w: (g + w).cast("bigint"))
+        ends = running(steps, lambda a, b: a + b)
+        return F.arrays_zip(ends.alias("end"), p["wholes"].alias("size"), p["kept"].alias("kept"))
+
+    def located(x: Column) -> Column:
+        end = x["end"]
+        return F.struct(F.lit(rule.kind).alias("kind"), (end - x["size"]).alias("start"), end.alias("end"))
 
     # A transform over one element binds the parts to a name, so that each is made once.
-    return F.when(text.rlike(rule.pattern), F.transform(F.array(parts), locate)[0]).otherwise(
-        F.array().cast(FOUND)
-    )
+    every = F.transform(F.array(parts), add)[0]
+    found = F.transform(F.filter(every, lambda x: x["kept"] >= rule.least), located).cast(FOUND)
+    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(FOUND))
 
 
 def _known(spark: SparkSession, ledger: str) -> DataFrame | None:
@@ -194,15 +205,28 @@ def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
 
     ``found`` must be ordered by start.
     """
-    start = F.struct(F.lit("").alias("done"), F.lit(0).cast("bigint").alias("at"))
-
-    def replace(done: Column, f: Column) -> Column:
-        gap = F.substring(text, (done["at"] + 1).cast("int"), (f["start"] - done["at"]).cast("int"))
-        fresh = F.struct(F.concat(done["done"], gap, F.lit(mark)).alias("done"), f["end"].alias("at"))
-        longer = F.struct(done["done"].alias("done"), F.greatest(done["at"], f["end"]).alias("at"))
-        return F.when((f["start"] >= done["at"]), fresh).otherwise(longer)
+    # With four bytes for each code point any piece is found at once; bound to a name, the text is
+    # encoded once.
+    def cut(data: Column, begin: Column, end: Column) -> Column:
+        return F.decode(F.substring(data, (4 * begin + 1).cast("int"), (4 * (end - begin)).cast("int")), "UTF-32")
+
+    def replace(p: Column) -> Column:
+        reach = running(F.transform(p["found"], lambda f: f["end"]), lambda a, b: F.greatest(a, b))
+        before = F.concat(F.array(F.lit(0).cast("bigint")), reach)
+        data = p["data"]
+
+        # The arrays made so far are bound as well, or every finding would make them again.
+        def pieces(bound: Column) -> Column:
+            parts = F.transform(
+                p["found"],
+                lambda f, k: F.when(
+                    f["start"] >= F.get(bound, k), F.concat(cut(data, F.get(bound, k), f["start"]), F.lit(mark))
+                ).otherwise(""),
+            )
+            rest = cut(data, F.element_at(bound, -1), F.lit(1 << 28).cast("bigint"))
+            return F.concat(F.array_join(parts, ""), rest)
 
-    def finish(done: Column) -> Column:
-        return F.concat(done["done"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
+        return F.transform(F.array(before), pieces)[0]
 
-    return F.when(F.size(found) > 0, F.aggregate(found, start, replace, finish)).otherwise(text)
+    bound = F.array(F.struct(F.encode(text, "UTF-32").alias("data"), found.alias("found")))
+    return F.when(F.size(found) > 0, F.transform(bound, replace)[0]).otherwise(text)

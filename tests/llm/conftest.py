@@ -84,6 +84,8 @@ def tables(spark: SparkSession, docs: DataFrame, tmp_path_factory) -> str:
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(
         f"{folder}/embeddings.parquet"
     )
+    pages = [(1, "u", "<article><p>Some text of a page.</p></article>", "x"), (1, "u", None, "x"), (None, None, "", "x")]
+    spark.createDataFrame(pages, "page_id long, url string, html string, text string").write.parquet(f"{folder}/pages.parquet")
     return str(folder)
 
 

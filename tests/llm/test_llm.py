@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
@@ -24,6 +25,7 @@ from millrace.llm import (
     mixing,
     neighbours,
     quality,
+    queries,
     secrets,
     sharding,
     toxicity,
@@ -46,8 +48,8 @@ def grams(text: str | None) -> frozenset:
     return frozenset(tuple(found[k : k + 5]) for k in range(max(1, len(found) - 4))) if found else frozenset()
 
 
-def test_ten_operators():
-    assert sorted({int(name[2:].split("_")[0]) for name in NAMES}) == list(range(1, 11))
+def test_all_operators():
+    assert sorted({int(name[2:].split("_")[0]) for name in NAMES}) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", [*NAMES, "pipeline"])
@@ -56,7 +58,7 @@ def test_no_rows(spark, nothing, name):
     assert len(rows) == (1 if name.startswith("op9") else 0)
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if not re.match("op[69]_", n)])
+@pytest.mark.parametrize("name", [n for n in NAMES if not re.match("op([69]|11|12)_", n)])
 def test_every_document_once(spark, tables, name):
     rows = QUERIES[name](spark, tables).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(i for i, _, _ in texts())
@@ -391,6 +393,13 @@ def test_chat_layouts(spark):
         (4, {"messages": [{"role": "user", "content": "m"}, {"content": "a", "role": "assistant"}]}),
         (5, {"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]}),
         (6, {"unknown": 1}),
+        (9, {"instruction": "a", "input": None, "output": "c"}),
+        (10, {"id": 4, "messages": [{"role": "user", "content": None, "name": "x"}, {"role": "assistant"}], "meta": {"messages": 1}}),
+        (11, {"messages": []}), (12, {"messages": None}), (13, {"prompt": "p", "completion": ["c"]}),
+        (14, {"messages": [{"role": "user", "content": [{"type": "text"}]}]}), (15, {"messages": "m"}),
+        (16, {"prompt": "p", "prompt_id": "z", "messages": [{"role": "user", "content": "m"}]}),
+        (17, {"conversations": [None, {"from": "bot", "value": "v"}]}), (18, {"prompt": "p", "completion": None}),
+        (19, {}), (20, [1]), (21, "text"),
     ]
     rows = [(i, json.dumps(x)) for i, x in records] + [(7, "{broken"), (8, None)]
     got = chat.turns_of_records(spark.createDataFrame(rows, "id long, payload string"), "id", "payload").collect()
@@ -401,13 +410,49 @@ def test_chat_layouts(spark):
         3: [("user", "i"), ("assistant", "o")],
         4: [("user", "m"), ("assistant", "a")],
         5: [("user", "h"), ("assistant", "g")],
-        6: None, 7: None, 8: None,
+        6: None, 7: None, 8: None, 13: None, 14: None, 15: None, 19: None, 20: None, 21: None,
+        9: [("system", "a"), ("user", None), ("assistant", "c")],
+        10: [("user", None), ("assistant", None)], 11: [], 12: [], 16: [("user", "m")],
+        17: [(None, None), ("assistant", "v")], 18: [("user", "p"), ("assistant", None)],
     }
+    # The same fields in another order, or with more beside them, have the same fingerprint.
+    prints = {r["conv_id"]: r["fingerprint"] for r in got}
+    assert prints[4] == prints[10] == prints[11] == prints[12] != prints[16] and prints[7] is prints[20] is None
     assert {r["conv_id"]: r["layout"] for r in got}[5] == "from and value"
     other = spark.createDataFrame([(1, 0, "user", "x", 2)], "conversation_id long, message_index long, author string, content string, more int")
     assert chat.turns_of_rows(other).columns == ["conv_id", "turn", "role", "text"]
-    with pytest.raises(ValueError):
-        chat.turns_of_rows(spark.range(1))
+    for wrong in (spark.range(1), other.withColumn("content", F.lit(1)), other.withColumn("message_index", F.lit("x"))):
+        with pytest.raises(ValueError):
+            chat.turns_of_rows(wrong)
+
+
+def test_records_give_back_every_turn(spark):
+    turns = [(k % 9, k // 9, ["user", "assistant", "system", "human", "", None][(k * k + k // 9) % 6], f"t{k}\\ {chr(0x1F600)}") for k in range(45)]
+    turns += [(20, 0, "user", "q"), (20, 1, "assistant", None), (21, 0, "system", ""), (21, 1, "user", "u"), (21, 2, "assistant", "a")]
+    turns += [(None, None, None, None), (None, 1, "user", "x"), (30, 0, "user", "same"), (30, 0, "user", "same")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    back = defaultdict(list)
+    for r in queries.in_many_layouts(df).orderBy("conv_id", "turn").collect():
+        back[r["conv_id"]].append((r["role"] or "", r["text"] or ""))
+    given = defaultdict(list)
+    for i, n, r, t in sorted(turns, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")):
+        given[i].append((r or "", t or ""))
+    assert back == given
+
+
+def test_time_of_many_matches_and_turns(spark):
+    began = time.time()
+    for n in (8_000, 32_000):
+        text = " é ".join(f"token=abcdef{k}" for k in range(n))
+        df = spark.createDataFrame([(text,)], "text string").withColumn("found", secrets.spans(F.col("text"), secrets.BASE[0]))
+        row = df.select("found", secrets.redacted(F.col("text"), F.col("found")).alias("clean")).first()
+        assert [(f["start"], f["end"]) for f in row["found"]] == [m.span() for m in re.finditer(r"token=\w+", text)]
+        assert row["clean"] == re.sub(r"token=\w+", "[SECRET]", text)
+    turns = [(1, k, "assistant" if k % 2 else "user", f"é text {k}") for k in range(16_000)]
+    out = chat.format_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    read = out.select(chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("l")).first()
+    assert [tuple(t) for t in read["t"]] == [t[2:] for t in turns] and read["l"] == [t[3] for t in turns if t[2] == "assistant"]
+    assert time.time() - began < 60
 
 
 @pytest.fixture(scope="module")
