@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.types import quoted
+
 #: Slots of the table: a prime, some hundred times the number of shards.
 SLOTS = 65_537
 
@@ -57,11 +59,16 @@ def slot(key: Column, slots: int = SLOTS) -> Column:
 
 
 def place(df: DataFrame, key: str, shards: Sequence[str], slots: int = SLOTS) -> DataFrame:
-    """The key of every row with its ``slot`` and ``shard``."""
+    """The key of every row with its ``slot`` and ``shard``.
+
+    A made column gets an underscore behind its name if the key has that name.
+    """
     owner = lookup_table(shards, slots)
+    made = {name: name + "_" * (name == key.lower()) for name in ("slot", "shard")}
     table = df.sparkSession.createDataFrame(
-        list(zip(range(slots), owner.tolist(), strict=True)), "slot int, shard int"
+        list(zip(range(slots), owner.tolist(), strict=True)), "__slot int, __shard int"
     )
-    return df.select(F.col(key), slot(F.col(key), slots).alias("slot")).join(
-        F.broadcast(table), "slot"
+    own = df.select(F.col(quoted(key)).alias("__key"), slot(F.col(quoted(key)), slots).alias("__slot"))
+    return own.join(F.broadcast(table), "__slot").select(
+        F.col("__key").alias(key), *(F.col(f"__{name}").alias(to) for name, to in made.items())
     )
