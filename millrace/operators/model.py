@@ -15,7 +15,7 @@ from pyspark.storagelevel import StorageLevel
 from millrace.functions.fixed import SCORE_MAX
 from millrace.operators.columns import random_column, remainder
 from millrace.sources.models import load_model, save_model
-from millrace.sources.scratch import new_path
+from millrace.sources.scratch import new_path, remove
 
 FEATURES = "features"
 
@@ -72,7 +72,10 @@ def _reloaded(model: PipelineModel, spark: SparkSession) -> PipelineModel:
     """
     path = new_path(spark, "model")
     save_model(model, path)
-    return load_model(path)
+    try:
+        return load_model(path)
+    finally:
+        remove(spark, path)
 
 
 def score(df: DataFrame, model: PipelineModel) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DataType
+from pyspark.sql.types import BinaryType, DataType, TimestampType
 
 from millrace.functions.types import has_nan, quoted, type_of
 from millrace.operators.columns import Expression, as_column, require_columns
@@ -44,8 +44,8 @@ def column_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def counted_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """How often each column holds each value: ``position`` of the column, ``value``, ``n``.
 
-    Values are counted as text, which is exact for every atomic type; bytes as hexadecimal
-    digits.
+    Values are counted as text, which is exact for every atomic type: bytes as hexadecimal digits,
+    instants as microseconds, because two of them can have one local text, and the two zeros as one.
     """
     entries = [
         F.struct(F.lit(i).alias("position"), _as_text(df, c).alias("value"))
@@ -60,8 +60,12 @@ def counted_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _as_text(df: DataFrame, column: str) -> Column:
-    value = F.col(quoted(column))
-    return F.hex(value) if isinstance(type_of(df, column), BinaryType) else value.cast("string")
+    value, kind = F.col(quoted(column)), type_of(df, column)
+    if isinstance(kind, BinaryType):
+        return F.hex(value)
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(value).cast("string")
+    return (value + F.lit(0.0).cast(kind) if has_nan(kind) else value).cast("string")
 
 
 def mode_of(position: int, kind: DataType) -> Column:
@@ -71,7 +75,12 @@ def mode_of(position: int, kind: DataType) -> Column:
     """
     own = (F.col("position") == position) & F.col("value").isNotNull()
     text = F.col("value")
-    value = F.unhex(text) if isinstance(kind, BinaryType) else text.try_cast(kind)
+    if isinstance(kind, BinaryType):
+        value = F.unhex(text)
+    elif isinstance(kind, TimestampType):
+        value = F.timestamp_micros(text.try_cast("long"))
+    else:
+        value = text.try_cast(kind)
     entry = F.struct((-F.col("n")).alias("n"), value.alias("value"))
     return F.min(F.when(own, entry)).getField("value")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.fixed import WHITESPACE
 from millrace.operators import catalog as cat
 from millrace.operators.chunks import to_records
 from millrace.operators.names import match_names
@@ -288,6 +289,52 @@ def search_catalog_by_letters(spark: SparkSession, folder: str) -> DataFrame:
     return _searched(spark, folder, encode=letter_counts, length=26).drop("metadata")
 
 
+_CHUNKED = (
+    _OF_DOCUMENTS
+    + f""", items AS (SELECT DISTINCT *, {_ITEM_TEXT} AS text FROM catalog),
+    cut AS (SELECT *, {_ITEM_ID.removesuffix(" || '-0'")} AS base,
+        list_filter(regexp_split_to_array(text, '{WHITESPACE}'), lambda w: w <> '') AS words FROM items),
+    starts AS (SELECT *, unnest(range(0, len(words), 500)) AS start FROM cut),
+    chunked AS (SELECT base || '-' || (start // 500) AS id, "table", "column", data_type,
+        array_to_string(words[start + 1 : start + 500], ' ') AS text FROM starts)
+    """
+)
+
+
+def _records_of_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return to_records(cat.catalog_items(_catalog_of_documents(spark, folder)), letter_counts, 26)
+
+
+@query(
+    "ingest_catalog_of_documents",
+    _CHUNKED + 'SELECT id, "table", "column", data_type, text, CAST(26 AS INTEGER) AS length FROM chunked',
+)
+def ingest_catalog_of_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """A catalog that grows with the documents, cut, named and embedded."""
+    names = ("table", "column", "data_type", "text")
+    return _records_of_documents(spark, folder).select(
+        "id", *[F.col("metadata")[n].alias(n) for n in names], F.size("embedding").alias("length")
+    )
+
+
+@query(
+    "search_catalog_of_documents",
+    _CHUNKED
+    + f""", named AS (SELECT id, "table", text, {letters_sql("text")} AS v FROM chunked)
+    {_nearest_sql(1, _ASKED, 5)}
+    UNION ALL {_nearest_sql(2, "income", 4, "\"table\" = 'customer_train.csv'")}
+    """,
+)
+def search_catalog_of_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Two searches in the catalog of all documents, by letters; the second in one table."""
+    records = _records_of_documents(spark, folder)
+    settings = {"encode": letter_counts, "length": 26}
+    everywhere = search_text(records, _ASKED, 5, **settings)
+    somewhere = search_text(records, "income", 4, where={"table": "customer_train.csv"}, **settings)
+    both = everywhere.withColumn("asked", F.lit(1)).unionByName(somewhere.withColumn("asked", F.lit(2)))
+    return both.select("asked", "id", F.col("metadata")["text"].alias("text"), "score")
+
+
 _FILE_TYPES = {**_CUSTOMER_TYPES, "c_custkey": "int"}
 
 

@@ -148,3 +148,26 @@ _TIED = "(SELECT o_custkey, o_custkey % 11 AS tied FROM (SELECT DISTINCT o_custk
 def column_modes_numeric_ties(spark: SparkSession, folder: str) -> DataFrame:
     keys = table(spark, folder, "orders").select("o_custkey").distinct()
     return stats.column_modes(keys.withColumn("tied", F.col("o_custkey") % 11), ["o_custkey", "tied"])
+
+
+@query(
+    "column_modes_of_instants",
+    """
+    SELECT 1604206800000000 + (SELECT user_id % 8 AS part FROM events GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) * 1800000000 AS instant,
+           (SELECT CASE WHEN abs(value) < 10 THEN 0.0::DOUBLE ELSE round(value / 100) + 1 END AS v
+            FROM events GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS level
+    """,
+)
+def column_modes_of_instants(spark: SparkSession, folder: str) -> DataFrame:
+    """Half hours around the end of daylight saving time, where two instants have one local text."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        events = table(spark, folder, "events")
+        at = F.timestamp_seconds(F.lit(1604206800) + F.col("user_id") % 8 * 1800)
+        zero = F.when(F.col("user_id") % 2 == 0, F.lit(0.0)).otherwise(F.lit(-0.0))
+        level = F.when(F.abs("value") < 10, zero).otherwise(F.round(F.col("value") / 100) + 1)
+        modes = stats.column_modes(events.select(at.alias("instant"), level.alias("level")), ["instant", "level"])
+        return modes.select(F.unix_micros("instant").alias("instant"), "level")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

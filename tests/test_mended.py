@@ -201,3 +201,16 @@ def test_vectors_without_direction(spark, query_bytes):
     assert [tuple(r)[:2] for r in got.orderBy("rank").collect()] == [(7, 1), (7, 2)]
     alone = top_k_join(asked, vectors.filter("id > 2"), 1, query_key="q", query_vector="w", key="id", vector="v", query_bytes=query_bytes)
     assert alone.count() == 0
+
+
+def test_modes_count_instants_and_zeros(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        # 05:30Z and 06:30Z are both 01:30 there on the day the clocks go back.
+        seconds = [1604208600, 1604212200, 1604280000, 1604280000]
+        rows = [(s, x) for s, x in zip(seconds, [0.0, -0.0, 5.0, float("nan")], strict=True)]
+        df = spark.createDataFrame(rows, "s long, x double").select(F.timestamp_seconds("s").alias("t"), "x")
+        row = column_modes(df, ["t", "x"]).select(F.unix_seconds("t").alias("t"), "x").first()
+        assert (row.t, row.x) == (1604280000, 0.0)
+    finally:
+        spark.conf.unset("spark.sql.session.timeZone")
