@@ -33,10 +33,15 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet and read it back: cuts lineage, survives lost executors."""
+    return stage_path(df, label)[0]
+
+
+def stage_path(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As ``stage_table``, with the path, for those who remove the table when they are done."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def remove(spark: SparkSession, path: str) -> None:
