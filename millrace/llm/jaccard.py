@@ -119,11 +119,14 @@ def _bits(sets: list[np.ndarray]) -> np.ndarray:
     shared = often > 1
     column = np.cumsum(shared) - 1
     wide = (int(shared.sum()) + 63) // 64
-    rows = np.zeros((len(sets), max(wide, 1) * 64), dtype=bool)
+    rows = np.zeros((len(sets), max(wide, 1)), dtype=np.uint64)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     held = shared[place]
-    rows[owner[held], column[place[held]]] = True
-    return np.packbits(rows, axis=1).view(np.uint64)
+    column = column[place[held]].astype(np.uint64)
+    # Straight into words of 64 bits; a row of bytes for each n-gram would take eight times as much.
+    bit = np.uint64(1) << (column & np.uint64(63))
+    np.bitwise_or.at(rows, (owner[held], (column >> np.uint64(6)).astype(np.int64)), bit)
+    return rows
 
 
 def links_of(sets: list[np.ndarray], bands: np.ndarray, left: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -236,9 +239,9 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     # Copies without id are one row before they meet.
     unnamed = texts.filter("doc_id IS NULL").select("key", "text").distinct()
     unnamed = unnamed.join(wanted.filter("doc_id IS NULL").select("key"), "key").select("key", "text")
-    sets = stage_table(
-        named.union(unnamed).select("key", grams("text").alias("grams")).dropDuplicates(["key"]), "grams"
-    )
+    # Of equal texts one is left before any is shingled; tasks drop theirs before they send them.
+    once = named.union(unnamed).dropDuplicates(["key"])
+    sets = stage_table(once.select("key", grams("text").alias("grams")), "grams")
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     whole = F.size("grams_a") + F.size("grams_b") - both
     linked = stage_table(
