@@ -12,7 +12,7 @@ together; documents without words are kept once by the mix; empty tables pass th
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import jaccard, mixing, quality, secrets
@@ -37,10 +37,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     named = docs.withColumns({"__id": own, "__text": text})
     groups = jaccard.jaccard_groups(named.select(F.col("__id").alias("doc_id"), "text"))
     leaders = groups.filter("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
-    # Rows that repeat the leader's id and text are copies of it.
-    order = Window.partitionBy("__id", "__text").orderBy(*(F.col(c).asc_nulls_last() for c in docs.columns))
-    ranked = named.join(leaders, "__id", "left_semi").withColumn("__place", F.row_number().over(order))
-    return ranked.filter("__place = 1").select(*docs.columns)
+    # Rows that repeat the leader's id and text are copies of it: the first in the order of the
+    # columns, nulls last. Tasks keep one of theirs before they send any.
+    order = F.struct(*(x for k, c in enumerate(docs.columns) for x in (F.col(c).isNull().alias(f"n{k}"), F.col(c).alias(f"c{k}"))))
+    held = named.join(leaders, "__id", "left_semi").groupBy("__id", "__text").agg(F.min(order).alias("row"))
+    return held.select(*(F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
