@@ -135,6 +135,14 @@ def test_columns_that_are_needed():
     assert columns(output=[{"type": "scoring_model", "model": "m"}])[3] == COLUMNS
 
 
+def test_odd_names_are_found():
+    from millrace.plans.liveness import mention
+
+    names = ['say "x"', "a`b", "back\\slash", "naïve", "unused"]
+    needed = mention({"e": 'upper(`say "x"`) = `a``b`', "more": ["BACK\\SLASH", "`Naïve`_1"]})
+    assert needed.columns(names) == names[:4]
+
+
 def test_checks_name_their_columns():
     check = Check("proportion_between", "k", {"condition": "w > 1"})
     from millrace.plans.liveness import _of_checks
