@@ -266,7 +266,7 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
         *((tag == k) for k in range(OTHER + 1)),
     ]
     numbers = np.stack(columns, axis=1).astype(np.float32)
-    tokens = np.zeros((len(tag), TOKEN_COLUMNS), dtype=np.float32)
+    tokens = np.zeros((len(tag), TOKEN_COLUMNS), dtype=np.uint8)
     held = [(i + b, t) for p, b in zip(pages, begin.tolist(), strict=True) for i, own_tokens in enumerate(p.tokens) for t in own_tokens]
     if held:
         rows, of = np.array(held).T

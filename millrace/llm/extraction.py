@@ -41,6 +41,8 @@ SAMPLES = 400
 ROUNDS, LEVELS, RATE = 30, 4, 0.4
 #: Thresholds tried for each number.
 BINS = 32
+#: Nodes scored at once, whatever a page holds.
+NODES = 1 << 16
 #: Pages are read in runs of about this many characters.
 RUN_CHARS = 4 << 20
 
@@ -62,7 +64,11 @@ class Trees:
     names: np.ndarray
 
     def log_probabilities(self, numbers: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        rows = np.concatenate([numbers, tokens @ self.names, tokens], axis=1)
+        parts = [self._scored(numbers[k : k + NODES], tokens[k : k + NODES]) for k in range(0, len(numbers), NODES)]
+        return np.concatenate([np.zeros((0, 3)), *parts])
+
+    def _scored(self, numbers: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        rows = np.concatenate([numbers, _told(tokens, self.names), tokens], axis=1, dtype=np.float32)
         every = np.arange(len(rows))
         scores = np.tile(self.base, (len(rows), 1))
         for tree in range(len(self.columns)):
@@ -74,17 +80,26 @@ class Trees:
         return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
 
 
+def _told(tokens: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """The sums of ``names`` over the tokens of each row, which are few."""
+    row, column = np.nonzero(tokens)
+    sums = [np.bincount(row, names[column, k], minlength=len(tokens)) for k in range(names.shape[1])]
+    return np.stack(sums, axis=1).astype(np.float32)
+
+
 def fit(numbers: np.ndarray, tokens: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -> Trees:
     """Softmax boosting with second-order steps on weighted rows; one tree for each class and round.
 
     Beside the tokens themselves stand the sums, over a node's tokens, of how much more often than
     usual they go with main text and with other things.
     """
-    seen = np.stack([tokens[label == k].T @ weight[label == k] for k in range(3)], axis=1) + 1
+    held, token = np.nonzero(tokens)
+    many = tokens.shape[1]
+    seen = np.bincount(token * 3 + label[held], weights=weight[held], minlength=many * 3).reshape(many, 3) + 1
     usual = np.bincount(label, weights=weight, minlength=3) + 1
     odds = np.log(seen / seen.sum(axis=1, keepdims=True)) - np.log(usual / usual.sum())
     names = odds[:, [MAIN, OTHER]].astype(np.float32)
-    numbers = np.concatenate([numbers, tokens @ names], axis=1)
+    numbers = np.concatenate([numbers, _told(tokens, names)], axis=1)
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in numbers.T]
     binned = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, numbers.T, strict=True)], axis=1)
     count, wide = numbers.shape
@@ -109,10 +124,9 @@ def fit(numbers: np.ndarray, tokens: np.ndarray, label: np.ndarray, weight: np.n
                         (of[:, None] * (wide * BINS) + flat).ravel(), weights=np.repeat(step, wide), minlength=nodes * wide * BINS
                     )
                     left = np.cumsum(cells.reshape(nodes, wide, BINS), axis=2).reshape(nodes, -1)
-                    spread = np.zeros((count, nodes), dtype=np.float32)
-                    spread[np.arange(count), of] = step
-                    whole = np.bincount(of, weights=step, minlength=nodes)
-                    sums.append((np.concatenate([left, whole[:, None] - spread.T @ tokens], axis=1), whole[:, None]))
+                    with_token = np.bincount(of[held] * many + token, weights=step[held], minlength=nodes * many)
+                    whole = np.bincount(of, weights=step, minlength=nodes)[:, None]
+                    sums.append((np.concatenate([left, whole - with_token.reshape(nodes, many)], axis=1), whole))
                 (g, g_all), (h, h_all) = sums
                 gain = g**2 / (h + 1) + (g_all - g) ** 2 / (h_all - h + 1) - g_all**2 / (h_all + 1)
                 gain[(h < 1e-3) | (h_all - h < 1e-3)] = -np.inf
