@@ -174,3 +174,18 @@ def test_hot_keys_take_one_pass(spark):
     one = df.filter("k = 1").select(F.xxhash64("k")).first()[0]
     assert joins.hot_keys(df, F.xxhash64("k"), 10) == [one]
     assert joins.hot_keys(df.limit(0), F.xxhash64("k")) == []
+
+
+@pytest.mark.parametrize("how", ["inner", "full"])
+def test_pairs_of_frequent_keys_spread_over_tasks(spark, how, monkeypatch):
+    # Few rows make many pairs: tasks follow the pairs, not the bytes they read.
+    monkeypatch.setattr(joins, "TASK_PAIRS", 5_000, raising=False)
+    monkeypatch.setattr(joins, "CELL_ROWS", (100, 40), raising=False)
+    left = [(k % 2, k % 290) for k in range(600)] + [(None, 1), (5, 1)]
+    right = [(k % 2, k % 190) for k in range(400)] + [(None, 1), (6, 1)]
+    a, b = spark.createDataFrame(left, "k int, x int"), spark.createDataFrame(right, "k int, y int")
+    joined = join_tables(a, b, "k", how, salt=2)
+    tasks = joined.filter("k < 2").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 6 and max(r["count"] for r in tasks) < 120_000 / 4
+    plain = Counter(map(tuple, join_tables(a, b, "k", how).collect()))
+    assert Counter(map(tuple, joined.collect())) == plain
