@@ -1,4 +1,4 @@
-"""Bounded samples of labelled documents, and the folds that hold labels out."""
+"""Labels of documents, whole or in bounded samples, and the folds that hold labels out."""
 
 from __future__ import annotations
 
@@ -13,6 +13,17 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(-1))
 
 
+def known_labels(labels: DataFrame, label: str, learn: Column | None) -> DataFrame:
+    """``doc_id`` and ``label`` of every labelled id.
+
+    Only 0 and 1 count as labels; of several for one id the largest.
+    """
+    known = labels.filter(
+        F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (F.lit(True) if learn is None else learn)
+    )
+    return known.groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("label"))
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, learn: Column | None, sample: int
 ) -> DataFrame:
@@ -21,10 +32,7 @@ def labelled_sample(
     The ids with the smallest hash are taken, so the sample is the same on every run. Only 0 and
     1 count as labels; of several for one id the largest. The broadcast side has ``sample`` rows.
     """
-    known = labels.filter(
-        F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (F.lit(True) if learn is None else learn)
-    )
-    labelled = known.groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("label"))
+    labelled = known_labels(labels, label, learn)
     hashed = F.xxhash64(F.col("doc_id").cast("long"))
     # Only hashes that can be among the smallest are sorted, so that every task of a large table
     # passes on few rows; a fifth more than the sample is kept for chance.

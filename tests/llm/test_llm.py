@@ -133,6 +133,30 @@ def test_pair_model_and_one_class():
     assert (quality.fit(rows, np.ones(400, dtype=bool)).scores(rows) == 0.5).all()
 
 
+def test_every_label_trains_the_pair_model(spark, monkeypatch):
+    """Blocks see all rows, the rare ones several times, and the cut is that of all scores."""
+    monkeypatch.setattr(quality, "BLOCK", 64, raising=False)
+    draw = np.random.default_rng(3)
+    texts = [" ".join(draw.choice(["fine", "words", "here", "||||", "####"], 30)) for _ in range(600)]
+    docs = [(k, t) for k, t in enumerate(texts)] + [(5, texts[5]), (6, "another text"), (None, "none")]
+    label = [int(sum(c in "|#" for c in t) < 36) for t in texts]
+    assert 3 < sum(label) < 100
+    documents = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([*enumerate(label), (None, 1), (900, 1)], "doc_id long, quality int")
+    model = quality.train(documents, labels)
+    trained = [(t, label[k]) for k, t in dict.fromkeys(docs) if k is not None]
+    reached = np.sort(quality.measures(pa.array([t for t, _ in trained])) @ model.weights)
+    worse = sum(not x for _, x in trained)
+    assert model.threshold == pytest.approx((reached[worse - 1] + reached[worse]) / 2, abs=1e-9)
+    scores = model.scores(quality.measures(pa.array(texts)))
+    assert np.mean((scores >= 0.5) == np.array(label)) > 0.95
+    rows = spark.createDataFrame([(k, x, [float(k)] * quality.MEASURES) for k, x in enumerate(label)], "doc_id long, label int, x array<double>")
+    blocks = quality._blocks(rows, sum(label), len(label) - sum(label), quality.RIVALS).collect()
+    held = [[int(v) for b in blocks for v in np.frombuffer(b[side])[:: quality.MEASURES]] for side in ("good", "bad")]
+    assert set(held[0]) == {k for k, x in enumerate(label) if x} and sorted(held[1]) == [k for k, x in enumerate(label) if not x]
+    assert all(len(b["good"]) and len(b["bad"]) for b in blocks)
+
+
 def test_factorization_machine_learns_a_pair():
     # Neither "aa" nor "bb" alone is toxic; together they are.
     draw = np.random.default_rng(2)
