@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.fixed import DEFAULT_TOP_K, EMBEDDING_LENGTH
@@ -26,6 +28,8 @@ QUERY_BYTES = 32 * 1024 * 1024
 SLICE_BYTES = 64 * 1024 * 1024
 # Cells of a score matrix that a task holds at a time.
 _SCORE_CELLS = 4_000_000
+# Blocks of queries that one round scores, as far as they stay within QUERY_BYTES together.
+ROUND_BLOCKS = 64
 
 
 def check_dimension(df: DataFrame, column: str, length: int = EMBEDDING_LENGTH) -> DataFrame:
@@ -95,8 +99,9 @@ def top_k_join(
     time, and a task emits its best ``k`` for each query instead of all pairs. The queries are
     broadcast, so the vectors are never shuffled. Queries, keys and best hits are measured
     first: up to ``query_bytes`` they are one block; a larger set is dealt into blocks of about
-    that size, and each block is broadcast in a round of its own that reads the staged vectors
-    and writes its best hits. Rounds run when this is called.
+    that size. Each block is broadcast and read against the staged vectors by tasks of its own; a
+    round is a job over as many blocks as stay within QUERY_BYTES together, ROUND_BLOCKS at the
+    most, and writes their best hits. Rounds run when this is called.
     """
     query_vector = query_vector or vector
     asked = queries.select(
@@ -109,6 +114,7 @@ def top_k_join(
     key_type = type_of(stored, "id").simpleString()
     schema = f"query_id {query_type}, id {key_type}, score double"
 
+    spark = queries.sparkSession
     total = _bytes(asked, "query_id", "query_vector", 2 * k)
     numeric = in_family(type_of(stored, "id"), "integer")
     out = _arrow_schema(stored, asked)
@@ -117,9 +123,10 @@ def top_k_join(
         return _score_block(block, among, k, schema, out, numeric, slice_bytes)
 
     if total <= query_bytes:
-        found = scored(_broadcast(asked), stored)
+        found = scored(_broadcast(spark, asked.toArrow()), stored)
     else:
-        found = _score_rounds(asked, stored, k, math.ceil(total / query_bytes), schema, scored)
+        at_once = max(1, min(ROUND_BLOCKS, QUERY_BYTES // max(1, query_bytes)))
+        found = _score_rounds(asked, stored, k, math.ceil(total / query_bytes), at_once, schema, scored)
     return _ranked(found, k).select(
         F.col("query_id").alias(query_key),
         F.col("id").alias(key if key != query_key else f"{key}_found"),
@@ -133,8 +140,8 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _broadcast(asked: DataFrame) -> Broadcast:
-    return asked.sparkSession.sparkContext.broadcast(_unit_rows(asked.toArrow(), "query_vector"))
+def _broadcast(spark: SparkSession, asked: pa.Table) -> Broadcast:
+    return spark.sparkContext.broadcast(_unit_rows(asked, "query_vector"))
 
 
 def _score_block(
@@ -168,12 +175,13 @@ def _score_rounds(
     stored: DataFrame,
     k: int,
     blocks: int,
+    at_once: int,
     schema: str,
     scored: Callable[[Broadcast, DataFrame], DataFrame],
 ) -> DataFrame:
-    """The best hits of every block of queries, each scored in a round of its own.
+    """The best hits of every block of queries, ``at_once`` blocks scored in one round.
 
-    The driver holds one block at a time. Queries are dealt by their place, not their value, so
+    The driver holds the blocks of one round at a time. Queries are dealt by their place, not their value, so
     that equal ones spread as well.
     """
     spark = asked.sparkSession
@@ -182,12 +190,17 @@ def _score_rounds(
     asked.withColumn("block", place).repartition("block").write.partitionBy("block").parquet(dealt)
     queries = spark.read.schema(f"{_ddl(asked)}, block int").parquet(dealt)
     vectors = stage_table(stored, "vectors")
-    for row in queries.select("block").distinct().orderBy("block").collect():
-        block = _broadcast(queries.filter(F.col("block") == row["block"]).drop("block"))
-        if len(block.value[0]):
-            best = _ranked(scored(block, vectors), k).drop("rank")
+    for first in range(0, blocks, at_once):
+        # A round's queries are read at once; jobs over single blocks would wait for their starts.
+        held = queries.filter(F.col("block").between(first, first + at_once - 1)).toArrow()
+        given = [held.filter(pc.equal(held["block"], b)) for b in range(first, first + at_once)]
+        given = [_broadcast(spark, block.drop(["block"])) for block in given if len(block)]
+        scores = [scored(block, vectors) for block in given if len(block.value[0])]
+        if scores:
+            best = _ranked(functools.reduce(DataFrame.unionAll, scores), k).drop("rank")
             best.write.mode("append").parquet(found)
-        block.destroy()
+        for block in given:
+            block.destroy()
     spark.createDataFrame([], schema).write.mode("append").parquet(found)
     return spark.read.schema(schema).parquet(found)
 
@@ -229,10 +242,22 @@ def _unit_rows(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
 def _best_of(
     tables: Iterable[pa.Table], query_ids: np.ndarray, queries: np.ndarray, k: int, numeric: bool
 ) -> pd.DataFrame:
-    """Best ``k`` per query over a stream of vector batches, carried from batch to batch."""
+    """Best ``k`` per query over a stream of vector batches, carried from batch to batch.
+
+    A query that has ``k`` hits takes only what can come before the last of them, so most of the later
+    batches add little; what they add is merged when it has become as much as what is kept.
+    """
     kept = pd.DataFrame({"query": np.zeros(0, np.int64), "id": [], "score": np.zeros(0)})
     if numeric:
         kept["id"] = kept["id"].astype(np.int64)
+    more: list[pd.DataFrame] = []
+    least = np.full(len(query_ids), -np.inf)
+
+    def merged() -> pd.DataFrame:
+        ranked = pd.concat([f for f in (kept, *more) if len(f)] or [kept], ignore_index=True)
+        ranked = ranked.sort_values(["query", "score", "id"], ascending=[True, False, True])
+        return ranked.groupby("query", sort=False).head(k)
+
     for table in tables:
         ids, rows = _unit_rows(table, "vector")
         if not len(ids) or not len(query_ids):
@@ -240,12 +265,12 @@ def _best_of(
         if rows.shape[1] != queries.shape[1]:
             raise ValueError(f"queries have {queries.shape[1]} values, vectors {rows.shape[1]}")
         order = np.argsort(ids, kind="stable")
-        found = [f for f in (kept, *_best_in_batch(ids[order], rows[order], queries, k)) if len(f)]
-        if not found:
-            continue
-        ranked = pd.concat(found, ignore_index=True)
-        ranked = ranked.sort_values(["query", "score", "id"], ascending=[True, False, True])
-        kept = ranked.groupby("query", sort=False).head(k)
+        more += [f for f in _best_in_batch(ids[order], rows[order], queries, k, least) if len(f)]
+        if sum(map(len, more)) > len(kept):
+            kept, more = merged(), []
+            last = kept[kept.groupby("query").cumcount() == k - 1]
+            least[last["query"].to_numpy(np.int64)] = last["score"].to_numpy()
+    kept = merged()
     return pd.DataFrame(
         {
             "query_id": query_ids[kept["query"].to_numpy(np.int64)],
@@ -256,18 +281,41 @@ def _best_of(
 
 
 def _best_in_batch(
-    ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, k: int
+    ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray | None = None
 ) -> Iterator[pd.DataFrame]:
-    """Best ``k`` of one batch for each query; ``ids`` ascend, so ties go to the left."""
+    """Best ``k`` of one batch for each query; ``ids`` ascend, so ties go to the left.
+
+    Scores below ``least`` of the query are left out. Only scores that can be among the best are
+    rounded and ranked; where very many are equal, the whole matrix is.
+    """
     step = max(1, _SCORE_CELLS // len(ids))
     k = min(k, len(ids))
+    slack = 2 * 10.0**-SCORE_PLACES
     for start in range(0, len(queries), step):
-        scores = np.round(queries[start : start + step] @ rows.T, SCORE_PLACES)
-        limit = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k, None]
-        above = scores > limit
-        level = scores == limit
-        room = k - above.sum(axis=1, keepdims=True)
-        query, column = np.nonzero(above | (level & (np.cumsum(level, axis=1) <= room)))
-        yield pd.DataFrame(
-            {"query": query + start, "id": ids[column], "score": scores[query, column]}
-        )
+        scores = queries[start : start + step] @ rows.T
+        limit = np.full(len(scores), -np.inf) if least is None else least[start : start + step].copy()
+        if (fresh := np.isneginf(limit)).any():
+            limit[fresh] = np.partition(scores[fresh], len(ids) - k, axis=1)[:, len(ids) - k]
+        near = scores >= limit[:, None] - slack
+        if np.count_nonzero(near) <= 4 * k * len(scores) + 1000:
+            query, column = np.nonzero(near)
+            score = np.round(scores[query, column], SCORE_PLACES)
+            order = np.lexsort((column, -score, query))
+            query, column, score = query[order], column[order], score[order]
+            first = np.searchsorted(query, query, side="left")
+            own = np.arange(len(query)) - first < k
+            if least is not None:
+                own &= score >= least[start + query]
+            query, column, score = query[own], column[own], score[own]
+        else:
+            scores = np.round(scores, SCORE_PLACES)
+            limit = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k, None]
+            above = scores > limit
+            level = scores == limit
+            room = k - above.sum(axis=1, keepdims=True)
+            taken = above | (level & (np.cumsum(level, axis=1) <= room))
+            if least is not None:
+                taken &= scores >= least[start : start + step, None]
+            query, column = np.nonzero(taken)
+            score = scores[query, column]
+        yield pd.DataFrame({"query": query + start, "id": ids[column], "score": score})

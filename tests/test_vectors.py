@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from millrace.functions.text import identifiers
 from millrace.functions.vectors import norm
 from millrace.operators import chunks as ch
+from millrace.operators import search
 from millrace.operators.search import check_dimension, top_k, top_k_join
 
 TEXTS = [
@@ -182,3 +184,47 @@ def test_no_queries(spark, vectors):
     df = spark.createDataFrame(vectors, "id bigint, embedding array<double>")
     none = spark.createDataFrame([], "query_id bigint, embedding array<double>")
     assert top_k_join(none, df).count() == 0
+
+
+def test_blocks_of_queries_share_rounds(spark, vectors, monkeypatch):
+    """Few jobs score many blocks; the driver's start-up for each would be most of the time."""
+    stored = spark.createDataFrame(vectors, "id bigint, embedding array<double>").repartition(3)
+    asked = stored.withColumnRenamed("id", "query_id")
+    rounds = []
+    ranked = search._ranked
+
+    def spied(found, k):
+        rounds.append(found)
+        return ranked(found, k)
+
+    monkeypatch.setattr(search, "_ranked", spied)
+    got = top_k_join(asked, stored, k=7, query_bytes=2_000)
+    assert {tuple(r) for r in got.collect()} == brute([v for v in vectors if any(v[1])], vectors, 7)
+    blocks = sum((16 + 2 * 7 * 8 + 4 * 8) for _ in vectors) // 2_000
+    assert blocks > 10 and len(rounds) <= 2  # and the last one over all hits
+
+
+@pytest.mark.parametrize("equal", [1, 40])
+def test_later_batches_add_only_what_can_be_best(equal):
+    draw = np.random.default_rng(5)
+    rows = np.repeat(draw.normal(size=(2000 // equal, 8)), equal, axis=0)[draw.permutation(2000)]
+    asked, k, seen = draw.normal(size=(30, 8)), 5, []
+    each = search._best_in_batch
+
+    def spied(*args):
+        found = list(each(*args))
+        seen.append(sum(map(len, found)))
+        return found
+
+    tables = [
+        pa.table({"id": np.arange(at, at + 100), "vector": pa.array(list(rows[at : at + 100]))}) for at in range(0, 2000, 100)
+    ]
+    search._best_in_batch, unit = spied, asked / np.linalg.norm(asked, axis=1, keepdims=True)
+    try:
+        got = search._best_of(iter(tables), np.arange(30), unit, k, True)
+    finally:
+        search._best_in_batch = each
+    wanted = brute(list(enumerate(asked)), list(enumerate(rows)), k)
+    assert {(r.query_id, r.id, r.score + 0.0) for r in got.itertuples()} == {w[:3] for w in wanted}
+    # Each batch passed on the best five of every query before.
+    assert max(seen[15:]) < 30 * k
