@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.fixed import DEFAULT_TOP_K
 from millrace.functions.types import quoted, type_of
-from millrace.functions.vectors import SCORE_PLACES
+from millrace.functions.vectors import matrix
+from millrace.operators.search import _best_in_batch
 
 #: Vectors that the centroids are fitted on, and centroids, at the most.
 SAMPLE = 65_536
@@ -195,23 +196,16 @@ def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             return pa.table({"query_id": ids.slice(0, 0), "key": keys.slice(0, 0), "score": pa.array([], pa.float64())})
         order = pc.sort_indices(keys)
         keys = keys.take(order)
-        rows = _unit(_rows(vectors.column("vector").take(order).to_pandas()))
-        asked = _unit(_rows(queries.column("query").to_pandas()))
-        which, hits, scores = [], [], []
-        step = max(1, 4_000_000 // len(rows))
-        for first in range(0, len(asked), step):
-            near = np.round(asked[first : first + step] @ rows.T, SCORE_PLACES)
-            # Keys are in order and the sort keeps it, so that ties go to the smaller key. Repeated keys
-            # may fill places, hence as many more as rows repeat.
-            top = np.argsort(-near, axis=1, kind="stable")[:, : k + len(rows) - len(keys.unique())]
-            which.append(np.repeat(np.arange(first, first + len(near)), top.shape[1]))
-            hits.append(top.ravel())
-            scores.append(np.take_along_axis(near, top, axis=1).ravel())
+        rows = _unit(matrix(vectors.column("vector").take(order).combine_chunks()))
+        asked = _unit(matrix(queries.column("query").combine_chunks()))
+        # Repeated keys may fill places, hence as many more as rows repeat.
+        width = k + len(rows) - len(keys.unique())
+        found = pd.concat(_best_in_batch(np.arange(len(rows)), rows, asked, width))
         return pa.table(
             {
-                "query_id": ids.take(pa.array(np.concatenate(which))),
-                "key": keys.take(pa.array(np.concatenate(hits))),
-                "score": pa.array(np.concatenate(scores)),
+                "query_id": ids.take(pa.array(found["query"])),
+                "key": keys.take(pa.array(found["id"])),
+                "score": pa.array(found["score"]),
             }
         )
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from millrace.functions.text import identifiers
 from millrace.functions.vectors import norm
 from millrace.operators import chunks as ch
-from millrace.operators import search
+from millrace.operators import index, search
 from millrace.operators.search import check_dimension, top_k, top_k_join
 
 TEXTS = [
@@ -228,3 +228,28 @@ def test_later_batches_add_only_what_can_be_best(equal):
     assert {(r.query_id, r.id, r.score + 0.0) for r in got.itertuples()} == {w[:3] for w in wanted}
     # Each batch passed on the best five of every query before.
     assert max(seen[15:]) < 30 * k
+
+
+def test_indexed_search_ranks_only_near_scores(monkeypatch):
+    """A shard is not sorted for each query, and equal scores and repeated keys keep their places."""
+    draw = np.random.default_rng(6)
+    keys, rows = np.arange(400) // 2, draw.integers(-2, 3, (400, 4)) + 0.5
+    asked = draw.normal(size=(20, 4))
+    sizes = []
+    sort = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *x, **y: (sizes.append(np.size(a)), sort(a, *x, **y))[1])
+    got = index._best(3)(
+        pa.table({"key": keys, "vector": pa.array(list(rows))}), pa.table({"query_id": np.arange(20), "query": pa.array(list(asked))})
+    ).to_pandas()
+    assert max(sizes, default=0) < 20 * 400
+    best = got.groupby(["query_id", "key"], as_index=False)["score"].max()
+    best = best.sort_values(["query_id", "score", "key"], ascending=[True, False, True]).groupby("query_id").head(3)
+    scores = np.round(asked @ rows.T / np.linalg.norm(asked, axis=1)[:, None] / np.linalg.norm(rows, axis=1), 9)
+    for q in range(20):
+        each = {}
+        for key, score in zip(keys, scores[q], strict=True):
+            each[int(key)] = max(each.get(int(key), -2.0), float(score))
+        wanted = sorted(each.items(), key=lambda x: (-x[1], x[0]))[:3]
+        own = best[best["query_id"] == q]
+        assert list(own["key"]) == [key for key, _ in wanted]
+        assert np.allclose(own["score"], [s for _, s in wanted], atol=1e-8)
