@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -16,6 +17,9 @@ from millrace.functions.text import chunks, words
 from millrace.functions.types import quoted
 from millrace.operators.joins import join_tables
 
+# Bytes of texts that are Python strings at a time while they are embedded.
+TEXT_BYTES = 4 * 1024 * 1024
+
 
 def chunk_text(df: DataFrame, column: str, size: int = CHUNK_WORDS) -> DataFrame:
     """One row per run of ``size`` words, as ``position`` and ``chunk``; none for empty text."""
@@ -123,18 +127,25 @@ def embed(
     length: int = EMBEDDING_LENGTH,
     name: str = "embedding",
 ) -> DataFrame:
-    """Embed a text column with the caller's function, one Arrow batch at a time.
+    """Embed a text column with the caller's function, TEXT_BYTES of an Arrow batch at a time.
 
     ``encode`` takes a list of texts and returns one vector of ``length`` numbers for each.
     """
 
-    @F.pandas_udf("array<float>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            vectors = np.asarray(encode(texts.fillna("").tolist()), dtype=np.float32)
-            if len(texts) and vectors.shape != (len(texts), length):
-                raise ValueError(f"expected {len(texts)} x {length} values, got {vectors.shape}")
-            yield pd.Series(list(vectors), index=texts.index)
+            parts = [np.zeros((0, length), np.float32)]
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+            cuts = np.flatnonzero(np.diff(ends // TEXT_BYTES)) + 1
+            for first, end in zip([0, *cuts], [*cuts, len(texts)], strict=True):
+                given = [text or "" for text in texts.slice(first, end - first).to_pylist()]
+                vectors = np.asarray(encode(given), dtype=np.float32)
+                if given and vectors.shape != (len(given), length):
+                    raise ValueError(f"expected {len(given)} x {length} values, got {vectors.shape}")
+                parts += [vectors] if given else []
+            places = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * length)
+            yield pa.ListArray.from_arrays(places, pa.array(np.concatenate(parts).ravel()))
 
     return df.withColumn(name, encoded(F.col(column)))
 

@@ -253,3 +253,17 @@ def test_indexed_search_ranks_only_near_scores(monkeypatch):
         own = best[best["query_id"] == q]
         assert list(own["key"]) == [key for key, _ in wanted]
         assert np.allclose(own["score"], [s for _, s in wanted], atol=1e-8)
+
+
+def test_embed_turns_few_texts_into_strings_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(ch, "TEXT_BYTES", 1000, raising=False)
+    least = ch.TEXT_BYTES
+
+    def encode(texts):
+        if sum(map(len, texts)) > least + 100:
+            raise ValueError("too many texts at once")
+        return [[len(t)] for t in texts]
+
+    df = spark.range(500).selectExpr("id", "IF(id % 9 = 0, NULL, repeat('x', CAST(id % 100 AS INT))) AS t").coalesce(1)
+    got = {r.id: r.embedding for r in ch.embed(df, "t", encode, length=1).collect()}
+    assert got == {k: [0.0 if k % 9 == 0 else float(k % 100)] for k in range(500)}
