@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,8 +27,10 @@ QUERY_BYTES = 32 * 1024 * 1024
 SLICE_BYTES = 64 * 1024 * 1024
 # Cells of a score matrix that a task holds at a time.
 _SCORE_CELLS = 4_000_000
-# Blocks of queries that one round scores, as far as they stay within QUERY_BYTES together.
-ROUND_BLOCKS = 64
+# Sets that the blocks of a round are dealt to, each scored by tasks of its own.
+ROUND_SETS = 8
+# Products of vectors that a task makes at a time when it scores single pairs.
+_PAIR_CELLS = 2_000_000
 
 
 def check_dimension(df: DataFrame, column: str, length: int = EMBEDDING_LENGTH) -> DataFrame:
@@ -99,9 +100,9 @@ def top_k_join(
     time, and a task emits its best ``k`` for each query instead of all pairs. The queries are
     broadcast, so the vectors are never shuffled. Queries, keys and best hits are measured
     first: up to ``query_bytes`` they are one block; a larger set is dealt into blocks of about
-    that size. Each block is broadcast and read against the staged vectors by tasks of its own; a
-    round is a job over as many blocks as stay within QUERY_BYTES together, ROUND_BLOCKS at the
-    most, and writes their best hits. Rounds run when this is called.
+    that size. A round is a job over as many blocks as stay within QUERY_BYTES together and writes
+    their best hits: the blocks go to ROUND_SETS sets at the most, each broadcast and read against
+    the staged vectors by tasks of its own. Rounds run when this is called.
     """
     query_vector = query_vector or vector
     asked = queries.select(
@@ -125,7 +126,7 @@ def top_k_join(
     if total <= query_bytes:
         found = scored(_broadcast(spark, asked.toArrow()), stored)
     else:
-        at_once = max(1, min(ROUND_BLOCKS, QUERY_BYTES // max(1, query_bytes)))
+        at_once = max(1, QUERY_BYTES // max(1, query_bytes))
         found = _score_rounds(asked, stored, k, math.ceil(total / query_bytes), at_once, schema, scored)
     return _ranked(found, k).select(
         F.col("query_id").alias(query_key),
@@ -181,7 +182,7 @@ def _score_rounds(
 ) -> DataFrame:
     """The best hits of every block of queries, ``at_once`` blocks scored in one round.
 
-    The driver holds the blocks of one round at a time. Queries are dealt by their place, not their value, so
+    The driver holds the blocks of one round at a time, and a task those of a set. Queries are dealt by their place, not their value, so
     that equal ones spread as well.
     """
     spark = asked.sparkSession
@@ -191,10 +192,12 @@ def _score_rounds(
     queries = spark.read.schema(f"{_ddl(asked)}, block int").parquet(dealt)
     vectors = stage_table(stored, "vectors")
     for first in range(0, blocks, at_once):
-        # A round's queries are read at once; jobs over single blocks would wait for their starts.
+        # A round's queries are read at once; jobs over single blocks would wait for their starts,
+        # and tasks over single blocks would read the vectors once for each.
         held = queries.filter(F.col("block").between(first, first + at_once - 1)).toArrow()
-        given = [held.filter(pc.equal(held["block"], b)) for b in range(first, first + at_once)]
-        given = [_broadcast(spark, block.drop(["block"])) for block in given if len(block)]
+        sets = held["block"].to_numpy() % ROUND_SETS
+        given = [held.drop(["block"]).filter(pa.array(sets == n)) for n in range(ROUND_SETS)]
+        given = [_broadcast(spark, block) for block in given if len(block)]
         scores = [scored(block, vectors) for block in given if len(block.value[0])]
         if scores:
             best = _ranked(functools.reduce(DataFrame.unionAll, scores), k).drop("rank")
@@ -252,6 +255,7 @@ def _best_of(
         kept["id"] = kept["id"].astype(np.int64)
     more: list[pd.DataFrame] = []
     least = np.full(len(query_ids), -np.inf)
+    narrow = queries.astype(np.float32)
 
     def merged() -> pd.DataFrame:
         ranked = pd.concat([f for f in (kept, *more) if len(f)] or [kept], ignore_index=True)
@@ -265,7 +269,7 @@ def _best_of(
         if rows.shape[1] != queries.shape[1]:
             raise ValueError(f"queries have {queries.shape[1]} values, vectors {rows.shape[1]}")
         order = np.argsort(ids, kind="stable")
-        more += [f for f in _best_in_batch(ids[order], rows[order], queries, k, least) if len(f)]
+        more += [f for f in _best_in_batch(ids[order], rows[order], queries, k, least, narrow) if len(f)]
         if sum(map(len, more)) > len(kept):
             kept, more = merged(), []
             last = kept[kept.groupby("query").cumcount() == k - 1]
@@ -281,41 +285,70 @@ def _best_of(
 
 
 def _best_in_batch(
-    ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray | None = None
+    ids: np.ndarray,
+    rows: np.ndarray,
+    queries: np.ndarray,
+    k: int,
+    least: np.ndarray | None = None,
+    narrow: np.ndarray | None = None,
 ) -> Iterator[pd.DataFrame]:
     """Best ``k`` of one batch for each query; ``ids`` ascend, so ties go to the left.
 
-    Scores below ``least`` of the query are left out. Only scores that can be among the best are
-    rounded and ranked; where very many are equal, the whole matrix is.
+    Scores below ``least`` of the query are left out. All pairs are scored in single precision (the
+    queries are ``narrow`` there), which costs half; those that can be among the best, by the bound on
+    its error for unit vectors, are scored again in double precision, rounded and ranked. Where very
+    many are that near, the whole rows of the matrix are.
     """
     step = max(1, _SCORE_CELLS // len(ids))
     k = min(k, len(ids))
-    slack = 2 * 10.0**-SCORE_PLACES
+    # Each side of a comparison is off by (values + 2) * 2 ** -24 at the most.
+    slack = 2 * 10.0**-SCORE_PLACES + (rows.shape[1] + 8) * 2.0**-23
+    narrow = queries.astype(np.float32) if narrow is None else narrow
+    across = rows.astype(np.float32).T
     for start in range(0, len(queries), step):
-        scores = queries[start : start + step] @ rows.T
+        asked = queries[start : start + step]
+        scores = narrow[start : start + step] @ across
         limit = np.full(len(scores), -np.inf) if least is None else least[start : start + step].copy()
         if (fresh := np.isneginf(limit)).any():
             limit[fresh] = np.partition(scores[fresh], len(ids) - k, axis=1)[:, len(ids) - k]
-        near = scores >= limit[:, None] - slack
-        if np.count_nonzero(near) <= 4 * k * len(scores) + 1000:
+        limit = np.nextafter((limit - slack).astype(np.float32), np.float32(-np.inf))
+        # Later in a stream few queries have any score that is near.
+        own = np.flatnonzero(scores.max(axis=1) >= limit)
+        if not len(own):
+            continue
+        near = scores[own] >= limit[own, None]
+        if np.count_nonzero(near) <= 4 * k * len(own) + 1000:
             query, column = np.nonzero(near)
-            score = np.round(scores[query, column], SCORE_PLACES)
+            query = own[query]
+            score = np.round(_products(asked, query, rows, column), SCORE_PLACES)
             order = np.lexsort((column, -score, query))
             query, column, score = query[order], column[order], score[order]
             first = np.searchsorted(query, query, side="left")
-            own = np.arange(len(query)) - first < k
+            taken = np.arange(len(query)) - first < k
             if least is not None:
-                own &= score >= least[start + query]
-            query, column, score = query[own], column[own], score[own]
+                taken &= score >= least[start + query]
+            query, column, score = query[taken], column[taken], score[taken]
         else:
-            scores = np.round(scores, SCORE_PLACES)
+            scores = np.round(asked[own] @ rows.T, SCORE_PLACES)
             limit = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k, None]
             above = scores > limit
             level = scores == limit
             room = k - above.sum(axis=1, keepdims=True)
             taken = above | (level & (np.cumsum(level, axis=1) <= room))
             if least is not None:
-                taken &= scores >= least[start : start + step, None]
+                taken &= scores >= least[start + own, None]
             query, column = np.nonzero(taken)
             score = scores[query, column]
-        yield pd.DataFrame({"query": query + start, "id": ids[column], "score": score})
+            query = own[query]
+        if len(query):
+            yield pd.DataFrame({"query": query + start, "id": ids[column], "score": score})
+
+
+def _products(left: np.ndarray, at: np.ndarray, right: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The inner products of the pairs of rows ``left[at]`` and ``right[to]``."""
+    run = max(1, _PAIR_CELLS // max(1, left.shape[1]))
+    found = np.empty(len(at))
+    for n in range(0, len(at), run):
+        part = slice(n, n + run)
+        found[part] = np.einsum("ij,ij->i", left[at[part]], right[to[part]])
+    return found

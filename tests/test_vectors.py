@@ -204,6 +204,34 @@ def test_blocks_of_queries_share_rounds(spark, vectors, monkeypatch):
     assert blocks > 10 and len(rounds) <= 2  # and the last one over all hits
 
 
+def test_blocks_of_a_round_are_scored_in_few_sets(spark, vectors, monkeypatch):
+    """Tasks read the vectors once for a set of blocks, not once for each block."""
+    stored = spark.createDataFrame(vectors, "id bigint, embedding array<double>").repartition(3)
+    sets = []
+    score = search._score_block
+
+    def spied(block, *args):
+        sets.append(len(block.value[0]))
+        return score(block, *args)
+
+    monkeypatch.setattr(search, "_score_block", spied)
+    got = top_k_join(stored.withColumnRenamed("id", "query_id"), stored, k=3, query_bytes=1_000)
+    assert {tuple(r) for r in got.collect()} == brute([v for v in vectors if any(v[1])], vectors, 3)
+    assert 1 < len(sets) <= 8 and sum(sets) == sum(any(v) for _, v in vectors)
+
+
+def test_scores_that_single_precision_cannot_tell_apart():
+    draw = np.random.default_rng(8)
+    middle = draw.normal(size=64)
+    rows = np.array([middle + 1e-4 * draw.normal(size=64) for _ in range(600)] + list(draw.normal(size=(600, 64))))
+    rows, asked = rows[draw.permutation(1200)], rows[::60]
+    tables = [pa.table({"id": np.arange(n, n + 50), "vector": pa.array(list(rows[n : n + 50]))}) for n in range(0, 1200, 50)]
+    unit = asked / np.linalg.norm(asked, axis=1, keepdims=True)
+    got = search._best_of(iter(tables), np.arange(len(asked)), unit, 5, True)
+    wanted = brute(list(enumerate(asked)), list(enumerate(rows)), 5)
+    assert {(r.query_id, r.id, round(r.score, 8)) for r in got.itertuples()} == {(q, i, round(s, 8)) for q, i, s, _ in wanted}
+
+
 @pytest.mark.parametrize("equal", [1, 40])
 def test_later_batches_add_only_what_can_be_best(equal):
     draw = np.random.default_rng(5)
