@@ -5,9 +5,10 @@ cell of its nearest centroid, and a search looks only into the cells nearest to
 it misses is told by ``recall`` against the exact search; ``probes`` trades it for time.
 
 The centroids come from spherical k-means on a bounded sample, the vectors of least hash. The index
-is a table: ``cells`` holds every vector with its cell, next to its centroids. A cell that holds more than
-``SHARD`` rows is dealt into shards by the hash of the key, and queries of a shard into blocks, so
-that a task holds one shard and one block whatever a cell holds.
+is a table: ``cells`` holds every vector with its cell, next to its centroids. For a search the cells are
+put together to shards of bounded size, a larger cell is dealt into shards by the hash of the key, and
+queries go in blocks to the shards that hold a cell of theirs, once whatever the number of these cells:
+a task holds one shard and one block and compares each cell with the queries that look into it.
 
 Defined cases: vectors that are null, zero, of another length than the first centroid, or hold null,
 NaN or infinite components are in no cell and in no result, and such queries get no hits; equal
@@ -33,14 +34,18 @@ from pyspark.sql import functions as F
 from millrace.functions.fixed import DEFAULT_TOP_K
 from millrace.functions.types import quoted, type_of
 from millrace.functions.vectors import matrix
-from millrace.operators.search import _best_in_batch
+from millrace.operators.search import Best
 
 #: Vectors that the centroids are fitted on, and centroids, at the most.
 SAMPLE = 65_536
 CENTROIDS = 4096
-#: Rows of a cell, and queries, that a task compares at once.
-SHARD = 16_384
+#: Queries that are compared with the centroids at once.
 BLOCK = 4096
+#: Bytes of the vectors of a shard, and of the queries of a block, as doubles. Tables that are not that
+#: large are dealt into WAYS shards and blocks, unless these had fewer than LEAST rows.
+SIDE_BYTES = 32 * 1024 * 1024
+WAYS = 8
+LEAST = 1024
 
 
 @dataclass(frozen=True)
@@ -74,19 +79,63 @@ def _rows(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_list()).astype(np.float64)
 
 
-def _nearest(vector: Column, centroids: np.ndarray, number: int) -> Column:
-    """The cells of the ``number`` nearest centroids; ``centroids`` go along with the function."""
+def _nearest_of(vectors: pd.Series, centroids: np.ndarray, number: int) -> Iterator[np.ndarray]:
+    """The cells of the ``number`` nearest centroids, for ``BLOCK`` vectors at a time."""
+    for first in range(0, len(vectors), BLOCK):
+        near = _unit(_rows(vectors.iloc[first : first + BLOCK])) @ centroids.T
+        yield np.argsort(-near, axis=1, kind="stable")[:, :number].astype(np.int32)
 
-    @F.pandas_udf("array<int>")
-    def cells(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def _nearest(vector: Column, centroids: np.ndarray) -> Column:
+    """The cell of the nearest centroid; ``centroids`` go along with the function."""
+
+    @F.pandas_udf("int")
+    def cell(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            found: list[np.ndarray] = []
-            for first in range(0, len(batch), BLOCK):
-                near = _unit(_rows(batch.iloc[first : first + BLOCK])) @ centroids.T
-                found += list(np.argsort(-near, axis=1, kind="stable")[:, :number].astype(np.int32))
-            yield pd.Series(found, index=batch.index, dtype=object)
+            found = [near[:, 0] for near in _nearest_of(batch, centroids, 1)]
+            yield pd.Series(np.concatenate(found or [np.zeros(0, np.int32)]), index=batch.index)
+
+    return cell(vector)
+
+
+def _routes(vector: Column, centroids: np.ndarray, number: int, held: np.ndarray) -> Column:
+    """The cells of the ``number`` nearest centroids as bits, and the shards that hold one of them.
+
+    ``held`` says of each cell (row) and each shard whether it holds rows of the cell.
+    """
+
+    @F.pandas_udf("shards array<int>, cells binary")
+    def routes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            shards: list[np.ndarray] = []
+            cells: list[bytes] = []
+            for near in _nearest_of(batch, centroids, number):
+                looked = np.zeros((len(near), len(centroids)), bool)
+                np.put_along_axis(looked, near, True, axis=1)
+                shards += [np.flatnonzero(row).astype(np.int32) for row in looked.astype(np.float32) @ held > 0]
+                cells += [row.tobytes() for row in np.packbits(looked, axis=1)]
+            yield pd.DataFrame({"shards": pd.Series(shards, dtype=object), "cells": pd.Series(cells, dtype=object)})
+
+    return routes(vector)
+
 
-    return cells(vector)
+def _dealt_cells(sizes: dict[int, int], most: int) -> list[tuple[int, int, int]]:
+    """Cell, its first shard and its number of shards, of about ``most`` rows each.
+
+    Small cells share a shard; those with more rows than ``most`` have shards of their own.
+    """
+    dealt, shard, room = [], 0, 0
+    for cell, rows in sorted(sizes.items()):
+        number = -(-rows // most)
+        if number > 1:
+            dealt.append((cell, shard, number))
+            shard, room = shard + number, 0
+            continue
+        if rows > room:
+            shard, room = shard + 1, most
+        dealt.append((cell, shard - 1, 1))
+        room -= rows
+    return dealt
 
 
 def build_index(
@@ -122,7 +171,7 @@ def build_index(
             rows = _unit(np.array([drawn.first()["features"].toArray()]))
         drawn.unpersist()
         usable = usable.filter(F.size("vector") == length)
-        cells = usable.withColumn("cell", _nearest(F.col("vector"), rows, 1)[0])
+        cells = usable.withColumn("cell", _nearest(F.col("vector"), rows))
     cells.write.mode("overwrite").parquet(f"{path}/cells")
     saved = [(k, row.tolist()) for k, row in enumerate(rows)]
     spark.createDataFrame(saved, "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
@@ -142,15 +191,17 @@ def search_index(
     probes: int | None = None,
     query_key: str = "query_id",
     vector: str = "embedding",
-    shard: int = SHARD,
-    block: int = BLOCK,
+    shard: int | None = None,
+    block: int | None = None,
 ) -> DataFrame:
     """The ``k`` most similar vectors of every query in its nearest cells: key of the query, key,
     ``score``, ``rank``. ``probes`` cells are searched. By default these are three quarters of all,
     which even vectors without clusters need for a recall of 0.95; give far fewer where there are some.
+    ``shard`` and ``block`` are the rows and the queries that a task holds, by default SIDE_BYTES of them.
 
-    Sizes of cells and numbers of queries for each cell are collected, a row for each cell. Vectors
-    are shuffled once, by cell and shard, and copied only where a cell has several blocks of queries.
+    Sizes of cells, a row for each, and the number of queries are collected. Vectors are shuffled once
+    for each block of queries, queries once for each shard that they look into, and a task passes on its
+    best ``k`` for each query: there are WAYS shards and blocks until those are full.
     """
     spark = queries.sparkSession
     known = index.cells(spark)
@@ -162,34 +213,39 @@ def search_index(
     if not number:
         found = spark.createDataFrame([], schema)
     else:
-        routed = asked.withColumn("cell", F.explode(_nearest(F.col("query"), index.centroids, number)))
-        sizes = {r["cell"]: r["count"] for r in known.groupBy("cell").count().collect()}
-        asks = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}
-        both = sorted(sizes.keys() & asks.keys())
-        parts = spark.createDataFrame(
-            [(c, -(-sizes[c] // shard), -(-asks[c] // block)) for c in both], "cell int, shards int, blocks int"
-        )
-        near = F.broadcast(parts)  # a row for each cell, CENTROIDS at the most
+        most = max(1, SIDE_BYTES // (8 * index.centroids.shape[1]))
 
-        def dealt(df: DataFrame, key: str, own: str, other: str, names: tuple[str, str]) -> DataFrame:
-            place = F.pmod(F.xxhash64(key), F.col(own)).cast("int").alias(names[0])
-            every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1])
-            return df.join(near, "cell").select(*df.columns, place, every)
+        def held(rows: int, given: int | None) -> int:
+            return given or min(most, max(LEAST, -(-rows // WAYS)))
 
-        left = dealt(known, "key", "shards", "blocks", ("shard", "block"))
-        right = dealt(routed, "query_id", "blocks", "shards", ("block", "shard"))
-        group = ("cell", "shard", "block")
-        right = right.select(*[F.col(c).alias(c) for c in ("query_id", "query", *group)])
+        sizes = {r["cell"]: r["count"] for r in known.groupBy("cell").count().collect()}
+        cells = _dealt_cells(sizes, held(sum(sizes.values()), shard))
+        rows = asked.count()
+        blocks = max(1, -(-rows // held(rows, block)))
+        shards = np.zeros((len(index.centroids), max(first + n for _, first, n in cells)), np.float32)
+        for cell, first, n in cells:
+            shards[cell, first : first + n] = 1
+        # A row for each cell, CENTROIDS at the most.
+        near = F.broadcast(spark.createDataFrame(cells, "cell int, first int, shards int"))
+        place = (F.col("first") + F.pmod(F.xxhash64("key"), F.col("shards"))).cast("int").alias("shard")
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+        left = known.join(near, "cell").select("key", "vector", "cell", place, every)
+        routed = asked.withColumn("route", _routes(F.col("query"), index.centroids, number, shards))
+        own = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
+        right = routed.select("query_id", "query", F.col("route.cells").alias("cells"), own, F.explode("route.shards").alias("shard"))
+        group = ("shard", "block")
         scored = left.groupBy(*group).cogroup(right.groupBy(*group))
         found = scored.applyInArrow(_best(k), schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
-    # A vector is in one cell, so a key comes again only where rows repeat it.
-    once = found.groupBy("query_id", "key").agg(F.max("score").alias("score"))
+    # A vector is in one cell, so a key comes again only where rows repeat it. One shuffle serves both steps.
+    once = found.repartition("query_id").groupBy("query_id", "key").agg(F.max("score").alias("score"))
     ranked = once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select(F.col("query_id").alias(query_key), F.col("key").alias(index.key), "score", "rank")
 
 
 def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The best ``k`` keys of a shard for each query of a block, in the cells that it looks into."""
+
     def best(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         keys, ids = vectors.column("key"), queries.column("query_id")
         if not len(keys) or not len(ids):
@@ -198,9 +254,16 @@ def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         keys = keys.take(order)
         rows = _unit(matrix(vectors.column("vector").take(order).combine_chunks()))
         asked = _unit(matrix(queries.column("query").combine_chunks()))
-        # Repeated keys may fill places, hence as many more as rows repeat.
-        width = k + len(rows) - len(keys.unique())
-        found = pd.concat(_best_in_batch(np.arange(len(rows)), rows, asked, width))
+        # Rows of a key have the place of the first of them. They may fill places among the best.
+        codes = keys.combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        first = np.unique(codes, return_index=True)[1]
+        places, times = first[codes], np.bincount(codes)
+        width = min(k * int(times.max()), k + len(rows) - len(times))
+        found = Best(asked, k, once=width > k)
+        for at, who in _pieces(vectors, queries, order):
+            if who is None or len(who):
+                found.add(places[at], rows[at], who, width)
+        found = found.found()
         return pa.table(
             {
                 "query_id": ids.take(pa.array(found["query"])),
@@ -212,6 +275,25 @@ def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return best
 
 
+def _pieces(
+    vectors: pa.Table, queries: pa.Table, order: pa.Array
+) -> Iterator[tuple[np.ndarray | slice, np.ndarray | None]]:
+    """Places of the rows of each cell, in this order, and of the queries that look into it.
+
+    Tables without cells are one piece with all queries.
+    """
+    if "cell" not in vectors.column_names:
+        yield slice(None), None
+        return
+    cells = vectors.column("cell").take(order).to_numpy()
+    looked = np.frombuffer(b"".join(queries.column("cells").to_pylist()), np.uint8).reshape(len(queries), -1)
+    by_cell = np.argsort(cells, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(cells[by_cell]) != 0])
+    for at in np.split(by_cell, starts[1:]):
+        cell = int(cells[at[0]])
+        yield at, np.flatnonzero(looked[:, cell >> 3] >> (7 - (cell & 7)) & 1)
+
+
 def recall(found: DataFrame, exact: DataFrame, key: str = "id", query_key: str = "query_id") -> DataFrame:
     """One row: ``queries`` and ``hits`` of the exact search, and the share of them found, ``recall``."""
     held = found.select(F.col(query_key), F.col(key), F.lit(1).alias("__held")).distinct()

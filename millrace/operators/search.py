@@ -245,23 +245,8 @@ def _unit_rows(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
 def _best_of(
     tables: Iterable[pa.Table], query_ids: np.ndarray, queries: np.ndarray, k: int, numeric: bool
 ) -> pd.DataFrame:
-    """Best ``k`` per query over a stream of vector batches, carried from batch to batch.
-
-    A query that has ``k`` hits takes only what can come before the last of them, so most of the later
-    batches add little; what they add is merged when it has become as much as what is kept.
-    """
-    kept = pd.DataFrame({"query": np.zeros(0, np.int64), "id": [], "score": np.zeros(0)})
-    if numeric:
-        kept["id"] = kept["id"].astype(np.int64)
-    more: list[pd.DataFrame] = []
-    least = np.full(len(query_ids), -np.inf)
-    narrow = queries.astype(np.float32)
-
-    def merged() -> pd.DataFrame:
-        ranked = pd.concat([f for f in (kept, *more) if len(f)] or [kept], ignore_index=True)
-        ranked = ranked.sort_values(["query", "score", "id"], ascending=[True, False, True])
-        return ranked.groupby("query", sort=False).head(k)
-
+    """Best ``k`` per query over a stream of vector batches, carried from batch to batch."""
+    best = Best(queries, k, np.int64 if numeric else object)
     for table in tables:
         ids, rows = _unit_rows(table, "vector")
         if not len(ids) or not len(query_ids):
@@ -269,12 +254,8 @@ def _best_of(
         if rows.shape[1] != queries.shape[1]:
             raise ValueError(f"queries have {queries.shape[1]} values, vectors {rows.shape[1]}")
         order = np.argsort(ids, kind="stable")
-        more += [f for f in _best_in_batch(ids[order], rows[order], queries, k, least, narrow) if len(f)]
-        if sum(map(len, more)) > len(kept):
-            kept, more = merged(), []
-            last = kept[kept.groupby("query").cumcount() == k - 1]
-            least[last["query"].to_numpy(np.int64)] = last["score"].to_numpy()
-    kept = merged()
+        best.add(ids[order], rows[order])
+    kept = best.found()
     return pd.DataFrame(
         {
             "query_id": query_ids[kept["query"].to_numpy(np.int64)],
@@ -284,6 +265,48 @@ def _best_of(
     )
 
 
+class Best:
+    """Best ``k`` hits of every query, by its place, over batches of vectors.
+
+    A query that has ``k`` hits takes only what can come before the last of them, so most of the later
+    batches add little; what they add is merged when it has become as much as what is kept. With
+    ``once`` an id is one hit, with its best score, however many rows it has.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int, kind: type = np.int64, once: bool = False) -> None:
+        self.queries, self.k, self.once = queries, k, once
+        self._narrow = queries.astype(np.float32)
+        self._least = np.full(len(queries), -np.inf)
+        none = {"query": np.zeros(0, np.int64), "id": np.zeros(0, kind), "score": np.zeros(0)}
+        self._kept, self._more = pd.DataFrame(none), []
+
+    def add(
+        self, ids: np.ndarray, rows: np.ndarray, at: np.ndarray | None = None, width: int | None = None
+    ) -> None:
+        """Score unit ``rows``, whose ``ids`` ascend, for the queries at these places or for all.
+
+        ``width`` of the rows are ranked at first, where ``k`` of them may hold fewer ids.
+        """
+        given = (self.queries, self._least, self._narrow)
+        queries, least, narrow = given if at is None else (x[at] for x in given)
+        for found in _best_in_batch(ids, rows, queries, width or self.k, least, narrow):
+            if at is not None:
+                found["query"] = at[found["query"].to_numpy()]
+            self._more.append(found)
+        if sum(map(len, self._more)) > len(self._kept):
+            kept = self.found()
+            last = kept[kept.groupby("query").cumcount() == self.k - 1]
+            self._least[last["query"].to_numpy(np.int64)] = last["score"].to_numpy()
+
+    def found(self) -> pd.DataFrame:
+        ranked = pd.concat([f for f in (self._kept, *self._more) if len(f)] or [self._kept], ignore_index=True)
+        ranked = ranked.sort_values(["query", "score", "id"], ascending=[True, False, True])
+        if self.once:
+            ranked = ranked.drop_duplicates(["query", "id"])
+        self._kept, self._more = ranked.groupby("query", sort=False).head(self.k), []
+        return self._kept
+
+
 def _best_in_batch(
     ids: np.ndarray,
     rows: np.ndarray,

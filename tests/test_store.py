@@ -6,9 +6,11 @@ import os
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators import index
 from millrace.operators.chunks import upsert
 from millrace.operators.index import build_index, open_index, recall, search_index
 from millrace.operators.search import top_k_join
@@ -93,6 +95,49 @@ def test_vectors_are_shuffled_once(spark, vectors, tmp_path):
     assert own.count("Exchange hashpartitioning") == 1
 
 
+def test_a_query_goes_to_a_shard_once(spark, vectors, tmp_path, monkeypatch):
+    """Queries are not copied for each of the cells they look into."""
+
+    def groups(k):
+        # One hit for each group that a query is in, named by a key that only this group has.
+        def each(rows, asked):
+            if not len(rows) or not len(asked):
+                return pa.table({"query_id": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({"query_id": asked.column("query_id"), "key": [min(rows.column("key").to_pylist())] * len(asked), "score": [1.0] * len(asked)})
+
+        return each
+
+    made = build_index(vectors, str(tmp_path / "i"), "vec.id", centroids=40)
+    asked = vectors.filter("`vec.id` < 300").select(F.col("`vec.id`").alias("query_id"), "embedding")
+    monkeypatch.setattr(index, "_best", groups)
+    copies = [r["count"] for r in search_index(made, asked, 1000, probes=30).groupBy("query_id").count().collect()]
+    assert len(copies) == 300 and max(copies) <= 8
+
+
+@pytest.mark.parametrize("shard,block", [(None, None), (40, 25)])
+def test_index_counts_keys_once_over_cells(spark, tmp_path, shard, block):
+    draw = np.random.default_rng(9)
+    rows = [(k % 150 if k % 50 else None, draw.normal(size=6).tolist()) for k in range(450)]
+    rows += [(7, draw.normal(size=6).tolist()) for _ in range(100)]
+    table = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(4)
+    made = build_index(table, str(tmp_path / "i"), "id", centroids=12)
+    asked = [(q, draw.normal(size=6).tolist()) for q in range(60)] + [(0, draw.normal(size=6).tolist())]
+    found = search_index(made, spark.createDataFrame(asked, "query_id long, embedding array<double>"), 4, 12, shard=shard, block=block)
+    got = {(r.query_id, r["rank"]): (r.id, round(r.score, 8)) for r in found.collect()}
+    best = {}
+    for q, a in asked:
+        for key, v in rows:
+            score = round(float(np.dot(a, v) / np.linalg.norm(a) / np.linalg.norm(v)), 9)
+            best[q, key] = max(best.get((q, key), -2.0), score)
+    for q in range(60):
+        of = sorted((-s, -1 if key is None else key) for (asker, key), s in best.items() if asker == q)[:4]
+        assert [got[q, n] for n in range(1, 5)] == [(None if key < 0 else key, round(-s, 8)) for s, key in of]
+
+
+def test_cells_are_put_together_to_shards():
+    assert index._dealt_cells({0: 5, 1: 5, 2: 25, 3: 3, 4: 8, 5: 2}, 10) == [(0, 0, 1), (1, 0, 1), (2, 1, 3), (3, 4, 1), (4, 5, 1), (5, 5, 1)]
+
+
 def test_index_of_nothing(spark, vectors, tmp_path):
     made = build_index(vectors.limit(0), str(tmp_path / "i"), "vec.id")
     asked = vectors.select(F.col("`vec.id`").alias("query_id"), "embedding")
